@@ -53,3 +53,27 @@ def standardize(long: DataFrame, parameters: DataFrame, keys: Sequence[str], val
     slim = parameters.select(*keys, "center", "scale")
     return (long.join(slim, list(keys))
             .withColumn(name, (F.col(value) - F.col("center")) / F.col("scale")).drop("center", "scale"))
+
+
+def range_bounds(reference: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Minimum and maximum of each column of a reference subset; a constant column is an error."""
+    aggs = [f(c).cast("double").alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    row = reference.agg(*aggs).first()
+    found = {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in columns}
+    flat = [c for c, (lo, hi) in found.items() if lo is None or hi <= lo]
+    if flat:
+        raise ValueError(f"columns do not vary in the reference: {flat}")
+    return found
+
+
+def range_normalize(df: DataFrame, bounds: dict[str, tuple[float, float]], columns: Sequence[str]) -> DataFrame:
+    """(x - min) / (max - min) with the bounds of the reference subset."""
+    return df.withColumns({c: (F.col(c) - F.lit(bounds[c][0])) / F.lit(bounds[c][1] - bounds[c][0]) for c in columns})
+
+
+def outside_range(bounds: dict[str, tuple[float, float]], columns: Sequence[str]) -> Column:
+    """True when any column leaves the reference range."""
+    out = F.lit(False)
+    for c in columns:
+        out = out | (F.col(c) < F.lit(bounds[c][0])) | (F.col(c) > F.lit(bounds[c][1]))
+    return out
