@@ -47,6 +47,15 @@ def robust_parameters(long: DataFrame, keys: Sequence[str], value: str, *, rule:
     return wide.withColumn("scale", pick_scale(rule)).select(*keys, "center", "mad", "scale")
 
 
+def fit_one(df: DataFrame, value: str, *, rule: str, rows: int | None = None) -> tuple[float, float]:
+    """Center and scale of a single feature as numbers, for use as constants in later plans."""
+    keyed = df.select(F.lit(0).alias("_g"), value)
+    row = robust_parameters(keyed, ["_g"], value, rule=rule, rows=rows).first()
+    if row is None:
+        raise ValueError("no reference rows to fit on")
+    return float(row["center"]), float(row["scale"])
+
+
 def standardize(long: DataFrame, parameters: DataFrame, keys: Sequence[str], value: str,
                 name: str = "z") -> DataFrame:
     """(value - center) / scale; the parameter side has one row per key."""

@@ -9,7 +9,13 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import MAD_TO_SIGMA, col
 from tracewell.operators.ordered import first_sustained, trailing_mean
-from tracewell.operators.ranks import quantiles
+
+
+def array_median(values: str) -> Column:
+    """Median of a sorted array, null for an empty one."""
+    n = F.size(values)
+    low, high = F.get(values, F.floor((n - 1) / 2).cast("int")), F.get(values, F.floor(n / 2).cast("int"))
+    return (low + high) / 2.0
 
 
 def complete_block(index: Column | str, total: Column | str, block: int) -> Column:
@@ -83,21 +89,22 @@ def onset(samples: DataFrame, keys: Sequence[str], index: str, value: str, *, rm
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"))
     x = F.col(value).cast("double")
     walked = trailing_mean(samples.select(*keys, index, value), keys, index, x * x, rms, "_ms")
-    level = (walked.filter(F.col("_ms").isNotNull()).withColumn("rms", F.sqrt("_ms")).join(sizes, list(keys))
-             .withColumn("_stop", F.least(F.floor(F.lit(baseline_fraction) * F.col("_total")), F.lit(baseline_cap).cast("long"))))
-    base = level.filter(F.col(index) < F.col("_stop"))
-    mid = quantiles(base, keys, "rms", {"baseline_median": 0.5}, rows=rows)
-    off = base.join(mid, list(keys)).withColumn("_d", F.abs(F.col("rms") - F.col("baseline_median")))
-    spread = quantiles(off, keys, "_d", {"_mad": 0.5}, rows=rows)
-    peak = level.groupBy(*keys).agg(F.max("rms").alias("peak_rms"), F.max("_stop").alias("baseline_stop"))
-    fit = (mid.join(spread, list(keys)).join(peak, list(keys))
-           .withColumn("baseline_sigma", F.lit(MAD_TO_SIGMA) * F.col("_mad"))
+    level = (walked.filter(F.col("_ms").isNotNull()).join(sizes, list(keys))
+             .select(*keys, index, F.sqrt("_ms").alias("rms"), F.least(
+                 F.floor(F.lit(baseline_fraction) * F.col("_total")), F.lit(baseline_cap).cast("long")).alias("_stop")))
+    # the baseline holds at most baseline_cap samples of a record, so its sorted list is bounded
+    base = F.sort_array(F.collect_list(F.when(F.col(index) < F.col("_stop"), F.col("rms"))))
+    fit = (level.groupBy(*keys).agg(base.alias("_b"), F.max("rms").alias("peak_rms"), F.max("_stop").alias("baseline_stop"))
+           .withColumn("baseline_median", array_median("_b"))
+           .withColumn("_d", F.sort_array(F.transform("_b", lambda v: F.abs(v - F.col("baseline_median")))))
+           .withColumn("baseline_sigma", F.lit(MAD_TO_SIGMA) * array_median("_d"))
            .withColumn("threshold", F.greatest(F.col("baseline_median") + F.lit(sigmas) * F.col("baseline_sigma"),
-                                               F.lit(peak_fraction) * F.col("peak_rms"))).drop("_mad"))
+                                               F.lit(peak_fraction) * F.col("peak_rms"))).drop("_b", "_d"))
     flagged = level.join(fit.select(*keys, "threshold"), list(keys))
     start = first_sustained(flagged, keys, index, F.col("rms") >= F.col("threshold"), persistence, rows=rows)
     onset_at = F.when(F.col("start_index") >= F.col("baseline_stop"), F.col("start_index"))
-    return fit.join(start, list(keys), "left").withColumn("onset_index", onset_at).drop("start_index")
+    return (fit.join(start, list(keys), "left").withColumn("onset_index", onset_at)
+            .select(*keys, "baseline_median", "baseline_sigma", "peak_rms", "baseline_stop", "threshold", "onset_index"))
 
 
 def onset_windows(records: DataFrame, keys: Sequence[str], *, total: str, onset_index: str, window: int, guard: int,

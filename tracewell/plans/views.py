@@ -60,10 +60,9 @@ def windows(t: Tables) -> DataFrame:
 
 def scored_windows(t: Tables) -> DataFrame:
     """Windows with |x - center| / scale, fitted on adaptation rows."""
-    w = windows(t).withColumn("fit", F.lit("all"))
-    fit = scaling.robust_parameters(w.filter("role = 'adaptation'"), ["fit"], "x", rule="relative",
-                                    rows=t.rows("events"))
-    return scaling.standardize(w, fit, ["fit"], "x", "_z").withColumn("z", F.abs("_z")).drop("_z", "fit")
+    w = windows(t)
+    center, scale = scaling.fit_one(w.filter("role = 'adaptation'"), "x", rule="relative", rows=t.rows("events"))
+    return w.withColumn("z", F.abs((F.col("x") - F.lit(center)) / F.lit(scale)))
 
 
 def block_scores(t: Tables) -> DataFrame:
