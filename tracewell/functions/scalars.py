@@ -108,8 +108,3 @@ def sum_of(columns: Sequence[Column]) -> Column:
 
 def dot(columns: Sequence[Column | str], weights: Sequence[float]) -> Column:
     return sum_of([col(c) * F.lit(float(w)) for c, w in zip(columns, weights)])
-
-
-def quadratic_form(columns: Sequence[Column | str], matrix) -> Column:
-    """x' M x written out as d dot products, one per row of a small constant matrix."""
-    return sum_of([col(c) * dot(columns, row) for c, row in zip(columns, matrix)])

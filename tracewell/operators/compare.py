@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.functions.scalars import hash_draw
 from tracewell.operators.ordered import running
@@ -19,3 +23,90 @@ def holm(df: DataFrame, family: Sequence[str], p: str, tie: str, *, name: str =
     scaled = placed.withColumn("_v", (F.col("_m") - F.col("_i")) * F.col(p))
     walked = running(scaled, family, [p, tie], maxima={name: F.col("_v")}, rows=rows)
     return walked.withColumn(name, F.least(F.lit(1.0), F.col(name))).drop("_i", "_m", "_v")
+
+
+def bootstrap_means(records: DataFrame, strata: Sequence[str], value: str, order: str, *, iterations: int, seed: int,
+                    by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Resampled mean per iteration: as many hash draws as records, inside each stratum.
+
+    Draws are generated row by row, joined to their record by (stratum, position) and averaged at
+    once, so no resample is ever stored or gathered.
+    """
+    keys = [*by, *strata]
+    placed = running(records.select(*keys, order, F.col(value).cast("double").alias("_v")), keys, [order],
+                     position="_i", totals={"_n": F.lit(1)}, rows=rows)
+    draws = placed.select(*keys, "_n", F.col(order).alias("_slot"),
+                          F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    draws = draws.withColumn("_i", hash_draw("iteration", "_slot", F.lit(seed)) % F.col("_n"))
+    picked = draws.join(placed.select(*keys, "_i", "_v"), [*keys, "_i"])
+    return picked.groupBy(*by, "iteration").agg(F.avg("_v").alias("mean"))
+
+
+def bootstrap_interval(records: DataFrame, strata: Sequence[str], value: str, order: str, *, iterations: int,
+                       seed: int, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+    """Observed mean, percentile interval and the centered-null two-sided p-value per ``by`` key.
+
+    Centering shifts every resampled mean by the observed mean, so both come from one set of draws.
+    The percentile buffers hold one number per iteration.
+    """
+    by = list(by)
+    keyed = records if by else records.withColumn("_all", F.lit(0))
+    group = by or ["_all"]
+    means = bootstrap_means(keyed, strata, value, order, iterations=iterations, seed=seed, by=group, rows=rows)
+    observed = keyed.groupBy(*group).agg(F.avg(F.col(value).cast("double")).alias("observed"), F.count(F.lit(1)).alias("n"))
+    joined = means.join(observed, group)
+    far = F.abs(F.col("mean") - F.col("observed")) >= F.abs("observed")
+    out = joined.groupBy(*group).agg(
+        F.max("n").alias("n"), F.max("observed").alias("observed"), F.percentile("mean", F.lit(0.025)).alias("ci_low"),
+        F.percentile("mean", F.lit(0.975)).alias("ci_high"),
+        ((F.count_if(far) + 1.0) / (F.count(F.lit(1)) + 1.0)).alias("p_value"),
+        F.count_if(F.col("mean") > 0).alias("_up"), F.count_if(F.col("mean") < 0).alias("_down"), F.count(F.lit(1)).alias("_b"))
+    sign = F.least(F.lit(1.0), F.lit(2.0) * (F.least("_up", "_down") + 1.0) / (F.col("_b") + 1.0))
+    return out.withColumn("sign_p", sign).drop("_up", "_down", "_b", "_all")
+
+
+def signed_ranks(pairs: DataFrame, keys: Sequence[str], difference: str, *, rows: int | None = None) -> DataFrame:
+    """Wins, ties, losses and the signed-rank statistic with its tie-corrected normal score.
+
+    Zero differences are dropped from the ranking; ties share the average rank.
+    """
+    d = F.col(difference).cast("double")
+    base = pairs.select(*keys, d.alias("_d"), F.abs(d).alias("_a"))
+    live = base.filter("_d <> 0")
+    ranks = average_ranks(live, keys, "_a", "_r", rows=rows)
+    ties = live.groupBy(*keys, "_a").agg(F.count(F.lit(1)).alias("_t")).groupBy(*keys).agg(
+        F.sum(F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).cast("double").alias("_tie"),
+        F.max("_t").alias("largest_tie"))
+    sums = live.join(ranks, [*keys, "_a"]).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("ranked"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_plus"),
+        F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("_minus"))
+    counts = base.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("_d") > 0).alias("wins"),
+        F.count_if(F.col("_d") == 0).alias("ties"), F.count_if(F.col("_d") < 0).alias("losses"),
+        F.avg("_d").alias("mean_difference"))
+    n = F.col("ranked").cast("double")
+    w = F.least("_plus", "_minus")
+    spread = F.sqrt(n * (n + 1) * (2.0 * n + 1) / 24.0 - F.col("_tie") / 48.0)
+    out = counts.join(sums.join(ties, list(keys)), list(keys), "left")
+    return out.withColumn("statistic", w).withColumn("z", F.try_divide(w - n * (n + 1) / 4.0, spread)).drop("_plus", "_minus", "_tie")
+
+
+def wilcoxon_p(ranked: Column | str, statistic: Column | str, z: Column | str, ties: Column) -> Column:
+    """Two-sided p: exact for up to 50 distinct differences without zeros or ties, else normal."""
+    @F.pandas_udf(T.DoubleType())
+    def p(n: pd.Series, w: pd.Series, score: pd.Series, tied: pd.Series) -> pd.Series:
+        out = []
+        for size, stat, zed, has_ties in zip(n, w, score, tied):
+            if size is None or pd.isna(size) or size == 0:
+                out.append(1.0)
+            elif has_ties or size > 50:
+                out.append(math.erfc(abs(zed) / math.sqrt(2.0)))
+            else:
+                ways = np.zeros(int(size * (size + 1) // 2) + 1)
+                ways[0] = 1.0
+                for k in range(1, int(size) + 1):
+                    ways[k:] = ways[k:] + ways[:-k].copy()
+                out.append(min(1.0, 2.0 * ways[: int(stat) + 1].sum() / 2.0 ** int(size)))
+        return pd.Series(out)
+
+    return p(ranked, statistic, z, ties)
