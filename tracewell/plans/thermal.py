@@ -143,10 +143,10 @@ ro(profile_id, idx, w, c, q, clips) as (
   from (select r.profile_id, l.idx, {_step(0)} as a, {_step(1)} as b, {_step(2)} as d, clips from ro r join ls l on l.profile_id = r.profile_id and l.idx = r.idx + 1 where l.idx < {END})),
 an as (select profile_id, temp_winding as w, temp_core as c, temp_rotor as q, (coolant + ambient) / 2 as bd from ls where idx = {START - 1} and profile_id in (select profile_id from ok)),
 fc as (select 'network' as method, ro.profile_id, ro.idx, w, c, q, clips from ro where idx >= {START}
-       union all select 'hold', an.profile_id, idx, w, c, q, 0 from an join ls using (profile_id) where idx >= {START} and idx < {END}
-       union all select 'shifted', an.profile_id, idx, w + (coolant + ambient) / 2 - bd, c + (coolant + ambient) / 2 - bd, q + (coolant + ambient) / 2 - bd, 0 from an join ls using (profile_id) where idx >= {START} and idx < {END}),
-er as (select method, profile_id, max(clips) as clips, sqrt(avg((w - temp_winding) ** 2)) as rw, sqrt(avg((c - temp_core) ** 2)) as rc, sqrt(avg((q - temp_rotor) ** 2)) as rq,
-              max(abs(w - temp_winding)) as xw, max(abs(c - temp_core)) as xc, max(abs(q - temp_rotor)) as xq from fc join ls using (profile_id, idx) group by 1, 2)"""
+       union all select 'hold', an.profile_id, idx, an.w, an.c, an.q, 0 from an join ls using (profile_id) where idx >= {START} and idx < {END}
+       union all select 'shifted', an.profile_id, idx, an.w + (coolant + ambient) / 2 - bd, an.c + (coolant + ambient) / 2 - bd, an.q + (coolant + ambient) / 2 - bd, 0 from an join ls using (profile_id) where idx >= {START} and idx < {END}),
+er as (select method, profile_id, max(clips) as clips, sqrt(avg((fc.w - temp_winding) ** 2)) as rw, sqrt(avg((fc.c - temp_core) ** 2)) as rc, sqrt(avg((fc.q - temp_rotor) ** 2)) as rq,
+              max(abs(fc.w - temp_winding)) as xw, max(abs(fc.c - temp_core)) as xc, max(abs(fc.q - temp_rotor)) as xq from fc join ls using (profile_id, idx) group by 1, 2)"""
 
 
 def forecasts(t: Tables) -> DataFrame:
@@ -206,7 +206,7 @@ def l34(t: Tables) -> DataFrame:
 
 
 @query("i4_forecast_rows", f"""
-with recursive {ROLL_SQL} select profile_id, idx, {r('w')} as predicted, {r('temp_winding')} as truth from fc join ls using (profile_id, idx) where method = 'network'""")
+with recursive {ROLL_SQL} select profile_id, idx, {r('fc.w')} as predicted, {r('temp_winding')} as truth from fc join ls using (profile_id, idx) where method = 'network'""")
 def i4(t: Tables) -> DataFrame:
     k = len(thermal.NODES)
     f = forecasts(t).filter("method = 'network'")
