@@ -130,10 +130,11 @@ class ConditionalResidual:
         oof = _predict(data, context, bases, coefs, "fold", "_p")
         res = [f"_r{i}" for i in range(len(outcomes))]
         oof = oof.withColumns({r: F.col(o) - F.col("_p")[i] for i, (r, o) in enumerate(zip(res, outcomes))})
-        params = cls._robust(oof, res, rows)
+        # several fits below read the out-of-fold residuals, so they are computed once
+        oof = oof.select("fold", *context, *res).persist()
+        params = cls._robust(oof, res, rows, "centered")
         center = np.array([params[r][0] for r in res])
-        spread = cls._robust(oof.withColumns({r: F.col(r) - F.lit(float(c)) for r, c in zip(res, center)}), res, rows)
-        scale = np.array([spread[r][1] for r in res])
+        scale = np.array([params[r][1] for r in res])
         local = None
         if local_scale:
             logs = [f"_l{i}" for i in range(len(res))]
@@ -145,12 +146,13 @@ class ConditionalResidual:
         z = model._standardized(oof, res)
         location, cov, weight = covariance.shrunk_covariance(z, model._z)
         model.location, model.precision, model.shrinkage = location, covariance.precision_of(cov), weight
+        oof.unpersist()
         return model
 
     @staticmethod
-    def _robust(df: DataFrame, columns: Sequence[str], rows: int | None) -> dict[str, tuple[float, float]]:
+    def _robust(df: DataFrame, columns: Sequence[str], rows: int | None, rule: str = "eps") -> dict[str, tuple[float, float]]:
         long = df.select(F.lit(0).alias("_k"), *columns).unpivot(["_k"], list(columns), "feature", "value")
-        found = robust_parameters(long, ["feature"], "value", rule="eps", rows=rows and rows * len(columns))
+        found = robust_parameters(long, ["feature"], "value", rule=rule, rows=rows and rows * len(columns))
         return {r["feature"]: (r["center"], r["scale"]) for r in found.collect()}  # one row per outcome
 
     @staticmethod

@@ -66,8 +66,8 @@ def multi_target(kind: str, train: DataFrame, features: Sequence[str], targets:
         return lambda df: df.withColumns({f"p_{x}": F.lit(float(mid[x])) for x in targets})
     prepare = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_raw"),
                                StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)]).fit(train)
-    ready, fitted = prepare.transform(train), {}
-    n = train.count() if kind == "ridge" else 0
+    ready, fitted = prepare.transform(train).select("_features", *targets).persist(), {}
+    n = ready.count() if kind == "ridge" else 0
     for x in targets:
         if kind == "ridge":
             est = LinearRegression(featuresCol="_features", labelCol=x, predictionCol=f"p_{x}", regParam=1.0 / n,
@@ -77,6 +77,7 @@ def multi_target(kind: str, train: DataFrame, features: Sequence[str], targets:
         else:
             raise ValueError(f"unknown regressor: {kind}")
         fitted[x] = est.fit(ready)
+    ready.unpersist()
 
     def apply(df: DataFrame) -> DataFrame:
         out = prepare.transform(df)
@@ -92,7 +93,10 @@ def residual_boosters(train: DataFrame, features: Sequence[str], residual: str,
     assemble = VectorAssembler(inputCols=list(features), outputCol="_features")
     est = GBTRegressor(featuresCol="_features", labelCol=residual, weightCol=weight, predictionCol="_boost", maxIter=rounds,
                        stepSize=0.05, maxDepth=4, minInstancesPerNode=50, seed=seed)
-    return Pipeline(stages=[assemble, est]).fit(train)
+    ready = train.select(*features, residual, weight).persist()
+    model = Pipeline(stages=[assemble, est]).fit(ready)
+    ready.unpersist()
+    return model
 
 
 @dataclass
@@ -117,7 +121,9 @@ class DensityRatio:
         grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in strengths]).build()
         judge = MulticlassClassificationEvaluator(labelCol="domain", metricName="logLoss", weightCol="weight")
         cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", seed=seed)
-        best = cv.fit(prepare.transform(both)).bestModel
+        ready = prepare.transform(both).select("domain", "weight", "fold", "_features").persist()
+        best = cv.fit(ready).bestModel
+        ready.unpersist()
         return cls(PipelineModel(stages=[*prepare.stages, best]), limit, float(best.getRegParam()) * n)
 
     def transform(self, df: DataFrame) -> DataFrame:

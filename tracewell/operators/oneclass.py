@@ -152,8 +152,12 @@ class RobustCovariance:
         h = (n + d + 1) // 2
 
         def moments(part: DataFrame) -> np.ndarray:
-            m = covariance.gram_sums(part, ["_g"], features).first()["g"]
-            g = np.array(m).reshape(d + 1, d + 1)
+            if d <= covariance.NARROW:
+                cells = [F.avg(F.col(features[i]) * F.col(features[j])) for i in range(d) for j in range(i, d)]
+                out = np.zeros((d, d))
+                out[np.triu_indices(d)] = part.agg(F.array(*cells)).first()[0]
+                return out + np.triu(out, 1).T
+            g = np.array(covariance.gram_sums(part, ["_g"], features).first()["g"]).reshape(d + 1, d + 1)
             return g[1:, 1:] / g[0, 0]
 
         def closest(matrix: np.ndarray, count: int) -> tuple[DataFrame, float]:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell import session
 from tracewell.functions.scalars import IQR_TO_SIGMA, MAD_TO_SIGMA, SQRT_EPS
 from tracewell.operators.ranks import quantiles
 
@@ -16,12 +17,13 @@ def pick_scale(rule: str) -> Column:
 
     relative  MAD, then population deviation, then 1; floor 1e-8 * max(|center|, 1)
     eps       MAD, then population deviation, then 1; floor sqrt(eps) * max(max|x|, 1)
+    centered  as eps, with the peak measured from the center
     spread    MAD, then IQR / 1.349, then 1; floor 1e-12
     """
     one = F.lit(1.0)
     if rule == "relative":
         floor, second = F.lit(1e-8) * F.greatest(F.abs("center"), one), F.col("std")
-    elif rule == "eps":
+    elif rule in ("eps", "centered"):
         floor, second = F.lit(SQRT_EPS) * F.greatest(F.col("peak"), one), F.col("std")
     elif rule == "spread":
         floor, second = F.lit(1e-12), F.col("iqr") / F.lit(IQR_TO_SIGMA)
@@ -32,16 +34,24 @@ def pick_scale(rule: str) -> Column:
 
 def robust_parameters(long: DataFrame, keys: Sequence[str], value: str, *, rule: str,
                       rows: int | None = None) -> DataFrame:
-    """One row per key with center, mad and scale; medians are exact at any group size."""
+    """One row per key with center, mad and scale; medians are exact at any group size.
+
+    Two passes over the rows: the center, then everything that is measured around it.
+    """
     base = long.select(*keys, F.col(value).cast("double").alias("_x"))
+    limit = session.rows_per_chunk(base.sparkSession)
+    if rows is None or rows > limit:
+        rows = base.count()
     wanted = {"center": 0.5, "_q1": 0.25, "_q3": 0.75} if rule == "spread" else {"center": 0.5}
     mid = quantiles(base, keys, "_x", wanted, rows=rows)
-    away = base.join(mid.select(*keys, "center"), list(keys)).select(
-        *keys, F.abs(F.col("_x") - F.col("center")).alias("_d"))
-    mad = quantiles(away, keys, "_d", {"_mad": 0.5}, rows=rows)
-    moments = base.groupBy(*keys).agg(F.stddev_pop("_x").alias("std"), F.max(F.abs("_x")).alias("peak"))
-    wide = (mid.join(mad, list(keys)).join(moments, list(keys))
-            .withColumn("mad", F.lit(MAD_TO_SIGMA) * F.col("_mad")))
+    away = base.join(mid, list(keys)).withColumn("_d", F.abs(F.col("_x") - F.col("center")))
+    peak = F.max("_d") if rule == "centered" else F.max(F.abs("_x"))
+    stats = [F.stddev_pop("_x").alias("std"), peak.alias("peak"), *[F.max(c).alias(c) for c in wanted]]
+    if rows <= limit:
+        wide = away.groupBy(*keys).agg(F.median("_d").alias("_mad"), *stats)
+    else:
+        wide = away.groupBy(*keys).agg(*stats).join(quantiles(away, keys, "_d", {"_mad": 0.5}, rows=rows), list(keys))
+    wide = wide.withColumn("mad", F.lit(MAD_TO_SIGMA) * F.col("_mad"))
     if rule == "spread":
         wide = wide.withColumn("iqr", F.col("_q3") - F.col("_q1"))
     return wide.withColumn("scale", pick_scale(rule)).select(*keys, "center", "mad", "scale")
