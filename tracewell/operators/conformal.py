@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell import session
 from tracewell.operators.ordered import asof, running
 from tracewell.operators.ranks import order_statistic
 
@@ -41,8 +42,17 @@ def p_values(df: DataFrame, keys: Sequence[str], score: str, calibration: Column
     """Upper-tail conformal p-value of every row against the calibration rows of its key.
 
     (1 + #{calibration >= s}) / (n + 1) comes from one ordered pass over the distinct scores and
-    goes back to the rows by an equi-join, so no row is compared with every calibration row.
+    goes back to the rows by an equi-join, so no row is compared with every calibration row. An
+    input that is known to be small takes the same count from one range window instead.
     """
+    limit = session.rows_per_chunk(df.sparkSession)
+    if rows is None:
+        rows = df.count()
+    if rows <= limit:
+        group = Window.partitionBy(*keys)
+        above = group.orderBy(F.col(score).desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        hit = F.when(calibration, 1)
+        return df.withColumn(name, (F.count(hit).over(above) + 1.0) / (F.count(hit).over(group) + 1.0))
     counts = df.groupBy(*keys, score).agg(F.count_if(calibration).alias("_c"))
     walked = running(counts, keys, [score], sums={"_upto": F.col("_c")}, totals={"_all": F.col("_c")}, rows=rows)
     at_least = F.col("_all") - F.col("_upto") + F.col("_c")

@@ -32,7 +32,7 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[st
     bounded; otherwise an ordered pass over the distinct values finds the ranks.
     """
     limit = session.rows_per_chunk(df.sparkSession)
-    if rows is None or rows > limit:
+    if rows is None:
         rows = df.count()
     if rows <= limit and not higher:
         found = df.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(q)) for q in wanted.values()])).alias("_q"))

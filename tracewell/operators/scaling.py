@@ -40,7 +40,7 @@ def robust_parameters(long: DataFrame, keys: Sequence[str], value: str, *, rule:
     """
     base = long.select(*keys, F.col(value).cast("double").alias("_x"))
     limit = session.rows_per_chunk(base.sparkSession)
-    if rows is None or rows > limit:
+    if rows is None:
         rows = base.count()
     wanted = {"center": 0.5, "_q1": 0.25, "_q3": 0.75} if rule == "spread" else {"center": 0.5}
     mid = quantiles(base, keys, "_x", wanted, rows=rows)

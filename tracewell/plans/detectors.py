@@ -10,7 +10,7 @@ from tracewell.operators import compare, conformal, covariance, neighbours, rank
 from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, bounds, query, r
 from tracewell.plans.rollups import DIMS, FEATURES_SQL, LONG_SQL, features
-from tracewell.plans.views import BLOCKS_SQL, SCORES_SQL, WINDOWS_SQL, blocks, scored_windows, windows
+from tracewell.plans.views import BLOCKS_SQL, SCORES_SQL, WINDOWS_SQL, blocks, scored_windows, windows, with_record_labels
 
 X8 = [f"x{i}" for i in range(DIMS)]
 X3 = X8[:3]
@@ -279,16 +279,16 @@ def method_blocks(t: Tables) -> DataFrame:
     sw = scored_windows(t)
     um = ranks.quantiles(sw, ["record_id"], "x", {"um": 0.5}, rows=t.rows("events"))
     wide = sw.join(um, "record_id").groupBy("record_id", "block_id").agg(
-        F.first("role").alias("role"), F.first("load").alias("load"), F.count(F.lit(1)).alias("_n"), F.max("z").alias("robust"),
+        F.count(F.lit(1)).alias("_n"), F.max("z").alias("robust"),
         F.max(F.abs(F.col("x") - F.col("um"))).alias("centered"), F.max("x").alias("raw")).filter("_n = 5").drop("_n")
-    long = wide.unpivot(["record_id", "block_id", "role", "load"], ["robust", "centered", "raw"], "method", "score")
+    long = with_record_labels(wide).unpivot(["record_id", "block_id", "role", "load"], ["robust", "centered", "raw"], "method", "score")
     p = conformal.p_values(long, ["method"], "score", F.col("role") == "calibration", rows=t.rows("events"))
     return p.withColumn("alarm", F.col("p_value") <= F.lit(0.05))
 
 
 def method_records(t: Tables) -> DataFrame:
-    return method_blocks(t).filter("role = 'fault_test'").groupBy("method", "record_id").agg(
-        F.first("load").alias("load"), F.count(F.lit(1)).alias("blocks"), F.avg(F.col("alarm").cast("int")).alias("rate"),
+    return method_blocks(t).filter("role = 'fault_test'").groupBy("method", "record_id", "load").agg(
+        F.count(F.lit(1)).alias("blocks"), F.avg(F.col("alarm").cast("int")).alias("rate"),
         F.avg("score").alias("mean_score"))
 
 

@@ -45,17 +45,22 @@ pv as (
 blk as (select *, p_value <= 0.05::double as alarm from pv)"""
 
 
+def with_record_labels(df: DataFrame) -> DataFrame:
+    """Entity, load, health and role follow from the record id, so they are projected where needed."""
+    rec = F.col("record_id")
+    return df.withColumns({
+        "entity_id": rec % 3, "load": rec % 8 * 5, "is_healthy": rec % 5 != 0,
+        "role": F.when(rec % 5 == 0, "fault_test").when(rec % 4 == 0, "adaptation")
+        .when((rec % 4).isin(1, 2), "calibration").otherwise("health_test")})
+
+
 def windows(t: Tables) -> DataFrame:
     """Events as ordered windows of records with a block and a role."""
     e = t("events").withColumn("_us", F.unix_micros(F.col("ts").cast("timestamp")))
     placed = with_position(e, ["user_id"], ["_us", "event_id"], "window_id", rows=t.rows("events"))
-    rec = F.col("user_id")
-    return placed.select(
-        "event_id", rec.alias("record_id"), (rec % 3).alias("entity_id"), (rec % 8 * 5).alias("load"),
-        (rec % 5 != 0).alias("is_healthy"), F.col("value").alias("x"), "event_type", "ts",
-        F.col("window_id").cast("long"), F.floor(F.col("window_id") / WINDOWS_PER_BLOCK).alias("block_id"),
-        F.when(rec % 5 == 0, "fault_test").when(rec % 4 == 0, "adaptation")
-        .when((rec % 4).isin(1, 2), "calibration").otherwise("health_test").alias("role"))
+    return with_record_labels(placed.select(
+        "event_id", F.col("user_id").alias("record_id"), F.col("value").alias("x"), "event_type", "ts",
+        F.col("window_id").cast("long"), F.floor(F.col("window_id") / WINDOWS_PER_BLOCK).alias("block_id")))
 
 
 def scored_windows(t: Tables) -> DataFrame:
@@ -67,11 +72,9 @@ def scored_windows(t: Tables) -> DataFrame:
 
 def block_scores(t: Tables) -> DataFrame:
     """Largest window score of each complete block."""
-    return (scored_windows(t).groupBy("record_id", "block_id")
-            .agg(F.first("entity_id").alias("entity_id"), F.first("load").alias("load"),
-                 F.first("is_healthy").alias("is_healthy"), F.first("role").alias("role"),
-                 F.max("z").alias("score"), F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") == WINDOWS_PER_BLOCK).drop("_n"))
+    per = (scored_windows(t).groupBy("record_id", "block_id").agg(F.max("z").alias("score"), F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") == WINDOWS_PER_BLOCK).drop("_n"))
+    return with_record_labels(per)
 
 
 def blocks(t: Tables) -> DataFrame:
