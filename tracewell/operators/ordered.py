@@ -18,13 +18,21 @@ from pyspark.sql import functions as F
 from tracewell import session
 
 CHUNK = "_chunk"
-MAX_CHUNKS = 4096
+MAX_CHUNKS = 20_000
+ROWS_PER_CUT = 500
+RANGE_STEP = 4096
 
 
-def _cut_points(df: DataFrame, axis: Column, chunks: int) -> list[float]:
-    """Cut points near the chunk quantiles; being a few percent of a chunk off is harmless."""
+def _cut_points(df: DataFrame, axis: Column, chunks: int, rows: int) -> list[float]:
+    """Cut points near the chunk quantiles, from a few hundred sampled rows per chunk.
+
+    Only the boundaries come from a sample, as in range partitioning: every row still gets its chunk,
+    and a boundary that is a few percent off changes nothing but the size of a task.
+    """
     grid = [i / chunks for i in range(1, chunks)]
-    found = df.agg(F.percentile_approx(axis.cast("double"), grid, max(200, 20 * chunks))).first()[0]
+    share = ROWS_PER_CUT * chunks / max(rows, 1)
+    seen = df.sample(fraction=share, seed=17) if share < 0.5 else df
+    found = seen.agg(F.percentile_approx(axis.cast("double"), grid, max(200, 20 * chunks))).first()[0]
     return [float(v) for v in found or []]
 
 
@@ -52,14 +60,14 @@ def with_chunk(df: DataFrame, order: Sequence[str], *, rows: int | None = None,
         return df.withColumn(CHUNK, F.lit(0).cast("long")), False
     chunks = min(MAX_CHUNKS, math.ceil(rows / limit) + 1)
     lead = F.col(order[0]).cast("double")
-    cuts = _cut_points(df, lead, chunks)
+    cuts = _cut_points(df, lead, chunks, rows)
     heavy = sorted({v for i, v in enumerate(cuts[1:]) if cuts[i] == v})
     edges = set(cuts) | {math.nextafter(v, math.inf) for v in heavy}
     out = _bucket(df, lead, sorted(edges), "_lead")
     if heavy and len(order) > 1:
         tied = lead.isin(heavy)
         second = F.col(order[1]).cast("double")
-        inner = _cut_points(df.filter(tied), second, chunks)
+        inner = _cut_points(df.filter(tied), second, chunks, rows)
         out = _bucket(out, second, inner, "_tie")
         out = out.withColumn(CHUNK, F.col("_lead") * F.lit(2 * MAX_CHUNKS)
                              + F.when(tied, F.col("_tie")).otherwise(F.lit(0))).drop("_tie")
@@ -136,6 +144,16 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     return out.withColumns(final).select(*df.columns, *[n for n in final if n in extra])
 
 
+def explode_range(df: DataFrame, count: Column, name: str) -> DataFrame:
+    """One row per integer in [0, count); built in two steps so that no long array sits in a row."""
+    steps = F.ceil(count / RANGE_STEP).cast("long")
+    coarse = df.filter(count > 0).withColumn("_n", count).withColumn(
+        "_c", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1)))
+    low = F.col("_c") * RANGE_STEP
+    high = F.least(low + RANGE_STEP, F.col("_n").cast("long")) - 1
+    return coarse.withColumn(name, F.explode(F.sequence(low, high))).drop("_n", "_c")
+
+
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, *,
                   rows: int | None = None) -> DataFrame:
     """0-based position of each row in its group."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import MAD_TO_SIGMA, col
-from tracewell.operators.ordered import first_sustained, trailing_mean
+from tracewell.operators.ordered import explode_range, first_sustained, trailing_mean
 
 
 def array_median(values: str) -> Column:
@@ -31,8 +31,7 @@ def window_starts(records: DataFrame, keys: Sequence[str], total: str, *, window
         raise ValueError("windows must fit in a block")
     per_block = (block - window) // stride + 1
     blocks = F.floor(F.col(total) / block).cast("long")
-    out = records.filter(blocks > 0).select(
-        *keys, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block_id"))
+    out = explode_range(records.select(*keys, total), blocks, "block_id")
     out = out.withColumn("_w", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(per_block - 1).cast("long"))))
     start = F.col("block_id") * block + F.col("_w") * stride
     return out.select(*keys, "block_id", (F.col("block_id") * per_block + F.col("_w")).alias("window_id"),
@@ -111,18 +110,17 @@ def onset_windows(records: DataFrame, keys: Sequence[str], *, total: str, onset_
                   horizon: int | None = None) -> DataFrame:
     """Guarded windows before the onset from the record start, complete windows after it."""
     n, at = F.col(total), F.col(onset_index)
-    pre = F.greatest(F.floor((at - guard) / window), F.lit(0).cast("long"))
+    pre = F.floor((at - guard) / window)
     stop = F.least(n, at + horizon) if horizon is not None else n
-    post = F.greatest(F.floor((stop - at) / window), F.lit(0).cast("long"))
+    post = F.floor((stop - at) / window)
+    found = records.filter(at.isNotNull()).select(*keys, total, onset_index)
 
-    def run(count: Column, first: Column, segment: str) -> Column:
-        steps = F.when(count > 0, F.sequence(F.lit(0).cast("long"), count - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(steps, lambda i: F.struct(F.lit(segment).alias("segment"), i.alias("position"),
-                                                     (first + i * window).alias("start"),
-                                                     (first + (i + 1) * window).alias("stop")))
+    def run(count: Column, first: Column, segment: str) -> DataFrame:
+        start = first + F.col("position") * window
+        return explode_range(found, count, "position").select(
+            *keys, F.lit(segment).alias("segment"), "position", start.alias("start"), (start + window).alias("stop"))
 
-    return records.filter(at.isNotNull()).select(
-        *keys, F.inline(F.concat(run(pre, F.lit(0).cast("long"), "pre"), run(post, at, "post"))))
+    return run(pre, F.lit(0).cast("long"), "pre").unionByName(run(post, at, "post"))
 
 
 def session_residuals(windows: DataFrame, keys: Sequence[str], position: str, features: Sequence[str], *,

@@ -377,8 +377,8 @@ i as (select record_id, s as id, s * 3 as start, s * 3 + 7 + record_id % 5 as st
 select i.record_id, id, count(*) as samples, {r('avg(x)')} as mean from i join w on w.record_id = i.record_id and window_id >= start and window_id < stop group by 1, 2""")
 def d6(t: Tables) -> DataFrame:
     w = windows(t).select("record_id", "window_id", "x")
-    n = t("events").groupBy(F.col("user_id").alias("record_id")).agg(F.floor(F.count(F.lit(1)) / 4).alias("m")).filter("m > 0")
-    i = n.select("record_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)).alias("id"))
+    n = t("events").groupBy(F.col("user_id").alias("record_id")).agg(F.floor(F.count(F.lit(1)) / 4).alias("m"))
+    i = ordered.explode_range(n, F.col("m"), "id").drop("m")
     i = i.withColumn("start", F.col("id") * 3).withColumn("stop", F.col("id") * 3 + 7 + F.col("record_id") % 5)
     return rounded(segments.interval_means(w, i, ["record_id"], index="window_id", value="x", width=4, id_cols=["id"]))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators import roles
+from tracewell.operators.ordered import explode_range
 from tracewell.plans.registry import Tables, query
 from tracewell.plans.views import WINDOWS_SQL, windows
 
@@ -45,7 +46,7 @@ bn as (select record_id, block_id, count(*) over (partition by record_id) as n f
 def record_blocks(t: Tables) -> DataFrame:
     """Complete blocks of each record with the number of blocks."""
     per = t("events").groupBy(F.col("user_id").alias("record_id")).agg(F.floor((F.count(F.lit(1)) - 1) / 5).alias("n"))
-    return per.filter("n > 0").withColumn("block_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return explode_range(per, F.col("n"), "block_id")
 
 
 @query("m3_contiguous_partition", f"""
