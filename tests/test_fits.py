@@ -201,3 +201,35 @@ def test_decimation_removes_an_alias_and_ignores_block_size(spark):
     assert np.abs(inner - (slow + 0.01 * t)[::down][20:-20]).max() < 0.02
     taps = np.array(spectral.lowpass_taps(down))
     assert abs(taps.sum() - 1) < 1e-12 and np.allclose(taps, taps[::-1])
+
+
+def test_surrogate_selection_matches_refits(spark):
+    from tracewell.operators import models
+
+    rng = np.random.default_rng(10)
+    n, pos = 240, 24
+    x = rng.uniform(-2, 3, size=(n, 3))
+    grid = np.arange(pos) * 2 * np.pi / pos
+    y = 5 + x[:, [0]] * np.cos(grid) + (x[:, [1]] * x[:, [2]]) * np.sin(2 * grid) + rng.normal(size=(n, pos)) * .01
+    df = spark.createDataFrame([(i, *map(float, x[i]), [float(v) for v in y[i]]) for i in range(n)], "id int, a double, b double, c double, y array<double>")
+    alphas = [1e-3, 1e3]
+    got = models.select_surrogate(df, ["a", "b", "c"], "y", "id", alphas=alphas, retained=5, positions=pos).toPandas().sort_values("candidate")
+    folds = df.select("id", (models.hash_draw(F.lit(711), "id") % 3).alias("f")).toPandas().sort_values("id").f.to_numpy()
+    for c, alpha in enumerate(alphas):
+        maes = []
+        for f in range(3):
+            tr, te = folds != f, folds == f
+            z = (x - x[tr].mean(0)) / x[tr].std(0)
+            i, j = np.triu_indices(3)
+            b = np.hstack([z, z[:, i] * z[:, j]])
+            spec = np.fft.rfft(y, axis=1)[:, :5]
+            code = np.hstack([spec.real, spec[:, 1:].imag])
+            bm, cm = b[tr].mean(0), code[tr].mean(0)
+            beta = np.linalg.solve((b[tr] - bm).T @ (b[tr] - bm) + alpha * np.eye(9), (b[tr] - bm).T @ (code[tr] - cm))
+            p = cm + (b[te] - bm) @ beta
+            s = np.zeros((te.sum(), pos // 2 + 1), dtype=complex)
+            s[:, :5] = p[:, :5]
+            s[:, 1:5] += 1j * p[:, 5:]
+            maes.append(np.abs(np.fft.irfft(s, n=pos, axis=1) - y[te]).mean())
+        assert abs(got.cv_mae.iloc[c] - np.mean(maes)) < 1e-9
+    assert got.selected.tolist() == [True, False]

@@ -26,8 +26,12 @@ def duck(sf):
 
 
 @pytest.mark.parametrize("name", CHECKED)
-def test_query_equals_sql(spark, sf, duck, name):
+def test_query_equals_sql(spark, sf, duck, name, capsys):
     df = plans.QUERIES[name](spark, sf)
+    capsys.readouterr()
+    df.explain("formatted")
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     found = duck.execute(plans.ORACLES[name])
     columns = [c[0] for c in found.description]
@@ -45,3 +49,15 @@ def test_entry_contract(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_filters_and_columns_reach_the_scan(spark, sf, capsys):
+    plans.QUERIES["b6_time_slice"](spark, sf).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
+
+
+def test_windows_and_blocks_share_one_shuffle(spark, sf, capsys):
+    plans.QUERIES["e20_resample_bins"](spark, sf).explain("formatted")
+    assert capsys.readouterr().out.count("hashpartitioning") == 1

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,13 +15,13 @@ from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssemb
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.basis import fit_basis
+from tracewell.functions.basis import Basis, fit_basis
 from tracewell.functions.scalars import clip, hash_draw
-from tracewell.functions.spectral import fourier_decode, fourier_encode
+from tracewell.functions.spectral import fourier_decode
 from tracewell.operators.ranks import quantiles
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -136,7 +137,7 @@ class CurveSurrogate:
     """Quadratic ridge from design parameters to Fourier coordinates, decoded to whole curves."""
 
     parameters: list[str]
-    basis: object
+    basis: Basis
     coef: np.ndarray
     positions: int
 
@@ -144,37 +145,8 @@ class CurveSurrogate:
     def fit_grid(cls, df: DataFrame, parameters: Sequence[str], curve: str, *, alphas: Sequence[float], retained: int = 11,
                  positions: int = 64) -> list[CurveSurrogate]:
         """One surrogate per penalty from one pass: they share the cross products."""
-        parameters = list(parameters)
-        x = [F.col(p).cast("double") for p in parameters]
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(v * v) for v in x]).alias("q"),
-                     F.array(*[F.min(v) for v in x]).alias("l"), F.array(*[F.max(v) for v in x]).alias("h")).first()
-        basis = fit_basis("quadratic", row["n"], *[np.array(row[k]) for k in "sqlh"])
-        coded = df.select(F.array(*x).alias("x"), fourier_encode(curve, F.lit(retained)).alias("y"))
-
-        def partial(batches):
-            total = 0.0
-            for pdf in batches:
-                if len(pdf):
-                    b = basis.expand(np.stack(pdf["x"].to_numpy()).astype(float))
-                    m = np.hstack([np.ones((len(b), 1)), b, np.stack(pdf["y"].to_numpy()).astype(float)])
-                    total = total + m.T @ m
-            if not np.isscalar(total):
-                yield pd.DataFrame({"p": np.arange(total.size), "v": total.ravel()})
-
-        cells = coded.mapInPandas(partial, "p int, v double").groupBy("p").agg(F.sum("v").alias("v")).collect()
-        width = int(round(len(cells) ** 0.5))  # (1 + basis + coordinates)^2 cells
-        g = np.zeros(width * width)
-        for c in cells:
-            g[c["p"]] = c["v"]
-        g = g.reshape(width, width)
-        k = 2 * retained - 1
-        p, n, mean = width - 1 - k, g[0, 0], g[0] / g[0, 0]
-        centered = g - n * np.outer(mean, mean)
-        out = []
-        for alpha in alphas:
-            beta = np.linalg.solve(centered[1:1 + p, 1:1 + p] + alpha * np.eye(p), centered[1:1 + p, 1 + p:])
-            out.append(cls(parameters, basis, np.vstack([mean[1 + p:] - mean[1:1 + p] @ beta, beta]), positions))
-        return out
+        sums, shape = _surrogate_sums(df.withColumn("_fold", F.lit(0)), parameters, curve, retained)
+        return _surrogates(sums[0], shape, list(parameters), alphas, retained, positions)
 
     def transform(self, df: DataFrame, name: str = "predicted") -> DataFrame:
         basis, coef = self.basis, self.coef
@@ -189,28 +161,110 @@ class CurveSurrogate:
         return coded.withColumn(name, fourier_decode("_code", F.lit(self.positions))).drop("_code")
 
 
+def _surrogate_sums(df: DataFrame, parameters: Sequence[str], curve: str, retained: int) -> tuple[dict[int, np.ndarray], Basis]:
+    """Cross products of [1, quadratic terms, Fourier coordinates] per fold, in one rough common scaling."""
+    x = [F.col(p).cast("double") for p in parameters]
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(v) for v in x]).alias("s"), F.array(*[F.sum(v * v) for v in x]).alias("q"),
+                 F.array(*[F.min(v) for v in x]).alias("l"), F.array(*[F.max(v) for v in x]).alias("h")).first()
+    shape = fit_basis("quadratic", row["n"], *[np.array(row[k]) for k in "sqlh"])
+
+    def partial(batches):
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            fold = pdf["_fold"].to_numpy()
+            for f in np.unique(fold):
+                part = pdf[fold == f]
+                b = shape.expand(np.stack(part["x"].to_numpy()).astype(float))
+                y = np.fft.rfft(np.stack(part["y"].to_numpy()).astype(float), axis=1)[:, :retained]
+                m = np.hstack([np.ones((len(b), 1)), b, y.real, y[:, 1:].imag])
+                held[int(f)] = held.get(int(f), 0.0) + m.T @ m
+        for f, m in held.items():
+            yield pd.DataFrame({"f": f, "p": np.arange(m.size), "v": m.ravel()})
+
+    rows = df.select("_fold", F.array(*x).alias("x"), F.col(curve).alias("y"))
+    cells = rows.mapInPandas(partial, "f int, p int, v double").groupBy("f", "p").agg(F.sum("v").alias("v"))
+    table = cells.toPandas()  # (1 + terms + coordinates)^2 cells per fold
+    out = {}
+    for f, part in table.groupby("f"):
+        width = math.isqrt(len(part))
+        g = np.zeros(len(part))
+        g[part["p"].to_numpy()] = part["v"].to_numpy()
+        out[int(f)] = g.reshape(width, width)
+    return out, shape
+
+
+def _surrogates(g: np.ndarray, shape: Basis, parameters: list[str], alphas: Sequence[float], retained: int, positions: int) -> list[CurveSurrogate]:
+    """Ridge solutions in the scaling of the summed rows themselves.
+
+    Means and deviations of these rows follow from the sums. The quadratic terms in the new scaling are
+    linear in the old ones, so their cross products are a congruence of the old block.
+    """
+    d, k = len(shape.axes), 2 * retained - 1
+    i, j = np.triu_indices(d)
+    p, n = d + len(i), g[0, 0]
+    mean = g[0, 1:1 + d] / n
+    square = np.array([g[0, 1 + d + int(np.flatnonzero((i == a) & (j == a))[0])] for a in range(d)]) / n
+    spread = np.sqrt(np.maximum(square - mean ** 2, 0.0))
+    spread = np.where(spread > 0, spread, 1.0)
+    a, b = 1.0 / spread, -mean / spread
+    t = np.zeros((1 + p + k, 1 + p + k))
+    t[0, 0] = 1.0
+    t[1 + p:, 1 + p:] = np.eye(k)
+    for axis in range(d):
+        t[1 + axis, [0, 1 + axis]] = b[axis], a[axis]
+    for row, (u, v) in enumerate(zip(i, j), start=1 + d):
+        t[row, row] = a[u] * a[v]
+        t[row, 1 + u] += a[u] * b[v]
+        t[row, 1 + v] += a[v] * b[u]
+        t[row, 0] = b[u] * b[v]
+    g = t @ g @ t.T
+    center = g[0] / n
+    moved = g - n * np.outer(center, center)
+    basis = Basis("quadratic", shape.axes, shape.mean + shape.scale * mean, shape.scale * spread)
+    out = []
+    for alpha in alphas:
+        beta = np.linalg.solve(moved[1:1 + p, 1:1 + p] + alpha * np.eye(p), moved[1:1 + p, 1 + p:])
+        out.append(CurveSurrogate(parameters, basis, np.vstack([center[1 + p:] - center[1:1 + p] @ beta, beta]), positions))
+    return out
+
+
 def select_surrogate(df: DataFrame, parameters: Sequence[str], curve: str, row_id: str, *, alphas: Sequence[float], folds: int = 3,
                      seed: int = 711, retained: int = 11, positions: int = 64) -> DataFrame:
-    """K-fold curve error of every penalty with the smallest one flagged, the first on ties."""
-    from tracewell.operators.curves import absolute_errors, array_mean
-
-    data = df.withColumn("_fold", (hash_draw(F.lit(seed), row_id) % folds).cast("int"))
-    parts = []
-    for f in range(folds):
-        models = CurveSurrogate.fit_grid(data.filter(F.col("_fold") != f), parameters, curve, alphas=alphas, retained=retained, positions=positions)
-        held = data.filter(F.col("_fold") == f)
-        for i, m in enumerate(models):
-            e = m.transform(held).withColumn("_e", absolute_errors(curve, "predicted"))
-            parts.append(e.select(F.lit(i).alias("candidate"), F.lit(float(alphas[i])).alias("alpha"), F.lit(f).alias("fold"),
-                                  array_mean(F.col("_e")).alias("mae"), F.array_max("_e").alias("peak")))
-    errors = parts[0]
-    for p in parts[1:]:
-        errors = errors.unionByName(p)
-    per_fold = errors.groupBy("candidate", "alpha", "fold").agg(F.avg("mae").alias("mae"), F.avg("peak").alias("peak"))
+    """K-fold curve error of every penalty with the smallest one flagged, the first on ties.
+
+    One pass sums every fold, the training sums of a fold are the total minus its own, and one more
+    pass scores each row under all penalties of the models that did not see it.
+    """
+    data = df.select(row_id, *parameters, curve).withColumn("_fold", (hash_draw(F.lit(seed), row_id) % folds).cast("int"))
+    sums, shape = _surrogate_sums(data, parameters, curve, retained)
+    total = sum(sums.values())
+    fitted = {f: _surrogates(total - g, shape, list(parameters), alphas, retained, positions) for f, g in sums.items()}
+
+    @F.pandas_udf(DOUBLES)
+    def errors(fold: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        if x.empty:
+            return pd.Series([], dtype=object)
+        rows, truth, which = np.stack(x.to_numpy()).astype(float), np.stack(y.to_numpy()).astype(float), fold.to_numpy()
+        out = np.zeros((len(rows), 2 * len(alphas)))
+        for f, candidates in fitted.items():
+            at = which == f
+            for c, m in enumerate(candidates):
+                code = m.coef[0] + m.basis.expand(rows[at]) @ m.coef[1:]
+                spec = np.zeros((len(code), positions // 2 + 1), dtype=complex)
+                spec[:, :retained] = code[:, :retained]
+                spec[:, 1:retained] += 1j * code[:, retained:]
+                e = np.abs(np.fft.irfft(spec, n=positions, axis=1) - truth[at])
+                out[at, 2 * c], out[at, 2 * c + 1] = e.mean(axis=1), e.max(axis=1)
+        return pd.Series(list(out))
+
+    scored = data.select("_fold", errors("_fold", F.array(*[F.col(p).cast("double") for p in parameters]), curve).alias("e"))
+    cells = [F.struct(F.lit(c).alias("candidate"), F.lit(float(v)).alias("alpha"), F.col("e")[2 * c].alias("mae"),
+                      F.col("e")[2 * c + 1].alias("peak")) for c, v in enumerate(alphas)]
+    per_fold = scored.select("_fold", F.inline(F.array(*cells))).groupBy("candidate", "alpha", "_fold").agg(
+        F.avg("mae").alias("mae"), F.avg("peak").alias("peak"))
     table = per_fold.groupBy("candidate", "alpha").agg(F.avg("mae").alias("cv_mae"), F.avg("peak").alias("cv_max_error"))
-    best = table.agg(F.min(F.struct("cv_mae", "candidate"))["candidate"].alias("_best"))
-    return table.join(F.broadcast(best), F.col("candidate") == F.col("_best"), "left").withColumn(
-        "selected", F.col("_best").isNotNull()).drop("_best")
+    best = Window.partitionBy(F.lit(0))  # one row per penalty
+    return table.withColumn("selected", F.struct("cv_mae", "candidate") == F.min(F.struct("cv_mae", "candidate")).over(best))
 
 
 def tree_surrogate(train: DataFrame, features: Sequence[str], target: str, *, trees: int = 50, leaf: int = 1, seed: int = 711) -> PipelineModel:

@@ -10,10 +10,10 @@ from tracewell.operators.conditional import ConditionalResidual, SessionAnchored
 from tracewell.operators.oneclass import IsolationForest, RobustCovariance
 from tracewell.operators.report import rounded
 from tracewell.plans.detectors import X8
-from tracewell.plans.registry import Tables, query
+from tracewell.plans.registry import Tables, query, r
 from tracewell.plans.rollups import features
 from tracewell.plans.thermal import CAP, source_sums, with_losses
-from tracewell.plans.views import windows
+from tracewell.plans.views import WINDOWS_SQL, windows
 
 
 def contextual(t: Tables) -> DataFrame:
@@ -47,7 +47,22 @@ def l10(t: Tables) -> DataFrame:
     return rounded(out)
 
 
-@query("l13_session_anchor")
+ANCHOR_SQL = WINDOWS_SQL + """,
+v as (select record_id, is_healthy, window_id, x, sqrt(x) as y from w), a as (select record_id, median(x) as ax, median(y) as ay from v where window_id < 2 group by 1 having count(*) = 2),
+rs as (select v.record_id, is_healthy, window_id, x - ax as rx, y - ay as ry from v join a using (record_id) where window_id >= 2),
+m as (select median(rx) as mx, median(ry) as my from rs where is_healthy),
+s0 as (select 1.4826::double * median(abs(rx - mx)) as dx, 1.4826::double * median(abs(ry - my)) as dy from rs, m where is_healthy),
+z as (select rs.*, (rx - mx) / dx as zx, (ry - my) / dy as zy from rs, m, s0),
+c as (select avg(zx) as lx, avg(zy) as ly, covar_pop(zx, zx) as vxx, covar_pop(zx, zy) as vxy, covar_pop(zy, zy) as vyy, count(*) as n from z where is_healthy),
+q as (select avg(((zx - lx) ** 2 + (zy - ly) ** 2) ** 2) as fourth from z, c where is_healthy),
+k as (select *, (vxx + vyy) / 2 as level, vxx ** 2 + 2 * vxy ** 2 + vyy ** 2 as ss from c, q),
+h as (select *, least((fourth - ss) / (n * 2), (ss - 2 * level ** 2) / 2) / ((ss - 2 * level ** 2) / 2) as wt from k),
+g as (select lx, ly, (1 - wt) * vxx + wt * level as gxx, (1 - wt) * vxy as gxy, (1 - wt) * vyy + wt * level as gyy from h)"""
+
+
+@query("l13_session_anchor", f"""
+with {ANCHOR_SQL}
+select record_id, window_id, {r('greatest((gyy * (zx - lx) ** 2 - 2 * gxy * (zx - lx) * (zy - ly) + gxx * (zy - ly) ** 2) / (gxx * gyy - gxy ** 2), 0)')} as score from z, g""")
 def l13(t: Tables) -> DataFrame:
     """Anchored residual geometry of healthy sessions applied to every session."""
     w = windows(t).select("record_id", "is_healthy", "window_id", "x", F.sqrt("x").alias("y"))

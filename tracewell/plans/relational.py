@@ -155,6 +155,36 @@ def a8d(t: Tables) -> DataFrame:
     return rounded(good)
 
 
+DUAL_TEXT = """'spd10-5000rpm_flt' || case when p_partkey % 3 = 0 then '0z' else (p_size % 8) || 'z' || ['u', 'v', 'w'][p_partkey % 3 + 1] end || '_' ||
+  case when p_partkey % 5 = 0 then (p_size / 4.0::double)::varchar else p_size::varchar end || 'NM.mat'"""
+
+
+@query("a8_dual_labels", f"""
+with n as (select p_partkey, {DUAL_TEXT} as name from part),
+g as (select *, regexp_extract(name, '^spd10-5000rpm_flt(?:(0)z|([1-6])z([uv]))_(\\d+(?:\\.\\d+)?)NM\\.mat$', ['h', 't', 'p', 'l']) as g from n),
+l as (select p_partkey, name, g.l::double as load_nm, case when g.h = '0' then 0 else try_cast(g.t as int) end as fault_turns, case when g.h = '0' then null else g.p end as fault_phase, g.h = '0' as is_healthy from g where g.l <> '')
+select *, 'external_dual_three_phase_flt' || fault_turns || 'z' || coalesce(fault_phase, '') || '_load_' || replace(rtrim(rtrim(format('{{:.6f}}', load_nm), '0'), '.'), '.', 'p') || 'nm' as record_id from l""")
+def a8e(t: Tables) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(k % 3 == 0, "0z").otherwise(F.concat((size % 8).cast("string"), F.lit("z"), F.array(
+        F.lit("u"), F.lit("v"), F.lit("w"))[(k % 3).cast("int")]))
+    load = F.when(k % 5 == 0, (size / 4.0).cast("string")).otherwise(size.cast("string"))
+    named = t("part").select("p_partkey", F.concat(F.lit("spd10-5000rpm_flt"), kind, F.lit("_"), load, F.lit("NM.mat")).alias("name"))
+    good, _ = labels.parsed(named, "name", labels.dual_labels)
+    return rounded(good)
+
+
+@query("b10_variable_role", """
+with n as (select c_custkey, ['Currents_SubSys1_A', 'Currents_SubSys2_D', 'Voltage_SubSys1_Q', 'Time', 'Speed_rpm', 'SinCos_Electrical_1', 'Torque'][c_custkey % 7 + 1] as name from customer)
+select name, case when name = 'Currents_SubSys1_A' then 'primary_abc_current' when name like 'Currents%' then 'dq_current_not_scored' when name like 'Voltage%' then 'dq_control_voltage_not_scored'
+  when name = 'Time' then 'timebase' when name like 'Speed%' then 'speed_qc_not_scored' when name like 'SinCos%' then 'electrical_position_not_scored' else 'other' end as role, count(*) as n from n group by 1, 2""")
+def b10b(t: Tables) -> DataFrame:
+    names = F.array(*[F.lit(v) for v in ("Currents_SubSys1_A", "Currents_SubSys2_D", "Voltage_SubSys1_Q", "Time", "Speed_rpm",
+                                         "SinCos_Electrical_1", "Torque")])
+    n = t("customer").select(names[(F.col("c_custkey") % 7).cast("int")].alias("name"))
+    return n.groupBy("name", labels.variable_role("name").alias("role")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("a9_content_inventory", """
 select doc_id, strlen(text) as bytes, md5(text) as md5, sha256(text) as sha256 from documents""")
 def a9(t: Tables) -> DataFrame:
