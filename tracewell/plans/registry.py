@@ -46,7 +46,7 @@ def query(name: str, sql: str | None = None):
 
 def r(expr: str) -> str:
     """SQL text that rounds as ``functions.scalars.r6`` does."""
-    return f"(round(cast({expr} as double), 6) + 0.0)"
+    return f"(round(cast({expr} as double) + 1e-9::double, 6) + 0.0)"
 
 
 def bounds(k: str, n: str, z: float = 1.959963984540054, clamp: bool = True) -> tuple[str, str]:

@@ -22,8 +22,8 @@ def write_results(df: DataFrame, root: str, keys: Sequence[str] = ("target", "me
 
 def export_csv(df: DataFrame, path: str, *, compress: bool = False) -> None:
     """CSV export; arrays become space-separated text because CSV has no nested values."""
-    flat = df.select(*[F.array_join(F.col(c).cast("array<string>"), " ").alias(c) if t.startswith("array") else F.col(c)
-                       for c, t in df.dtypes])
+    named = [(F.col(f"`{c}`"), c, t) for c, t in df.dtypes]  # names may hold points
+    flat = df.select(*[F.array_join(x.cast("array<string>"), " ").alias(c) if t.startswith("array") else x for x, c, t in named])
     flat.write.mode("overwrite").option("header", "true").option("compression", "gzip" if compress else "none").csv(path)
 
 
