@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tracewell.functions.scalars import hash_draw
 from tracewell.operators.ordered import running
-from tracewell.operators.ranks import average_ranks, quantiles
+from tracewell.operators.ranks import average_ranks
 
 
 def holm(df: DataFrame, family: Sequence[str], p: str, tie: str, *, name: str = "holm_p",

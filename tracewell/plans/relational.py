@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions import labels
-from tracewell.functions.scalars import (all_finite, minimum_calibration, number_token, r6, ratio, strict_boolean,
+from tracewell.functions.scalars import (all_finite, minimum_calibration, number_token, r6, strict_boolean,
                                          trimmed_number, whole_units)
 from tracewell.operators import conformal, contracts, ordered, ranks, roles, segments
-from tracewell.operators.report import paired_dz, rounded
+from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, query, r
 from tracewell.plans.rollups import FEATURES_SQL, features
 from tracewell.plans.views import BLOCKS_SQL, SCORES_SQL, WINDOWS_SQL, block_scores, blocks, scored_windows, windows
