@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import simhash
+from tracewell.llm import mixing, packing, sequences, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +29,63 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+MIX_SQL = """
+with recursive d as (
+  select doc_id, coalesce(source, chr(1)) as q, length(coalesce(text, '')) + 1 as size, md5(cast(doc_id as varchar)) as h from documents),
+r as (
+  select *, cast(coalesce(sum(size) over (partition by q order by h, size rows between unbounded preceding and 1 preceding), 0) as bigint) as at0,
+         cast(sum(size) over (partition by q) as bigint) as total from d),
+t as (select q, any_value(total) as total, sqrt(any_value(total)) * sqrt(sqrt(any_value(total))) as w from r group by q),
+s as (select q, total, greatest(cast(floor(w / (select sum(w) from t) * 1000) as bigint), 1) as share from t),
+p as (select list(share order by q) as a, list(q order by q) as qs, cast(sum(share) as bigint) as period from s),
+e(slot, done, best) as (
+  select cast(-1 as bigint), list_transform(a, lambda x: cast(0 as bigint)), cast(0 as bigint) from p
+  union all
+  select n.slot, list_transform(n.done, lambda x, i: case when i = n.best then x + 1 else x end), n.best
+  from (
+    select e.slot + 1 as slot, e.done,
+           list_min(list_filter(list_transform(e.done, lambda x, i:
+             case when (x * p.period) // p.a[i] <= e.slot + 1
+                  then (((x + 1) * p.period + p.a[i] - 1) // p.a[i]) * 100000 + i end), lambda z: z is not null)) % 100000 as best
+    from e, p where e.slot + 1 < p.period) n),
+c as (
+  select p.qs[best] as q, p.a[best] as share, p.period, slot,
+         row_number() over (partition by best order by slot) - 1 as job
+  from e, p where slot >= 0),
+f as (
+  select max(((s.total - 1) // 16384 // c.share) * c.period + c.slot) as last
+  from s join c on c.q = s.q and c.job = ((s.total - 1) // 16384) % c.share),
+x as (
+  select r.*, unnest(range(0, ((f.last // p.period + 1) * s.share * 16384 - 1) // r.total + 1)) as epoch
+  from r join s using (q), f, p),
+y as (select *, (at0 + epoch * total) // 16384 as block, (at0 + epoch * total) % 16384 as start from x)
+select y.doc_id, nullif(y.q, chr(1)) as source, cast(y.epoch as bigint) as epoch, cast(y.block as bigint) as block,
+       cast((y.block // c.share) * c.period + c.slot as bigint) as slot, cast(y.start as bigint) as start
+from y join c on c.q = y.q and c.job = y.block % c.share, f
+where (y.block // c.share) * c.period + c.slot <= f.last or y.epoch = 0
+"""
+
+
+@query("op1_mixing", MIX_SQL)
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Where the mixture puts every document of every source, shares tempered by size."""
+    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "epoch", "block", "slot", "start")
+
+
+@query("op3_sequences")
+def op3_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents, written to sequence files and read back."""
+    return sequences.sequence_digests(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query("op6_simhash")
 def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """SimHash components of all documents."""
     return simhash.simhash_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op7_packing")
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of all documents in windows that show the sources' shares of all tokens."""
+    return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
