@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
 from array import array
 from collections.abc import Iterable
 
-#: Entries of one worker's memo; beyond it the memo starts anew, which costs time but no result.
-MEMO_WORDS = 400_000
+#: Entries of one worker's memo (about 200 bytes each); beyond it the memo starts anew, which costs time but no result.
+MEMO_WORDS = 1_400_000
 #: White space outside ASCII: a text that holds any is encoded as a whole.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
-#: A word with the one space before it, or white space that no word takes.
-SPACED = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+OTHER_SPACE = "\x1c-\x1f\x85\xa0  -     　"
+#: What keeps a text from being cut at each single space and line end between two visible characters.
+UNEVEN = re.compile(rf"[\t\r\v\f{OTHER_SPACE}]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
 
 _open: dict[tuple[str, bool], Encoder] = {}
 
@@ -24,6 +25,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, drops_space: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are the threads
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -39,7 +41,7 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set) -> None:
+    def _learn(self, words: set, lead: str = " ") -> None:
         new = words - self.memo.keys()
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
@@ -47,28 +49,33 @@ class Encoder:
         new = list(new)
         for at in range(0, len(new), 8192):
             part = new[at:at + 8192]
-            texts = [w.decode() for w in part] if self.drops_space else part
+            texts = [w.decode() for w in part] if self.drops_space else [lead + w for w in part]
             self.memo.update(zip(part, self._whole(texts)))
 
     def encode(self, texts: list[bytes]) -> Iterable[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes."""
         for at in range(0, len(texts), 64):
             part = texts[at:at + 64]
-            if self.drops_space:
-                cut = [t.lower().split() for t in part]
+            yield from self._caseless(part) if self.drops_space else self._spaced([t.decode() for t in part])
+
+    def _caseless(self, texts: list[bytes]) -> Iterable[bytes]:
+        cut = [t.lower().split() for t in texts]
+        self._learn(set().union(*cut))
+        for words in cut:
+            yield b"".join(map(self.memo.__getitem__, words))
+
+    def _spaced(self, texts: list[str]) -> Iterable[bytes]:
+        """Each space between two visible characters goes with the word after it, each line end stands alone."""
+        cut = [None if UNEVEN.search(t) or not t else [line.split(" ") for line in t.split("\n")] for t in texts]
+        self._learn({w for lines in cut if lines for line in lines for w in line[1:]})
+        heads = list({line[0] for lines in cut if lines for line in lines})
+        first = dict(zip(heads, self._whole(heads)))
+        get, end = self.memo.__getitem__, self._whole(["\n"])[0]
+        for text, lines in zip(texts, cut):
+            if lines is None:
+                yield self._whole([text])[0]
             else:
-                part = [t.decode() for t in part]
-                cut = [None if OTHER_SPACE.search(t) else SPACED.findall(t) for t in part]
-            words = set()
-            words.update(*(c for c in cut if c is not None))
-            if words - self.memo.keys():
-                self._learn(words)
-            get = self.memo.__getitem__
-            for text, pieces in zip(part, cut):
-                if pieces is None:
-                    yield self._whole([text])[0]
-                else:
-                    yield b"".join(map(get, pieces))
+                yield end.join([first[line[0]] + b"".join(map(get, line[1:])) for line in lines])
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
