@@ -46,11 +46,12 @@ def cycle(shares: DataFrame) -> DataFrame:
     return slots.withColumn("job", (F.row_number().over(Window.partitionBy("queue").orderBy("slot")) - 1).cast("long"))
 
 
-def mix(docs: DataFrame, shares: DataFrame | None = None, *, block: int = BLOCK, grid: int = GRID, epochs: bool = True) -> DataFrame:
+def mix(docs: DataFrame, shares: DataFrame | None = None, *, block: int = BLOCK, grid: int = GRID, epochs: bool = True,
+        size: Column | None = None) -> DataFrame:
     """Interleave sources block by block: docs' columns plus (epoch, block, slot, start).
 
-    Each source's documents, ordered by md5 of their id, form a stream measured in characters (text and one end character)
-    and cut into blocks; ``cycle`` gives every block its slot, and (slot, start) orders the mixture. A document belongs to
+    Each source's documents, ordered by md5 of their id, form a stream measured in characters (text and one end character;
+    ``size`` measures otherwise) and cut into blocks; ``cycle`` gives every block its slot, and (slot, start) orders the mixture. A document belongs to
     the block in which it starts. The schedule ends when every source has been read once; with ``epochs`` shorter sources
     are read again until then, so that the whole mixture has the target shares, and no document is left out. Without, each
     document appears once, and the shares hold as long as all sources last.
@@ -61,9 +62,11 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, *, block: int = BLOCK,
     """
     docs = docs.drop("epoch", "block", "slot", "start")
     queue = F.coalesce(F.col("source").cast("string"), F.lit("\0"))
-    size = F.length(F.coalesce("text", F.lit(""))) + F.lit(1).cast("long")
+    size = F.length(F.coalesce("text", F.lit(""))) + F.lit(1).cast("long") if size is None else size
+    named = F.col("doc_id").cast("string")
+    named = F.coalesce(named, F.col("text"), F.lit("")) if "text" in docs.columns else F.coalesce(named, F.lit(""))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), queue.alias("queue"), size.alias("_size"),
-                       F.md5(F.coalesce(F.col("doc_id").cast("string"), "text", F.lit("")).cast("binary")).alias("_h"))
+                       F.md5(named.cast("binary")).alias("_h"))
     narrow = rows.select("queue", "_size")
     totals = narrow.groupBy("queue").agg(F.sum("_size").alias("total"), F.count(F.lit(1)).alias("rows"))
     if shares is None:
@@ -79,7 +82,7 @@ def mix(docs: DataFrame, shares: DataFrame | None = None, *, block: int = BLOCK,
     reach = final.withColumn("end", F.lit(end)).withColumn("blocks", (F.floor(F.col("end") / F.col("period")) + 1) * F.col("share"))
     width = max(0, min(3, (int(totals.agg(F.max("rows")).first()[0] or 0) // ROWS_PER_BUCKET).bit_length() // 4 + 1))
     streamed = prefix_sums(rows, ["queue"], ["_h", "_size"], F.substring("_h", 1, width), "_size", "_start")
-    read = streamed.join(reach, "queue")
+    read = streamed.join(F.broadcast(reach), "queue")  # both tables have no more rows than the period has slots
     last_epoch = F.floor((F.col("blocks") * block - 1) / F.col("total")) if epochs else F.lit(0).cast("long")
     read = read.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last_epoch)).alias("epoch"))
     read = read.withColumn("_at", F.col("_start") + F.col("epoch") * F.col("total")).withColumn("block", F.floor(F.col("_at") / block))

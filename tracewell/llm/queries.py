@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracewell.llm import mixing, packing, sequences, simhash
 
@@ -69,7 +70,8 @@ where (y.block // c.share) * c.period + c.slot <= f.last or y.epoch = 0
 @query("op1_mixing", MIX_SQL)
 def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Where the mixture puts every document of every source, shares tempered by size."""
-    mixed = mixing.mix(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "source", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"))
+    mixed = mixing.mix(docs, size=F.col("size"))
     return mixed.select("doc_id", "source", "epoch", "block", "slot", "start")
 
 
