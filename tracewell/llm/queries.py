@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, packing, sequences, simhash
+from tracewell.llm import mixing, packing, quality, sequences, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,10 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in windows that show the sources' shares of all tokens."""
     return packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
+
+
+@query("op8_quality_ratio")
+def op8_quality_ratio(spark: SparkSession, folder: str) -> DataFrame:
+    """Base statistics and the ratio verdict of all documents; trusted are those labelled as good."""
+    trusted = table(spark, folder, "labels").filter("quality = 1")
+    return quality.judge(table(spark, folder, "documents"), trusted)
