@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, packing, quality, sequences, simhash
+from tracewell.llm import mixing, ordinal, packing, quality, sequences, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,3 +98,16 @@ def op8_quality_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Base statistics and the ratio verdict of all documents; trusted are those labelled as good."""
     trusted = table(spark, folder, "labels").filter("quality = 1")
     return quality.judge(table(spark, folder, "documents"), trusted)
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, their disguises restored."""
+    return toxicity.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_ordinal")
+def op9_ordinal(spark: SparkSession, folder: str) -> DataFrame:
+    """Grades of all documents: 0 poor, 1 good but toxic, 2 good."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
+    return ordinal.grades(table(spark, folder, "documents"), table(spark, folder, "labels"), grade, 3)
