@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import mixing, ordinal, packing, quality, sequences, simhash, toxicity
+from tracewell.llm import hilbert, mixing, ordinal, packing, quality, sequences, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,3 +111,9 @@ def op9_ordinal(spark: SparkSession, folder: str) -> DataFrame:
     """Grades of all documents: 0 poor, 1 good but toxic, 2 good."""
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 2)
     return ordinal.grades(table(spark, folder, "documents"), table(spark, folder, "labels"), grade, 3)
+
+
+@query("op2_hilbert")
+def op2_hilbert(spark: SparkSession, folder: str) -> DataFrame:
+    """Twenty nearest vectors of every twentieth id."""
+    return hilbert.search(table(spark, folder, "embeddings"), 20, 20)
