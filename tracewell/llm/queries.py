@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import hilbert, mixing, ordinal, packing, quality, sequences, simhash, toxicity
+from tracewell.llm import hilbert, lines, mixing, ordinal, packing, quality, sequences, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,9 @@ def op9_ordinal(spark: SparkSession, folder: str) -> DataFrame:
 def op2_hilbert(spark: SparkSession, folder: str) -> DataFrame:
     """Twenty nearest vectors of every twentieth id."""
     return hilbert.search(table(spark, folder, "embeddings"), 20, 20)
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and verdict of every line of all documents."""
+    return lines.line_classes(table(spark, folder, "documents"))
