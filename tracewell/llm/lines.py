@@ -11,6 +11,8 @@ from tracewell.llm.quality import let
 EDITS = 2
 #: Shorter lines are only compared for equality: two edits would be too large a part of them.
 MIN_CHARS = 40
+#: Letters that the sketch of a line counts, four bits each.
+LETTERS = "etanioshrldcugm "
 #: A document that lost this share to one earlier document of nearly its size is that document's copy.
 COPY_SHARE = 0.5
 COPY_SIZE = 0.25
@@ -47,11 +49,26 @@ def probe_keys(line: Column, length: Column, edits: int) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def sketch(line: Column) -> Column:
+    """Counts of sixteen letters modulo 16, in 64 bits."""
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long") for c in LETTERS]
+    return sum((F.shiftleft(n, 4 * k) for k, n in enumerate(counts)), F.lit(0).cast("long"))
+
+
+def sketches_near(a: Column, b: Column, edits: int) -> Column:
+    """False only where more than ``edits`` edits lie between: each changes two counts by one at most."""
+    apart = F.lit(0)
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
+        apart = apart + F.least(d, 16 - d)
+    return apart <= 2 * edits
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two texts is at most ``edits``, by bit vectors over the band of 2 * edits + 1 diagonals.
 
     Bit r of column j stands for row j - edits + r. The score follows the lowest diagonal down to the last row, then that
-    row to the end.
+    row to the end. An equal beginning put before both texts leaves no text shorter than the band.
     """
     top, full = 2 * edits, (1 << (2 * edits + 1)) - 1
 
@@ -86,7 +103,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
         return F.when(far, False).otherwise(F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["dist"] <= edits))
 
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.abs(F.length(a) - F.length(b)) <= edits).otherwise(
-        let(F.struct(F.split(a, "").alias("rows"), F.split(b, "").alias("cols")), run))
+        let(F.struct(F.split(F.concat(F.lit("x" * edits), a), "").alias("rows"), F.split(F.concat(F.lit("x" * edits), b), "").alias("cols")), run))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -103,10 +120,10 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     """
     place = F.struct("doc_id", "line_no")
     lines = numbered(docs).groupBy("id").agg(F.min(place).alias("place"), F.max("line").alias("line"))
-    long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars)
-    index = long.select("id", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = long.select(F.col("id").alias("other"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    pairs = probe.join(index, "key").filter("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars).withColumn("s", sketch(F.col("line")))
+    index = long.select("id", "s", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    probe = long.select(F.col("id").alias("other"), F.col("s").alias("t"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    pairs = probe.join(index, "key").filter((F.col("id") != F.col("other")) & sketches_near(F.col("s"), F.col("t"), edits)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     texts = lines.select("id", "line")
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
     links = landed(both.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b"), "line-links")
