@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import hilbert, lines, mixing, ordinal, packing, quality, sequences, simhash, toxicity
+from tracewell.llm import hilbert, lines, mixing, ordinal, packing, pitmanyor, quality, sequences, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,3 +123,9 @@ def op2_hilbert(spark: SparkSession, folder: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Class and verdict of every line of all documents."""
     return lines.line_classes(table(spark, folder, "documents"))
+
+
+@query("op10_pitman_yor")
+def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probabilities of all documents by the hierarchical model and by the add-one unigram."""
+    return pitmanyor.score_texts(table(spark, folder, "documents"))
