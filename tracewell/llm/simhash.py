@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import components, landed, text_bytes, words_of
@@ -138,7 +138,7 @@ def keep_one(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     found = simhash_components(docs, shingle, distance)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     named = docs.filter("doc_id is not null")
-    kept = named.join(first, "doc_id", "left_semi").select(docs.columns)
-    once = kept.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-    once = once.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
-    return once.unionByName(docs.filter("doc_id is null"))
+    # the join leaves equal ids in one partition; a repeated id keeps the row with the smallest hash
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
+    kept = named.join(first, "doc_id", "left_semi").withColumn("_n", F.row_number().over(order)).filter("_n = 1")
+    return kept.select(docs.columns).unionByName(docs.filter("doc_id is null"))

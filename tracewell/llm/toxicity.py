@@ -179,17 +179,18 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, *, bound: int =
     return {f: p for f, p in marks.items() if p >= PRECISION}
 
 
-def score(docs: DataFrame, model: np.ndarray, marks: dict[str, float]) -> DataFrame:
-    """(doc_id, score): one minus the chance that every mark found in the text is a false alarm, and a low floor without any."""
+def _scorer(model: np.ndarray, marks: dict[str, float]):
+    """Function from texts to scores: one minus the chance that every mark found is a false alarm; a low floor without any."""
     table = model.tolist()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         restorer = Restorer(table)
         known = set(marks)
         heads = [(k, {f[:-1] for f in known if f[-1] == "~" and len(f) == k + 1}) for k in PREFIXES]
-        for batch in batches:
-            scores = []
-            for text in text_bytes(batch.column(1)):
+
+        def scores(texts: list[bytes]) -> list[float]:
+            made = []
+            for text in texts:
                 text = text.decode().lower()
                 words = set(WORD.findall(text))
                 found = words & known
@@ -197,12 +198,40 @@ def score(docs: DataFrame, model: np.ndarray, marks: dict[str, float]) -> DataFr
                     found.update(w[:k] + "~" for w in words if w[:k] in some and len(w) > k)
                 found |= restorer.readings(text) & known
                 best = sorted((marks[f] for f in found), reverse=True)[:3]
-                scores.append(1 - 0.98 * math.prod(1 - p for p in best))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+                made.append(1 - 0.98 * math.prod(1 - p for p in best))
+            return made
+
+        return scores
+
+    return start
+
+
+def score(docs: DataFrame, model: np.ndarray, marks: dict[str, float]) -> DataFrame:
+    """(doc_id, score) of every row."""
+    start = _scorer(model, marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = start()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(text_bytes(batch.column(1))), pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
+def reject(docs: DataFrame, labels: DataFrame, *, cutoff: float = CUTOFF, bound: int = LABELLED_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is below the cutoff."""
+    model = letter_model(docs)
+    start = _scorer(model, learn(docs, labels, model, bound=bound))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = start()
+        for batch in batches:
+            yield batch.filter(pa.array(np.array(scores(text_bytes(batch.column(place))), float) < cutoff))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, cutoff: float = CUTOFF, bound: int = LABELLED_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.
 
