@@ -20,8 +20,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 FILLER = " .-_*"
 LABELLED_ROWS = 20_000
 LEXICON = 20_000
-CONTEXTS = 8
-PRECISION = 0.97
+CONTEXTS = 3
+PRECISION = 0.85
 PREFIXES = (4, 5)
 CUTOFF = 0.7
 SYMBOLS = 28  # boundary, a-z, any other letter
