@@ -225,7 +225,7 @@ def test_disguises_are_read(spark, sf):
 
 
 def test_toxicity_learns_and_leaves_held_out_labels(spark, empty, labels):
-    made = [row(i, f"well {'abc'[i % 3]} {'grimble' if i % 3 == 0 else 'gentle'} {'xyz'[i % 2]} words number{i}") for i in range(60)]
+    made = [row(i, f"well {'abcdefgh'[i // 3 % 8]} {'grimble' if i % 3 == 0 else 'gentle'} {'xyz'[i % 2]} words number{i}") for i in range(60)]
     made += [row(200, "now gr1mble again"), row(201, "so g r i m b l e it"), row(202, None), row(203, ""), row(None, "gentle"), row(200, "now gr1mble again")]
     docs = spark.createDataFrame(made, SCHEMA)
     got = toxicity.judge(docs, labels).collect()

@@ -96,6 +96,7 @@ def grades(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, *, b
     known = known.groupBy("doc_id").agg(F.min("grade").alias("grade")).filter(~held_out("doc_id", 3, 1))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    got = []
     if sample:
         few = spark.createDataFrame(sample, "doc_id long, grade int")
 
@@ -109,6 +110,7 @@ def grades(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, *, b
         rated = rows.join(F.broadcast(few), "doc_id").select("text", "grade")  # at most ``bound`` rows
         got = rated.mapInArrow(measure, "grade int, i binary, v binary").collect()
         got.sort(key=lambda r: (r["grade"], r["i"], r["v"]))
+    if got:
         model = Ordinal.fit([(np.frombuffer(r["i"], "<i4"), np.frombuffer(r["v"], "<f4").astype(float)) for r in got], np.array([r["grade"] for r in got]), levels)
     else:
         model = Ordinal(np.zeros(BUCKETS + STYLE), -np.log(levels / np.arange(1, levels) - 1))

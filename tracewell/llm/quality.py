@@ -56,14 +56,14 @@ def ngrams(words: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(single, F.coalesce(pairs, F.array().cast("array<bigint>")))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, grams) of each row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("t"))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
 
     def of_words(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"), ngrams(words).alias("grams"))
+        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).alias("n_repeat_words"), ngrams(words, buckets).alias("grams"))
 
     found = rows.select("doc_id", let(words_of(F.col("t")), of_words).alias("w"),
                         F.length(F.translate("t", " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"),
@@ -99,7 +99,7 @@ def judge(docs: DataFrame, trusted: DataFrame, *, threshold: float = THRESHOLD,
     empty result. Other columns are ignored.
     """
     weights = ratios(docs, trusted, buckets)
-    rows = statistics(docs).withColumn("_row", F.monotonically_increasing_id())
+    rows = statistics(docs, buckets).withColumn("_row", F.monotonically_increasing_id())
     keys = ["_row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     grams = rows.select(*keys, F.explode_outer("grams").alias("bucket")).join(F.broadcast(weights), "bucket", "left")  # at most ``buckets`` rows
     scored = grams.groupBy(*keys).agg(F.coalesce(F.avg("llr"), F.lit(0.0)).alias("score"))
