@@ -168,6 +168,9 @@ def test_line_distance_and_keys(spark):
                              F.when(F.length("a") >= F.length("b"), F.col("b")).otherwise(F.col("a")).alias("q"))
         met = F.arrays_overlap(lines.probe_keys(F.col("p"), F.length("p"), edits), lines.index_keys(F.col("q"), F.length("q"), edits))
         assert longer.filter(~met).count() == 0
+        plain = F.octet_length("p") == F.length("p")
+        for keys in (lines.index_keys, lines.probe_keys):
+            assert longer.filter(keys(F.col("p"), F.length("p"), edits) != keys(F.col("p"), F.length("p"), edits, plain)).count() == 0
         assert longer.filter(~lines.sketches_near(lines.sketch(F.col("p")), lines.sketch(F.col("q")), edits)).count() == 0
 
 

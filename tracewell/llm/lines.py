@@ -25,27 +25,30 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return [(i * base + F.greatest(i - short, F.lit(0)), base + F.when(i >= short, 1).otherwise(0)) for i in map(F.lit, range(edits + 1))]
 
 
-def _key(i: int, length: Column, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size))
+def _key(i: int, length: Column, line: Column, start: Column, size: Column, plain: Column) -> Column:
+    """Hash of a piece of the line; bytes of a plain (ASCII) line are reached without counting characters, to the same hash."""
+    return F.when(plain, F.xxhash64(F.lit(i), length, F.substring(line.cast("binary"), start + 1, size))).otherwise(
+        F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size)))
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
-    return F.array(*[_key(i, length, line, at, size) for i, (at, size) in enumerate(segments(length, edits))])
+def index_keys(line: Column, length: Column, edits: int, plain: Column | None = None) -> Column:
+    plain = F.lit(False) if plain is None else plain
+    return F.array(*[_key(i, length, line, at, size, plain) for i, (at, size) in enumerate(segments(length, edits))])
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> Column:
+def probe_keys(line: Column, length: Column, edits: int, plain: Column | None = None) -> Column:
     """Keys under which a line no longer than this one, and at most ``edits`` away, stands in the index.
 
     For each length and segment only the starts are probed at which the edits before and after the segment can still
     add up to ``edits``.
     """
-    found = []
+    found, plain = [], F.lit(False) if plain is None else plain
     for shorter in range(edits + 1):
         other = length - shorter
         for i, (at, size) in enumerate(segments(other, edits)):
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
                 start = at + shift
-                found.append(F.when((start >= 0) & (start + size <= length), _key(i, other, line, start, size)))
+                found.append(F.when((start >= 0) & (start + size <= length), _key(i, other, line, start, size, plain)))
     return F.array_compact(F.array(*found))
 
 
@@ -120,9 +123,9 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     """
     place = F.struct("doc_id", "line_no")
     lines = numbered(docs).groupBy("id").agg(F.min(place).alias("place"), F.max("line").alias("line"))
-    long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars).withColumn("s", sketch(F.col("line")))
-    index = long.select("id", "s", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    probe = long.select(F.col("id").alias("other"), F.col("s").alias("t"), F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars).withColumns({"s": sketch(F.col("line")), "plain": F.octet_length("line") == F.col("n")})
+    index = long.select("id", "s", F.explode(index_keys(F.col("line"), F.col("n"), edits, F.col("plain"))).alias("key"))
+    probe = long.select(F.col("id").alias("other"), F.col("s").alias("t"), F.explode(probe_keys(F.col("line"), F.col("n"), edits, F.col("plain"))).alias("key"))
     pairs = probe.join(index, "key").filter((F.col("id") != F.col("other")) & sketches_near(F.col("s"), F.col("t"), edits)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     texts = lines.select("id", "line")
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
