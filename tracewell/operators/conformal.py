@@ -57,7 +57,7 @@ def p_values(df: DataFrame, keys: Sequence[str], score: str, calibration: Column
     walked = running(counts, keys, [score], sums={"_upto": F.col("_c")}, totals={"_all": F.col("_c")}, rows=rows)
     at_least = F.col("_all") - F.col("_upto") + F.col("_c")
     table = walked.select(*keys, score, ((at_least + 1.0) / (F.col("_all") + 1.0)).alias(name))
-    return df.join(table, [*keys, score])
+    return session.join_null_safe(df, table, [*keys, score])
 
 
 def weighted_quantiles(calibration: DataFrame, tests: DataFrame, keys: Sequence[str], *, score: str,

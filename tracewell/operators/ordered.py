@@ -125,10 +125,10 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
             *[F.max(f"_tm{i}").over(before).alias(f"_cm{i}") for i in range(len(maxima))],
             *[F.lag(f"_tl{i}").over(chain).alias(f"_cl{i}") for i in range(len(lags))],
         )
-        out = out.join(carry, [*keys, CHUNK], "left")
+        out = session.join_null_safe(out, carry, [*keys, CHUNK], "left")
         if totals:
             whole = df.groupBy(*keys).agg(*[F.sum(expr).alias(name) for name, expr in totals.items()])
-            out = out.join(whole, list(keys))
+            out = session.join_null_safe(out, whole, list(keys)) if keys else out.join(whole, list(keys))
     final: dict[str, Column] = {name: F.col(name) for name in totals}
     for i, name in enumerate(sums):
         value = F.col(f"_S{i}")

@@ -114,7 +114,7 @@ def correlations(df: DataFrame, keys: Sequence[str], x: str, y: str, *,
     base = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     rx = average_ranks(base, keys, "_x", "_rx", rows=rows)
     ry = average_ranks(base, keys, "_y", "_ry", rows=rows)
-    ranked = base.join(rx, [*keys, "_x"]).join(ry, [*keys, "_y"])
+    ranked = session.join_null_safe(session.join_null_safe(base, rx, [*keys, "_x"]), ry, [*keys, "_y"])
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), guarded_corr("_x", "_y").alias("pearson"),
         guarded_corr("_rx", "_ry").alias("spearman"))

@@ -44,7 +44,7 @@ def robust_parameters(long: DataFrame, keys: Sequence[str], value: str, *, rule:
         rows = base.count()
     wanted = {"center": 0.5, "_q1": 0.25, "_q3": 0.75} if rule == "spread" else {"center": 0.5}
     mid = quantiles(base, keys, "_x", wanted, rows=rows)
-    away = base.join(mid, list(keys)).withColumn("_d", F.abs(F.col("_x") - F.col("center")))
+    away = session.join_null_safe(base, mid, list(keys)).withColumn("_d", F.abs(F.col("_x") - F.col("center")))
     peak = F.max("_d") if rule == "centered" else F.max(F.abs("_x"))
     stats = [F.stddev_pop("_x").alias("std"), peak.alias("peak"), *[F.max(c).alias(c) for c in wanted]]
     if rows <= limit:

@@ -13,21 +13,19 @@ ORACLES: dict[str, str] = {}
 class Tables:
     """Lazy access to one folder of parquet tables and their proven row counts."""
 
-    _counts: dict[tuple[str, str], int] = {}
-
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._counts: dict[str, int] = {}
 
     def __call__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def rows(self, name: str, times: int = 1) -> int:
-        """Row count of a table, read from the file footers once, times a growth factor."""
-        key = (self.folder, name)
-        if key not in self._counts:
-            self._counts[key] = self(name).count()
-        return self._counts[key] * times
+        """Row count of a table, read from the file footers once per query, times a growth factor."""
+        if name not in self._counts:
+            self._counts[name] = self(name).count()
+        return self._counts[name] * times
 
 
 def query(name: str, sql: str | None = None):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROWS_PER_CHUNK = "spark.tracewell.rowsPerChunk"
 BROADCAST_ROWS = "spark.tracewell.broadcastRows"
@@ -50,3 +51,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint(eager=True)
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on keys in which null meets null; the keys appear once, from the left."""
+    if not keys:
+        return left.join(right, keys, how)
+    there = {k: f"_right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(there)
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(there[k]))
+    return left.join(renamed, same, how).drop(*there.values())
