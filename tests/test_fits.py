@@ -146,7 +146,7 @@ def test_isolation_forest_ranks_outliers_first(spark):
     rng = np.random.default_rng(8)
     x = np.vstack([rng.normal(size=(500, 3)), rng.normal(size=(10, 3)) + 8])
     df = spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(id=np.arange(510)))
-    forest = IsolationForest.fit(df.filter("id < 500"), list("abc"), "id", trees=40, rows=500)
+    forest = IsolationForest.fit(df.filter("id < 500"), list("abc"), "id", trees=40)
     s = forest.score(df).toPandas().sort_values("id").score.to_numpy()
     assert s[500:].min() > np.quantile(s[:500], .98)
     assert ((s > 0) & (s < 1)).all()
@@ -233,3 +233,11 @@ def test_surrogate_selection_matches_refits(spark):
             maes.append(np.abs(np.fft.irfft(s, n=pos, axis=1) - y[te]).mean())
         assert abs(got.cv_mae.iloc[c] - np.mean(maes)) < 1e-9
     assert got.selected.tolist() == [True, False]
+
+
+def test_every_tree_has_its_sample_at_every_size(spark):
+    for n in (100, 293, 10_000, 200_000):
+        df = spark.range(n).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"))
+        forest = IsolationForest.fit(df, ["a", "b"], "id", trees=20)
+        roots = forest.nodes[forest.nodes["depth"] == 0]
+        assert len(roots) == 20 and set(roots["size"]) == {min(256, n)} == {forest.sample}

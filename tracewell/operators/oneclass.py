@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewell.functions.scalars import hash_draw
 from tracewell.operators import covariance
 from tracewell.operators.ranks import order_statistic
 
@@ -58,33 +57,33 @@ class IsolationForest:
     trees: int
 
     @classmethod
-    def fit(cls, df: DataFrame, features: Sequence[str], row_id: str, *, trees: int = 100, sample: int = 256,
-            seed: int = 711, rows: int | None = None) -> IsolationForest:
-        """One hash sample per tree.
+    def fit(cls, df: DataFrame, features: Sequence[str], row_id: str, *, trees: int = 500, sample: int = 256,
+            seed: int = 711) -> IsolationForest:
+        """Every tree sees min(sample, n) rows: those of its smallest hashes, by one rule at every size.
 
-        A long table is thinned once to a little more than trees * sample rows, which a second hash
-        deals to the trees. A short table is offered to every tree in full.
+        A row is offered only to the trees whose hash of it is small enough for the sample and a margin of
+        eight standard deviations, so a group holds little more than a sample. The rows of ``df`` itself are
+        counted; a looser bound would thin the samples.
         """
-        n = rows if rows is not None else df.count()
         data = df.select(F.col(row_id).alias("_id"), *[F.col(f).cast("double").alias(f) for f in features])
-        if n > 4 * trees * sample:
-            keep = 2.0 * trees * sample / n
-            data = data.filter(hash_draw(F.lit(seed), "_id") < F.lit(int(keep * 2 ** 32)))
-            dealt = data.withColumn("tree", (hash_draw(F.lit(seed + 1), "_id") % trees).cast("int"))
-        else:
-            dealt = data.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        dealt = dealt.withColumn("_h", hash_draw("tree", "_id", F.lit(seed)))
+        n = data.count()
+        if not n:
+            raise ValueError("an isolation forest needs training rows")
+        share = min(1.0, (sample + 8 * math.sqrt(sample) + 32) / n)
+        top = F.lit(int((2.0 * share - 1.0) * 2 ** 63) if share < 1.0 else 2 ** 63 - 1)
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda k: F.struct(k.alias("tree"), F.xxhash64(k, F.col("_id"), F.lit(seed)).alias("_h")))
+        offered = data.withColumn("_d", F.explode(F.filter(drawn, lambda d: d["_h"] <= top))).select("*", "_d.tree", "_d._h").drop("_d")
         names = list(features)
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:
             chosen = pdf.sort_values(["_h", "_id"]).head(sample)
             return _grow(int(pdf["tree"].iloc[0]), chosen[names].to_numpy(float), seed)
 
-        # rows beyond the sample of a tree leave before the group is formed
-        share = min(1.0, 2.0 * sample / max(1, n if n <= 4 * trees * sample else 2 * sample))
-        offered = dealt.filter(F.col("_h") <= F.lit(int(share * 2 ** 32))) if share < 1.0 else dealt
         nodes = offered.groupBy("tree").applyInPandas(build, NODE_SCHEMA).toPandas()  # at most 2 * sample nodes per tree
-        size = int(nodes.loc[nodes["depth"] == 0, "size"].max())
+        sizes = nodes.loc[nodes["depth"] == 0, "size"]
+        size = min(sample, n)
+        if len(sizes) != trees or int(sizes.min()) < size:
+            raise ValueError(f"{len(sizes)} of {trees} trees, the smallest with {sizes.min()} of {size} rows: row ids must tell rows apart")
         return cls(names, nodes.sort_values(["tree", "node"]), size, trees)
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:

@@ -380,14 +380,14 @@ def l21(t: Tables) -> DataFrame:
 
 
 @query("l36_same_block_effects", f"""
-with {BLOCKS_SQL}, lv as (select block_id, score, is_healthy, load, record_id from blk where block_id < 6 union all select -1, score, is_healthy, load, record_id from blk where block_id < 6),
+with {BLOCKS_SQL}, lv as (select block_id, score, is_healthy, load, record_id from blk union all select -1, score, is_healthy, load, record_id from blk),
 rk as (select *, rank() over (partition by block_id order by score) + (count(*) over (partition by block_id, score) - 1) / 2.0::double as rk from lv),
 au as (select block_id, count(*) filter (where is_healthy) as healthy_units, count(*) filter (where not is_healthy) as fault_units,
               (sum(rk) filter (where not is_healthy) - count(*) filter (where not is_healthy) * (count(*) filter (where not is_healthy) + 1) / 2.0::double)
               / (count(*) filter (where not is_healthy) * count(*) filter (where is_healthy)) as auc,
               count(*) filter (where not is_healthy)::double as na, count(*) filter (where is_healthy)::double as nb, avg(score) filter (where not is_healthy) as ma, avg(score) filter (where is_healthy) as mb,
               var_samp(score) filter (where not is_healthy) as va, var_samp(score) filter (where is_healthy) as vb from rk group by 1),
-hb as (select load, block_id, avg(score) as h from blk where is_healthy and block_id < 6 group by 1, 2),
+hb as (select load, block_id, avg(score) as h from blk where is_healthy group by 1, 2),
 df as (select b.block_id, score - h as d from blk b join hb using (load, block_id) where not is_healthy), dl as (select * from df union all select -1, d from df),
 dz as (select block_id, count(*) as pairs, avg(d) as md, median(d) as mdd, avg(d) / nullif(stddev_samp(d), 0) as dz from dl group by 1)
 select au.block_id, healthy_units, fault_units, {r('auc')} as auroc, {r('greatest(auc, 1 - auc)')} as direction_free,
@@ -396,7 +396,7 @@ select au.block_id, healthy_units, fault_units, {r('auc')} as auroc, {r('greates
 def l36(t: Tables) -> DataFrame:
     """Every block and an all-block level come from one fan-out by two."""
     rows = t.rows("events", 2)
-    b = blocks(t).filter("block_id < 6")
+    b = blocks(t)
     levels = F.explode(F.array(F.col("block_id"), F.lit(-1).cast("long")))
     lv = b.select("load", "record_id", "score", "is_healthy", levels.alias("block_id"))
     key, fault = ["block_id"], ~F.col("is_healthy")
@@ -411,14 +411,14 @@ def l36(t: Tables) -> DataFrame:
 
 
 @query("l37_block_matched_auroc", f"""
-with {METHOD_SQL}, s as (select method, block_id, score, role = 'fault_test' as pos from ma where role in ('fault_test', 'health_test') and block_id < 8),
+with {METHOD_SQL}, s as (select method, block_id, score, role = 'fault_test' as pos from ma where role in ('fault_test', 'health_test')),
 lv as (select method, block_id, score, pos from s union all select method, -1, score, pos from s),
 rk as (select *, rank() over (partition by method, block_id order by score) + (count(*) over (partition by method, block_id, score) - 1) / 2.0::double as rk from lv),
 au as (select method, block_id, (sum(rk) filter (where pos) - count(*) filter (where pos) * (count(*) filter (where pos) + 1) / 2.0::double) / (count(*) filter (where pos) * count(*) filter (where not pos)) as a from rk group by 1, 2)
 select method, {r('avg(a) filter (where block_id >= 0)')} as equal_weight_mean, {r('min(a) filter (where block_id >= 0)')} as minimum, {r('max(a) filter (where block_id >= 0)')} as maximum,
        {r('max(a) filter (where block_id = -1)')} as pooled from au group by 1""")
 def l37(t: Tables) -> DataFrame:
-    s = method_blocks(t).filter("role in ('fault_test', 'health_test') and block_id < 8")
+    s = method_blocks(t).filter("role in ('fault_test', 'health_test')")
     lv = s.select("method", "score", "role", F.explode(F.array(F.col("block_id"), F.lit(-1).cast("long"))).alias("block_id"))
     a = ranks.auroc(lv, ["method", "block_id"], "score", F.col("role") == "fault_test", rows=t.rows("events", 2))
     one = F.when(F.col("block_id") >= 0, F.col("auroc"))

@@ -74,7 +74,7 @@ def l13(t: Tables) -> DataFrame:
 @query("l16_isolation_forest")
 def l16(t: Tables) -> DataFrame:
     f = features(t)
-    forest = IsolationForest.fit(f.filter("is_reference"), X8, "vec_id", trees=50, rows=t.rows("embeddings"))
+    forest = IsolationForest.fit(f.filter("is_reference"), X8, "vec_id")
     return rounded(forest.score(f).select("vec_id", "label", "score"))
 
 
@@ -187,7 +187,7 @@ def l39(t: Tables) -> DataFrame:
     out = None
     for scope, train in (("target", target), ("balanced", pooled)):
         for seed in (711, 712):
-            forest = IsolationForest.fit(train, X8, "vec_id", trees=20, seed=seed, rows=t.rows("embeddings"))
+            forest = IsolationForest.fit(train, X8, "vec_id", seed=seed)
             s = forest.score(f).select("vec_id", "label", "is_reference", "score").withColumns(
                 {"method": F.lit(f"{scope}_forest"), "seed": F.lit(seed)})
             out = s if out is None else out.unionByName(s)

@@ -372,13 +372,13 @@ def d2(t: Tables) -> DataFrame:
 
 
 @query("d3_full_outer", """
-with a as (select l_suppkey as k, count(*) as n from lineitem where l_returnflag = 'A' and l_quantity > 48 group by 1),
-b as (select l_suppkey as k, count(*) as n from lineitem where l_returnflag = 'R' and l_quantity > 48 group by 1)
+with a as (select l_suppkey as k, count(*) as n from lineitem where l_returnflag = 'A' group by 1),
+b as (select l_suppkey as k, count(*) as n from lineitem where l_returnflag = 'R' group by 1)
 select coalesce(a.k, b.k) as l_suppkey, case when a.k is null then 'right_only' when b.k is null then 'left_only' else 'both' end as found,
        a.n as n_a, b.n as n_b from a full join b on a.k = b.k""")
 def d3(t: Tables) -> DataFrame:
     def side(flag: str, name: str) -> DataFrame:
-        return t("lineitem").filter((F.col("l_returnflag") == flag) & (F.col("l_quantity") > 48)).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias(name))
+        return t("lineitem").filter(F.col("l_returnflag") == flag).groupBy("l_suppkey").agg(F.count(F.lit(1)).alias(name))
 
     j = side("A", "n_a").join(side("R", "n_b"), "l_suppkey", "full")
     found = F.when(F.col("n_a").isNull(), "right_only").when(F.col("n_b").isNull(), "left_only").otherwise("both")

@@ -40,16 +40,22 @@ def broadcast_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(BROADCAST_ROWS, str(DEFAULT_BROADCAST_ROWS)))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a fresh local folder only where it is unset and driver and executors are one process."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+
 
-    A local folder is set only when the session names none, which happens in tests.
-    """
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder named by spark.checkpoint.dir."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tracewell import session
+
 
 def landing_folder(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only when the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one."""
+    return f"{session.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_stream(spark: SparkSession, folder: str, table: str, *, files_per_batch: int = 1000) -> DataFrame:
