@@ -11,8 +11,17 @@ from collections.abc import Iterable
 MEMO_WORDS = 1_400_000
 #: White space outside ASCII: a text that holds any is encoded as a whole.
 OTHER_SPACE = "\x1c-\x1f\x85\xa0  -     　"
-#: What keeps a text from being cut at each single space and line end between two visible characters.
-UNEVEN = re.compile(rf"[\t\r\v\f{OTHER_SPACE}]|[ \n][ \n]|\A[ \n]|[ \n]\Z")
+RARE_SPACE = re.compile(rf"[\t\r\v\f{OTHER_SPACE}]")
+
+
+def uneven(text: str) -> bool:
+    """Whether a text can't be cut at each single space and line end between two visible characters."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or any(pair in text for pair in ("  ", "\n\n", " \n", "\n ")):
+        return True
+    if text.isascii():
+        return any(c in text for c in "\t\r\v\f\x1c\x1d\x1e\x1f")
+    return RARE_SPACE.search(text) is not None
+
 
 _open: dict[tuple[str, bool], Encoder] = {}
 
@@ -33,6 +42,7 @@ class Encoder:
         self.drops_space = drops_space
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.memo: dict = {}
+        self.heads: dict = {}  # first words of lines, which have no space before them
 
     @property
     def width(self) -> int:
@@ -41,16 +51,16 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: set, lead: str = " ") -> None:
-        new = words - self.memo.keys()
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
+    def _learn(self, words: set, memo: dict, lead: str = " ") -> None:
+        new = words - memo.keys()
+        if len(memo) + len(new) > (MEMO_WORDS if memo is self.memo else MEMO_WORDS // 8):
+            memo.clear()
             new = words
         new = list(new)
         for at in range(0, len(new), 8192):
             part = new[at:at + 8192]
             texts = [w.decode() for w in part] if self.drops_space else [lead + w for w in part]
-            self.memo.update(zip(part, self._whole(texts)))
+            memo.update(zip(part, self._whole(texts)))
 
     def encode(self, texts: list[bytes]) -> Iterable[bytes]:
         """Ids of each text as little-endian integers of ``width`` bytes."""
@@ -60,17 +70,17 @@ class Encoder:
 
     def _caseless(self, texts: list[bytes]) -> Iterable[bytes]:
         cut = [t.lower().split() for t in texts]
-        self._learn(set().union(*cut))
+        self._learn(set().union(*cut), self.memo)
         for words in cut:
             yield b"".join(map(self.memo.__getitem__, words))
 
     def _spaced(self, texts: list[str]) -> Iterable[bytes]:
         """Each space between two visible characters goes with the word after it, each line end stands alone."""
-        cut = [None if UNEVEN.search(t) or not t else [line.split(" ") for line in t.split("\n")] for t in texts]
-        self._learn({w for lines in cut if lines for line in lines for w in line[1:]})
-        heads = list({line[0] for lines in cut if lines for line in lines})
-        first = dict(zip(heads, self._whole(heads)))
-        get, end = self.memo.__getitem__, self._whole(["\n"])[0]
+        cut = [None if uneven(t) else [line.split(" ") for line in t.split("\n")] for t in texts]
+        some = [line for lines in cut if lines for line in lines]
+        self._learn(set().union(*[line[1:] for line in some]), self.memo)
+        self._learn({line[0] for line in some}, self.heads, "")
+        first, get, end = self.heads, self.memo.__getitem__, self._whole(["\n"])[0]
         for text, lines in zip(texts, cut):
             if lines is None:
                 yield self._whole([text])[0]
