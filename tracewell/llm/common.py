@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tracewell import session
+
 #: Rows of one ordered task in a prefix sum, and the largest number of such tasks before they grow.
 ROWS_PER_BUCKET = 20_000
 MAX_BUCKETS = 8_192
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir; a local one only when the session names none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder under the shared one."""
+    return f"{session.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def landed(df: DataFrame, name: str) -> DataFrame:
