@@ -110,18 +110,19 @@ def within(a: Column, b: Column, edits: int) -> Column:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, id) of all lines with a visible character; id is a 64-bit hash of the line."""
+    """(doc_id, size, line_no, line, id) of all lines with a visible character: characters of the text, 64-bit hash of the line."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    lines = rows.select("doc_id", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
+    lines = rows.select("doc_id", F.length("t").alias("size"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike("[^ \\t-\\r]")).withColumn("id", F.xxhash64("line"))
 
 
-def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, sized: bool = False) -> DataFrame:
     """(id, root, n_links, first_doc, first_line) of every different line: its class and the first place of the class.
 
-    Copies of a line are one row before anything is joined. Lines meet on (segment number, length, segment text).
+    Copies of a line are one row before anything is joined. Lines meet on (segment number, length, segment text). ``sized``
+    adds first_size, the characters of the first document, which travel with the place: no join on a much copied document.
     """
-    place = F.struct("doc_id", "line_no")
+    place = F.struct("doc_id", "line_no", *([(-F.col("size")).alias("less")] if sized else []))
     lines = numbered(docs).groupBy("id").agg(F.min(place).alias("place"), F.max("line").alias("line"))
     long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars).withColumns({"s": sketch(F.col("line")), "plain": F.octet_length("line") == F.col("n")})
     index = long.select("id", "s", F.explode(index_keys(F.col("line"), F.col("n"), edits, F.col("plain"))).alias("key"))
@@ -140,7 +141,8 @@ def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) ->
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
     rest = own.filter("n_links = 0").select("id", "root", "n_links", F.col("place").alias("first"))
     return (linked.join(first, "root").select("id", "root", "n_links", "first").union(rest)
-            .select("id", "root", "n_links", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line")))
+            .select("id", "root", "n_links", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
+                    *([(-F.col("first.less")).alias("first_size")] if sized else [])))
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -161,14 +163,15 @@ def drop_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     """Documents without the lines whose class has an earlier place, in the columns of ``docs`` (n_chars follows the text).
 
     A document goes where no visible line is left of those it had, or where at least half of it was taken by one earlier
-    document within a quarter of its size: what is left are the edits of a copy. Documents without visible lines stay.
+    document within a quarter of its size: what is left are the edits of a copy. Documents without visible lines stay. Of
+    rows with one id, the longest that lost a line gives the size, and equal lines of one number count once.
     """
-    gone = landed(line_classes(docs, edits, min_chars).filter(~F.col("kept") & F.col("doc_id").isNotNull()), "repeats").select("doc_id", "line_no", "class_doc")
-    sizes = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.length("text")).alias("size"))
-    lengths = numbered(docs).select("doc_id", F.col("line_no").cast("long"), F.length("line").alias("n"))
-    lost = gone.join(lengths, ["doc_id", "line_no"])
-    lost = lost.groupBy("doc_id", "class_doc").agg(F.sum("n").alias("n"), F.collect_set("line_no").alias("some"))
-    lost = lost.join(sizes, "doc_id").join(sizes.select(F.col("doc_id").alias("class_doc"), F.col("size").alias("class_size")), "class_doc", "left")
+    found = numbered(docs).select("doc_id", "size", F.col("line_no").cast("long"), F.length("line").alias("n"), "id")
+    named = classes(docs, edits, min_chars, sized=True).select("id", F.col("first_doc").alias("class_doc"), F.col("first_line").alias("class_line"), F.col("first_size").alias("class_size"))
+    first = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))
+    lost = found.join(named, "id").filter(~first & F.col("doc_id").isNotNull())
+    lost = lost.groupBy("doc_id", "class_doc").agg(F.collect_set(F.struct("line_no", "n")).alias("some"), F.max("size").alias("size"), F.max("class_size").alias("class_size"))
+    lost = lost.select("doc_id", "class_doc", "size", "class_size", F.col("some.line_no").alias("some"), F.aggregate("some", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"))
     copied = (F.col("class_doc") != F.col("doc_id")) & (F.col("n") >= COPY_SHARE * F.col("size")) & (F.abs(F.col("class_size") - F.col("size")) <= COPY_SIZE * F.col("size"))
     per = lost.groupBy("doc_id").agg(F.flatten(F.collect_list("some")).alias("_gone"), F.max(F.coalesce(copied, F.lit(False))).alias("_copy"))
     joined = docs.join(per.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
