@@ -10,11 +10,11 @@ NAMES = ("detected_records", "d5_conformal_p_values", "e2_grouped_quantiles", "e
          "e16a_robust_scale_relative", "e16c_robust_scale_spread", "e21_column_profile", "e24_quantile_bins", "c7_broken_runs", "f2_lag_lead",
          "f3_first_k", "f5_onset", "f6_sustained_runs", "f9_cumulative_mass", "f10_holm", "g3_conformal_thresholds", "m1_grouped_split",
          "m5_alternating_split", "m8_entity_balanced_blocks", "d7_asof", "d8_kth_neighbour", "d9_leave_one_out", "l11_context_support",
-         "l14_difficulty_scale", "l19_stratified_bootstrap", "l20_signed_ranks", "l23_weighted_conformal")
+         "l14_difficulty_scale", "e31_band_coverage", "l22_scaled_bands", "l19_stratified_bootstrap", "l20_signed_ranks", "l23_weighted_conformal")
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_chunked_plan_equals_sql(spark, sf, name):
+def test_chunked_plan_equals_sql(spark, sf, name, capsys):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
@@ -22,12 +22,16 @@ def test_chunked_plan_equals_sql(spark, sf, name):
     spark.conf.set("spark.tracewell.broadcastRows", "60")
     try:
         df = plans.QUERIES[name](spark, sf)
+        capsys.readouterr()
+        df.explain("formatted")
+        plan = capsys.readouterr().out
         got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     finally:
         spark.conf.unset("spark.tracewell.rowsPerChunk")
         spark.conf.unset("spark.tracewell.broadcastRows")
     found = con.execute(plans.ORACLES[name])
     assert got == rows_of([c[0] for c in found.description], found.fetchall())
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 def test_copies_do_not_multiply_pairs(spark):

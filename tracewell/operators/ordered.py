@@ -116,6 +116,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         ends += [F.max(f"_m{i}").alias(f"_tm{i}") for i in range(len(maxima))]
         ends += [F.max(F.struct(*order, F.struct(F.col(name).alias("v")).alias("last")))["last"]
                    .alias(f"_tl{i}") for i, name in enumerate(lags.values())]
+        ends += [F.sum(expr).alias(f"_tt{i}") for i, expr in enumerate(totals.values())]
         per_chunk = staged.groupBy(*keys, CHUNK).agg(*ends, F.count(F.lit(1)).alias("_rows"))
         chain = Window.partitionBy(*keys).orderBy(CHUNK)
         before = chain.rowsBetween(Window.unboundedPreceding, -1)
@@ -124,11 +125,9 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
             *[F.sum(f"_ts{i}").over(before).alias(f"_cs{i}") for i in range(len(sums))],
             *[F.max(f"_tm{i}").over(before).alias(f"_cm{i}") for i in range(len(maxima))],
             *[F.lag(f"_tl{i}").over(chain).alias(f"_cl{i}") for i in range(len(lags))],
+            *[F.sum(f"_tt{i}").over(Window.partitionBy(*keys)).alias(name) for i, name in enumerate(totals)],
         )
         out = session.join_null_safe(out, carry, [*keys, CHUNK], "left")
-        if totals:
-            whole = df.groupBy(*keys).agg(*[F.sum(expr).alias(name) for name, expr in totals.items()])
-            out = session.join_null_safe(out, whole, list(keys)) if keys else out.join(whole, list(keys))
     final: dict[str, Column] = {name: F.col(name) for name in totals}
     for i, name in enumerate(sums):
         value = F.col(f"_S{i}")

@@ -255,8 +255,8 @@ def l14(t: Tables) -> DataFrame:
 
     f = features(t)
     model = DifficultyScale.fit(f.filter("is_reference"), X8, k=5, floor=0.25, rows=t.rows("embeddings"))
-    scored = model.transform(f.filter("label in (0, 1)")).withColumn("_g", F.lit(1))
-    p = conformal.p_values(scored, ["_g"], "distance", F.col("label") == 1, name="support_p", rows=t.rows("embeddings"))
+    scored = model.transform(f.filter("label in (0, 1)"))
+    p = conformal.p_values(scored, [], "distance", F.col("label") == 1, name="support_p", rows=t.rows("embeddings"))
     return rounded(p.filter("label = 0").select("vec_id", "scale", "support_p"))
 
 

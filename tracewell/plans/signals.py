@@ -207,7 +207,7 @@ def curve_pairs(t: Tables) -> DataFrame:
 def curve_errors(t: Tables) -> DataFrame:
     y = F.col("y")
     return curve_pairs(t).withColumn("e", curves.absolute_errors("y", "p")).withColumn("emax", F.array_max("e")).withColumn(
-        "scale", F.sqrt(curves.array_sum(F.transform(y, lambda v: v * v)))).withColumn("method", F.lit("pairs"))
+        "scale", F.sqrt(curves.array_sum(F.transform(y, lambda v: v * v))))
 
 
 @query("e29_curve_metrics", f"""
@@ -240,12 +240,11 @@ def banded(t: Tables) -> DataFrame:
     rows = t.rows("embeddings")
     e = curve_errors(t).withColumn("ratio", F.col("emax") / F.col("scale"))
     cal = e.filter("is_cal")
-    g = conformal.threshold(cal, ["method"], "emax", 0.1, overflow="clamp", name="global", rows=rows).select("method", "global")
-    s = conformal.threshold(cal, ["method"], "ratio", 0.1, overflow="clamp", name="scaled", rows=rows).select("method", "scaled")
-    p = conformal.p_values(e, ["method"], "scale", F.col("is_cal"), name="support_p", rows=rows).filter("not is_cal")
-    both = F.inline(F.array(F.struct(F.lit("global").alias("band"), F.col("global").alias("width")),
-                            F.struct(F.lit("scaled").alias("band"), (F.col("scaled") * F.col("scale")).alias("width"))))
-    return p.join(g, "method").join(s, "method").select("vec_id", "e", "emax", "scale", "support_p", both)
+    g, s = (F.lit(conformal.threshold(cal, [], c, 0.1, overflow="clamp", rows=rows).first()["threshold"]) for c in ("emax", "ratio"))
+    p = conformal.p_values(e, [], "scale", F.col("is_cal"), name="support_p", rows=rows).filter("not is_cal")
+    both = F.inline(F.array(F.struct(F.lit("global").alias("band"), g.alias("width")),
+                            F.struct(F.lit("scaled").alias("band"), (s * F.col("scale")).alias("width"))))
+    return p.select("vec_id", "e", "emax", "scale", "support_p", both)
 
 
 @query("e31_band_coverage", f"""

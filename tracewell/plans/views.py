@@ -79,6 +79,5 @@ def block_scores(t: Tables) -> DataFrame:
 
 def blocks(t: Tables) -> DataFrame:
     """Block scores with conformal p-values and alarms."""
-    b = block_scores(t).withColumn("method", F.lit("robust"))
-    p = conformal.p_values(b, ["method"], "score", F.col("role") == "calibration", rows=t.rows("events"))
-    return p.drop("method").withColumn("alarm", F.col("p_value") <= F.lit(ALPHA))
+    p = conformal.p_values(block_scores(t), [], "score", F.col("role") == "calibration", rows=t.rows("events"))
+    return p.withColumn("alarm", F.col("p_value") <= F.lit(ALPHA))
