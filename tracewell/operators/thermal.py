@@ -43,13 +43,13 @@ def normalized_losses(df: DataFrame, key: str, index: str, floors: Mapping[str,
     return scaled.withColumns(dict(zip(LOSSES, loss_proxies(*parts)))).drop(*[f"_s_{n}" for n in MAGNITUDES])
 
 
-def raw_loss_scales(profiles: DataFrame, key: str, index: str, *, cap: int, rows: int | None = None) -> list[float]:
-    """Median over profiles of the p95 of each raw loss on at most ``cap`` rows."""
+def raw_loss_scales(profiles: DataFrame, key: str, index: str, *, cap: int | None = None, rows: int | None = None) -> list[float]:
+    """Median over profiles of the p95 of each raw loss, on all rows or the first ``cap``."""
     m = magnitudes()
-    raw = profiles.filter(F.col(index) < cap).select(
+    raw = (profiles if cap is None else profiles.filter(F.col(index) < cap)).select(
         key, *[F.abs(c).alias(n) for n, c in zip(LOSSES, loss_proxies(*[m[k] for k in MAGNITUDES]))])
-    p95 = raw.groupBy(key).agg(*[F.percentile(n, F.lit(0.95)).alias(n) for n in LOSSES])
-    mid = quantiles(p95.unpivot([key], list(LOSSES), "loss", "value"), ["loss"], "value", {"m": 0.5}, rows=rows).collect()
+    p95 = quantiles(raw.unpivot([key], list(LOSSES), "loss", "value"), [key, "loss"], "value", {"p95": 0.95}, rows=rows and rows * len(LOSSES))
+    mid = quantiles(p95, ["loss"], "p95", {"m": 0.5}, rows=rows).collect()
     found = {r["loss"]: max(r["m"], 1e-9) for r in mid}
     return [found[n] for n in LOSSES]
 

@@ -12,7 +12,7 @@ from tracewell.operators.report import rounded
 from tracewell.plans.detectors import X8
 from tracewell.plans.registry import Tables, query, r
 from tracewell.plans.rollups import features
-from tracewell.plans.thermal import CAP, source_sums, with_losses
+from tracewell.plans.thermal import source_sums, with_losses
 from tracewell.plans.views import WINDOWS_SQL, windows
 
 
@@ -162,7 +162,7 @@ def l27(t: Tables) -> DataFrame:
 def l31(t: Tables) -> DataFrame:
     """Boosted trees on what the nonnegative network leaves over, per node."""
     coef = thermal.nonnegative_from(source_sums(t))
-    d = with_losses(t).filter(f"is_healthy and idx < {CAP}")
+    d = with_losses(t).filter("is_healthy")
     steps = thermal.transitions(d, "profile_id", "idx", rows=t.rows("events"))
     sizes = steps.groupBy("profile_id", "node").agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
     out = None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import ranks, thermal
@@ -11,7 +11,7 @@ from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, query, r
 from tracewell.plans.views import WINDOWS_SQL, windows
 
-PREFIX, CAP = 20, 40
+PREFIX = 20
 START, END = 10, 26
 
 PROFILES_SQL = WINDOWS_SQL + """,
@@ -47,12 +47,12 @@ def l28(t: Tables) -> DataFrame:
 
 @query("l28_raw_losses", f"""
 with {PROFILES_SQL}, rw as (select profile_id, idx, is_healthy, mc * mc as a, mc * mc * ms as b, mv * mc as c, mt * ms * (2 * pi() / 60) as d, ms * ms as e from mg),
-q as (select profile_id, quantile_cont(a, 0.95) as a, quantile_cont(b, 0.95) as b, quantile_cont(c, 0.95) as c, quantile_cont(d, 0.95) as d, quantile_cont(e, 0.95) as e from rw where is_healthy and idx < 40 group by 1),
+q as (select profile_id, quantile_cont(a, 0.95) as a, quantile_cont(b, 0.95) as b, quantile_cont(c, 0.95) as c, quantile_cont(d, 0.95) as d, quantile_cont(e, 0.95) as e from rw where is_healthy group by 1),
 s as (select median(a) as sa, median(b) as sb, median(c) as sc, median(d) as sd, median(e) as se from q)
 select profile_id, idx, {r('a / sa')} as loss_1, {r('b / sb')} as loss_2, {r('c / sc')} as loss_3, {r('d / sd')} as loss_4, {r('e / se')} as loss_5 from rw, s""")
 def l28b(t: Tables) -> DataFrame:
     p = profiles(t)
-    scales = thermal.raw_loss_scales(p.filter("is_healthy"), "profile_id", "idx", cap=CAP, rows=t.rows("events"))
+    scales = thermal.raw_loss_scales(p.filter("is_healthy"), "profile_id", "idx", rows=t.rows("events"))
     return rounded(thermal.raw_losses(p, scales).select("profile_id", "idx", *thermal.LOSSES))
 
 
@@ -61,7 +61,7 @@ def design(t: Tables) -> DataFrame:
 
 
 def source_sums(t: Tables) -> dict:
-    d = with_losses(t).filter(f"is_healthy and idx < {CAP}")
+    d = with_losses(t).filter("is_healthy")
     steps = thermal.transitions(d, "profile_id", "idx", rows=t.rows("events"))
     return thermal.pooled(thermal.normal_equations(steps, ["profile_id", "node"]))
 
@@ -183,9 +183,8 @@ def l33(t: Tables) -> DataFrame:
     runs = thermal.rollout(h.select("*", F.inline(F.array(*cells))))
     per = thermal.rollout_errors(runs, ["alpha", "profile_id"]).filter("node = 'macro'")
     table = per.groupBy("alpha").agg(F.count(F.lit(1)).alias("profiles"), F.avg("rmse").alias("mean_rmse"), F.sum("clip_count").alias("clips"))
-    best = table.agg(F.min(F.struct("mean_rmse", "alpha"))["alpha"].alias("_best")).withColumn("_g", F.lit(0))
-    chosen = table.withColumn("_g", F.lit(0)).join(F.broadcast(best), "_g")  # one row
-    return rounded(chosen.withColumn("selected", F.col("alpha") == F.col("_best")).drop("_g", "_best"))
+    best = F.min(F.struct("mean_rmse", "alpha")).over(Window.partitionBy())["alpha"]  # one row per candidate
+    return rounded(table.withColumn("selected", F.col("alpha") == best))
 
 
 @query("l34_budget_sensitivity")
