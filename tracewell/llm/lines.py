@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import components, landed
+from tracewell.llm.near import SHINGLE, SIMILARITY, alike
 from tracewell.llm.quality import let
 
 EDITS = 2
@@ -13,7 +14,7 @@ EDITS = 2
 MIN_CHARS = 40
 #: Letters that the sketch of a line counts, four bits each.
 LETTERS = "etanioshrldcugm "
-#: A document that lost this share to one earlier document of nearly its size is that document's copy.
+#: A document that lost this share to one earlier document of nearly its size may be that document's copy; the texts are compared then.
 COPY_SHARE = 0.5
 COPY_SIZE = 0.25
 
@@ -159,12 +160,30 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
                         F.col("n_links").cast("long"), kept.alias("kept"))
 
 
+def shingles(text: Column) -> Column:
+    """Different hashes of the word shingles; fewer words are one shingle."""
+    plain = F.translate(F.coalesce(text.cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(plain, "[ \\t-\\r]+"), lambda w: w != "")
+    return let(words, lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))),
+                                                             lambda i: F.xxhash64(F.array_join(F.slice(w, i, SHINGLE), " ")))))
+
+
+def copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (doc_id, class_doc) whose whole texts are alike; of rows with one id, all have to be."""
+    asked = pairs.select(F.explode(F.array("doc_id", "class_doc")).alias("asked")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").alias("t"))
+    sets = landed(texts.join(asked, F.col("a") == F.col("asked"), "left_semi").select("a", shingles(F.col("t")).alias("x")), "copy-shingles")
+    both = pairs.join(sets, F.col("doc_id") == F.col("a")).join(sets.toDF("b", "y"), F.col("class_doc") == F.col("b"))
+    return both.groupBy("doc_id", "class_doc").agg(F.min(alike(F.col("x"), F.col("y"), SIMILARITY)).alias("copied")).filter("copied").select("doc_id", "class_doc")
+
+
 def drop_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Documents without the lines whose class has an earlier place, in the columns of ``docs`` (n_chars follows the text).
 
     A document goes where no visible line is left of those it had, or where at least half of it was taken by one earlier
-    document within a quarter of its size: what is left are the edits of a copy. Documents without visible lines stay. Of
-    rows with one id, the longest that lost a line gives the size, and equal lines of one number count once.
+    document within a quarter of its size and the whole texts have a Jaccard similarity of 0.8 or more: what is left are the
+    edits of a copy. Documents without visible lines stay. Of rows with one id, the longest that lost a line gives the size,
+    and equal lines of one number count once.
     """
     found = numbered(docs).select("doc_id", "size", F.col("line_no").cast("long"), F.length("line").alias("n"), "id")
     named = classes(docs, edits, min_chars, sized=True).select("id", F.col("first_doc").alias("class_doc"), F.col("first_line").alias("class_line"), F.col("first_size").alias("class_size"))
@@ -172,8 +191,12 @@ def drop_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     lost = found.join(named, "id").filter(~first & F.col("doc_id").isNotNull())
     lost = lost.groupBy("doc_id", "class_doc").agg(F.collect_set(F.struct("line_no", "n")).alias("some"), F.max("size").alias("size"), F.max("class_size").alias("class_size"))
     lost = lost.select("doc_id", "class_doc", "size", "class_size", F.col("some.line_no").alias("some"), F.aggregate("some", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"))
-    copied = (F.col("class_doc") != F.col("doc_id")) & (F.col("n") >= COPY_SHARE * F.col("size")) & (F.abs(F.col("class_size") - F.col("size")) <= COPY_SIZE * F.col("size"))
-    per = lost.groupBy("doc_id").agg(F.flatten(F.collect_list("some")).alias("_gone"), F.max(F.coalesce(copied, F.lit(False))).alias("_copy"))
+    lost = landed(lost, "lost-lines")
+    # a text that lost all its lines to one document goes anyhow
+    copied = (F.col("n") + F.size("some") - 1 < F.col("size")) & (F.col("class_doc") != F.col("doc_id")) & (F.col("n") >= COPY_SHARE * F.col("size")) & (F.abs(F.col("class_size") - F.col("size")) <= COPY_SIZE * F.col("size"))
+    same = copies(docs, lost.filter(copied).select("doc_id", "class_doc")).select("doc_id").distinct().withColumn("_copy", F.lit(True))
+    per = lost.groupBy("doc_id").agg(F.flatten(F.collect_list("some")).alias("_gone")).join(same, "doc_id", "left")
+    per = per.withColumn("_copy", F.coalesce("_copy", F.lit(False)))
     joined = docs.join(per.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
     lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
