@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -30,9 +31,19 @@ COSTS = {"leet": 1.0, "filler": 0.5, "repeat": 0.5}
 BEAM = 4
 SLACK = 6.0
 
+#: Pieces of a split word are no longer than PIECE, and the word read from them no longer than LONGEST.
+PIECE, LONGEST = 3, 24
+#: Above so many repeated letters the best ways of leaving some out are searched, not all listed.
+DOUBLES = 5
+
 WORD = re.compile(r"[^\W\d_]+")
-CORE = re.compile(r"[a-z][0-9@$!|+(<*._\-]+[a-z]|[0-9@$!][a-z]|([a-z])\1\1|(?<!\S)\S(?= \S \S(?!\S))")
-SPACED = re.compile(r"(?<!\S)\S(?: \S(?!\S))+")
+#: A token with a letter next to a sign that may stand for one, or with fillers inside.
+CORE = re.compile(r"[a-z][0-9@$!|+(<*]|[0-9@$!|+(<*][a-z]|[a-z][._\-]+[a-z]")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S))+")
+REPEAT = re.compile(r"([a-z])\1+")
+PIECES = re.compile(r"(?<!\S)[a-z0-9@$!|+(<*]{1,%d}(?:\s+[a-z0-9@$!|+(<*]{1,%d}(?!\S))+" % (PIECE, PIECE))
+LETTER, SIGN = re.compile(r"[a-z]"), re.compile(r"[0-9@$!|+(<*]")
+EDGE = ".,;:?\"')[]{}"
 
 
 def letter_model(docs: DataFrame) -> np.ndarray:
@@ -96,32 +107,76 @@ def _best(found: list[tuple[float, str]], count: int = BEAM) -> list[tuple[float
     return sorted((cost, made) for made, cost in kept.items())[:count]
 
 
+def _literal(span: str) -> list[str]:
+    """Readings that leave nothing out, up to eight: a rare double letter is far from the best path."""
+    letters = [c if "a" <= c <= "z" else LEET.get(c, "") for c in span]
+    return ["".join(p) for p in itertools.product(*letters)] if math.prod(map(len, letters)) <= 8 else []
+
+
 class Restorer:
     """Words of texts with their disguises read; remembers readings, within a bound."""
 
     def __init__(self, model: list):
         self.model, self.memo = model, {}
 
-    def spans(self, text: str) -> set[str]:
-        found = {m.group(0) for m in SPACED.finditer(text)}
-        for m in CORE.finditer(text):
-            low, high = m.start(), m.end()
-            while low and not text[low - 1].isspace():
-                low -= 1
-            while high < len(text) and not text[high].isspace():
-                high += 1
-            found.add(text[low:high])
-        return found
+    def _read(self, span: str) -> list[str]:
+        """Readings of a token: as a lattice, if letters meet signs or fillers, and of its words with repeated letters."""
+        if span not in self.memo:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            made = []
+            if CORE.search(span):
+                bare = span.strip(EDGE)
+                made += decode(bare, self.model) + _literal(bare)
+                if span[:len(span) - len(span.lstrip(EDGE))].endswith("("):  # a parenthesis or a c
+                    made += decode("(" + bare, self.model) + _literal("(" + bare)
+            if REPEAT.search(span):
+                made += [r for w in WORD.findall(span) if REPEAT.search(w) for r in self._undoubled(w)]
+            self.memo[span] = made
+        return self.memo[span]
+
+    def _undoubled(self, word: str) -> list[str]:
+        """The word with each repeated letter once or twice."""
+        parts, at = [], 0
+        for m in REPEAT.finditer(word):
+            parts += [[word[at:m.start()]], [m.group(1), m.group(1) * 2]]
+            at = m.end()
+        if len(parts) > 2 * DOUBLES:
+            return decode(word, self.model)
+        return ["".join(p) for p in itertools.product(*parts, [word[at:]])]
 
     def readings(self, text: str) -> set[str]:
+        """Readings of disguised spans and of words with repeated letters."""
         made = set()
-        for span in self.spans(text):
-            if span not in self.memo:
-                if len(self.memo) > 100_000:
-                    self.memo.clear()
-                bare = span.strip(".,;:?\"'()[]{}")
-                self.memo[span] = decode(bare, self.model)
-            made.update(self.memo[span])
+        for token in set(text.split()):
+            made.update(self._read(token))
+        for m in SPACED.finditer(text):
+            made.update(self._spaced(" ".join(m.group(0).split())))
+        return made
+
+    def _spaced(self, span: str) -> list[str]:
+        key = f" {span}"  # no token begins with a blank
+        if key not in self.memo:
+            self.memo[key] = decode(span.strip(EDGE), self.model)
+        return self.memo[key]
+
+    def joined(self, text: str) -> set[str]:
+        """Readings of all neighbouring short pieces as parts of one word: there are few true ones, so they make no marks."""
+        made, seen = set(), set()
+        for m in PIECES.finditer(text):
+            pieces = m.group(0).split()
+            for i in range(len(pieces) - 1):
+                word = pieces[i]
+                for piece in pieces[i + 1:]:
+                    word += piece
+                    if len(word) > LONGEST:
+                        break
+                    seen.add(word)
+        for word in seen:
+            if not SIGN.search(word):
+                made.add(word)
+            elif LETTER.search(word):
+                made.update(self._read(word))
         return made
 
 
@@ -168,7 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, *, bound: int =
         for batch in batches:
             for text, label in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 text = text.decode().lower()
-                for f in features(set(WORD.findall(text)), restorer.readings(text)) & wanted:
+                for f in features(set(WORD.findall(text)), restorer.readings(text) | restorer.joined(text)) & wanted:
                     counts.setdefault(f, [0, 0])[label] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()),
                                           pa.array([c[1] for c in counts.values()], pa.int64())], names=["feature", "clean", "toxic"])
@@ -196,7 +251,7 @@ def _scorer(model: np.ndarray, marks: dict[str, float]):
                 found = words & known
                 for k, some in heads:
                     found.update(w[:k] + "~" for w in words if w[:k] in some and len(w) > k)
-                found |= restorer.readings(text) & known
+                found |= (restorer.readings(text) | restorer.joined(text)) & known
                 best = sorted((marks[f] for f in found), reverse=True)[:3]
                 made.append(1 - 0.98 * math.prod(1 - p for p in best))
             return made
