@@ -33,3 +33,11 @@ def test_disguised_texts_are_found(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
     got = {r["doc_id"]: r["predicted"] for r in toxicity.judge(docs, labels).filter(F.col("doc_id") >= 200).collect()}
     assert got == {200 + i: 1 for i in range(len(shown))}
+
+
+def test_marks_do_not_change_readings(spark, sf, model):
+    texts = [r[0] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select(F.lower("text")).limit(60).collect()]
+    marks = {"the", "and", "loss", "stand", "in", "ass"}
+    free, bound = toxicity.Restorer(model), toxicity.Restorer(model, marks)
+    for text in [*texts, "so lo$$ a55 st4nd s t a n d (the th.e tthhee aanndd 1n"]:
+        assert (free.readings(text) | free.joined(text)) & marks == (bound.readings(text) | bound.joined(text)) & marks

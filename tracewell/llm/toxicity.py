@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,6 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Characters that may be put between letters.
 FILLER = " .-_*"
 LABELLED_ROWS = 20_000
-LEXICON = 20_000
 CONTEXTS = 3
 PRECISION = 0.85
 PREFIXES = (4, 5)
@@ -114,10 +114,28 @@ def _literal(span: str) -> list[str]:
 
 
 class Restorer:
-    """Words of texts with their disguises read; remembers readings, within a bound."""
+    """Words of texts with their disguises read; remembers readings, within a bound.
 
-    def __init__(self, model: list):
-        self.model, self.memo = model, {}
+    With ``marks``, tokens that no path of the lattice reads as a mark are not decoded: none of their readings would be one.
+    """
+
+    def __init__(self, model: list, marks: set[str] | None = None):
+        self.model, self.memo, self.marks = model, {}, marks
+        self.heads = None if marks is None else {f[:k] for f in marks for k in range(len(f) + 1)}
+
+    def _decode(self, span: str) -> list[str]:
+        return decode(span, self.model) if self.marks is None or self._reaches(span) else []
+
+    def _reaches(self, span: str) -> bool:
+        """Whether the steps of decode, at any cost, lead to a mark."""
+        states = {""}
+        for c in span:
+            letters = c if "a" <= c <= "z" else LEET.get(c, "")
+            grown = {s + x for s in states for x in letters if s + x in self.heads} | {s for s in states for x in letters if s and s[-1] == x}
+            states = grown | states if c in FILLER or not letters else grown
+            if not states:
+                return False
+        return not states.isdisjoint(self.marks)
 
     def _read(self, span: str) -> list[str]:
         """Readings of a token: as a lattice, if letters meet signs or fillers, and of its words with repeated letters."""
@@ -127,9 +145,9 @@ class Restorer:
             made = []
             if CORE.search(span):
                 bare = span.strip(EDGE)
-                made += decode(bare, self.model) + _literal(bare)
+                made += self._decode(bare) + _literal(bare)
                 if span[:len(span) - len(span.lstrip(EDGE))].endswith("("):  # a parenthesis or a c
-                    made += decode("(" + bare, self.model) + _literal("(" + bare)
+                    made += self._decode("(" + bare) + _literal("(" + bare)
             if REPEAT.search(span):
                 made += [r for w in WORD.findall(span) if REPEAT.search(w) for r in self._undoubled(w)]
             self.memo[span] = made
@@ -142,7 +160,7 @@ class Restorer:
             parts += [[word[at:m.start()]], [m.group(1), m.group(1) * 2]]
             at = m.end()
         if len(parts) > 2 * DOUBLES:
-            return decode(word, self.model)
+            return self._decode(word)
         return ["".join(p) for p in itertools.product(*parts, [word[at:]])]
 
     def readings(self, text: str) -> set[str]:
@@ -157,7 +175,7 @@ class Restorer:
     def _spaced(self, span: str) -> list[str]:
         key = f" {span}"  # no token begins with a blank
         if key not in self.memo:
-            self.memo[key] = decode(span.strip(EDGE), self.model)
+            self.memo[key] = self._decode(span.strip(EDGE))
         return self.memo[key]
 
     def joined(self, text: str) -> set[str]:
@@ -188,8 +206,8 @@ def features(words: set[str], readings: set[str]) -> set[str]:
 def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, *, bound: int = LABELLED_ROWS) -> dict[str, float]:
     """Features whose presence marks toxic texts, with their precision, from at most ``bound`` labelled rows in hash order.
 
-    A feature counts by the number of different words before it, so a much copied toxic text does not make its own words
-    toxic. No more than LEXICON candidates are held.
+    A feature counts by the number of different words before it, a reading by that of different texts, so a much copied toxic
+    text does not make its own words toxic. Candidates are counted and filtered in Spark; the marks alone are collected.
     """
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic is not null")
@@ -210,28 +228,33 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, *, bound: int =
                 words = WORD.findall(text)
                 for before, word in zip(["", *words], words):
                     pairs.update((f, before) for f in features({word}, set()))
-                pairs.update((f, text[:40]) for f in restorer.readings(text))
+                whole = xxhash.xxh64_hexdigest(text.encode())
+                pairs.update((f, whole) for f in restorer.readings(text))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["feature", "before"])
 
     toxic = rows.filter("toxic = 1").select("text").mapInArrow(contexts, "feature string, before string")
     common = toxic.groupBy("feature", "before").count().groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONTEXTS)
-    candidates = sorted(r[0] for r in common.orderBy(F.desc("n"), "feature").limit(LEXICON).collect())
-    wanted = set(candidates)
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, counts = Restorer(table), {}
         for batch in batches:
             for text, label in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
                 text = text.decode().lower()
-                for f in features(set(WORD.findall(text)), restorer.readings(text) | restorer.joined(text)) & wanted:
+                if len(counts) > 1_000_000:
+                    yield emit(counts)
+                    counts = {}
+                for f in features(set(WORD.findall(text)), restorer.readings(text) | restorer.joined(text)):
                     counts.setdefault(f, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()),
-                                          pa.array([c[1] for c in counts.values()], pa.int64())], names=["feature", "clean", "toxic"])
+        yield emit(counts)
+
+    def emit(counts: dict[str, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()),
+                                           pa.array([c[1] for c in counts.values()], pa.int64())], names=["feature", "clean", "toxic"])
 
     found = rows.select("text", F.col("toxic").cast("int")).mapInArrow(presence, "feature string, clean long, toxic long")
-    found = found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).collect()
-    marks = {r["feature"]: (r["toxic"] + 0.5) / (r["toxic"] + r["clean"] + 1) for r in found}
-    return {f: p for f, p in marks.items() if p >= PRECISION}
+    found = found.groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    found = found.withColumn("p", (F.col("toxic") + 0.5) / (F.col("toxic") + F.col("clean") + 1)).filter(F.col("p") >= PRECISION)
+    return {r["feature"]: r["p"] for r in found.join(common, "feature", "left_semi").collect()}
 
 
 def _scorer(model: np.ndarray, marks: dict[str, float]):
@@ -239,8 +262,8 @@ def _scorer(model: np.ndarray, marks: dict[str, float]):
     table = model.tolist()
 
     def start():
-        restorer = Restorer(table)
         known = set(marks)
+        restorer = Restorer(table, known)
         heads = [(k, {f[:-1] for f in known if f[-1] == "~" and len(f) == k + 1}) for k in PREFIXES]
 
         def scores(texts: list[bytes]) -> list[float]:
