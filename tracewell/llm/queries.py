@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import hilbert, lines, mixing, ordinal, packing, pitmanyor, quality, sequences, simhash, toxicity
+from tracewell.llm import audit, compression, hardneg, hilbert, lines, mixing, ordinal, packing, pitmanyor, quality, sequences, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -129,3 +129,82 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op10_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
     """Log10 probabilities of all documents by the hierarchical model and by the add-one unigram."""
     return pitmanyor.score_texts(table(spark, folder, "documents"))
+
+
+@query("op11_compression")
+def op11_compression(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of all documents by the dictionary that shortens their text most."""
+    return compression.identify(table(spark, folder, "documents"))
+
+
+AUDIT_SQL = """
+with d as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+m as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+         case when len(w) < 100 then 1 else 0 end
+         + case when 100 * len(list_distinct(w)) < 80 * len(w) then 2 else 0 end
+         + case when 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) then 4 else 0 end
+         + case when regexp_matches(t, '[#$%&*|]') then 8 else 0 end
+         + case when d.doc_id > min(d.doc_id) over (partition by t) then 16 else 0 end as mask
+  from d left join l using (doc_id)),
+c as (select part, mask, count(*) as n, sum(good) as good, sum(toxic) as toxic from m group by 1, 2),
+f as (select i, cast(1 << i as bigint) as bit, chr(cast(65 + i as integer)) as letter from range(5) r(i)),
+o as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] as bits
+  from f a, f b, f c, f d, f e where a.bit + b.bit + c.bit + d.bit + e.bit = 31 and (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s as (
+  select filter_order, cast(step as integer) as step, bits[step] as bit, cast(coalesce(list_sum(bits[1:step - 1]), 0) as bigint) as before
+  from o, range(1, 6) g(step)),
+g as (
+  select part, filter_order, step, bit,
+         coalesce(sum(n) filter ((mask & (before | bit)) = 0), 0) as kept,
+         coalesce(sum(n) filter ((mask & bit) > 0 and (mask & before) = 0), 0) as removed,
+         coalesce(sum(n) filter ((mask & bit) > 0 and (mask & before) > 0), 0) as redundant,
+         coalesce(sum(n) filter (mask = bit), 0) as unique_fails,
+         coalesce(sum(good) filter ((mask & bit) > 0 and (mask & before) = 0), 0) as good_lost,
+         coalesce(sum(toxic) filter ((mask & bit) > 0 and (mask & before) = 0), 0) as toxic_lost
+  from c, s group by 1, 2, 3, 4)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, bit) as bigint) as shapley
+from g
+"""
+
+
+@query("op12_audit", AUDIT_SQL)
+def op12_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove, alone and in every order, for each language of all documents."""
+    return audit.audit(spark, f"{folder.rstrip('/')}/documents.parquet", table(spark, folder, "labels"))
+
+
+NEGATIVES_SQL = """
+with e as (
+  select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else cast(label as bigint) end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, a.label as own, b.vec_id as other_id, b.label,
+         cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score
+  from e a join e b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where label = own
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, p.positive_id,
+       cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other_id) as integer) as rank,
+       s.other_id as negative_id, p.positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and s.label <> s.own
+where 30 * p.positive_score <= 100 * s.score and 100 * s.score <= 90 * p.positive_score
+qualify rank <= 10
+"""
+
+
+@query("op13_negatives", NEGATIVES_SQL)
+def op13_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, a seventh of the labels moved on by one."""
+    vectors = table(spark, folder, "embeddings").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label")).alias("label"), "embedding")
+    return hardneg.mine(vectors)
