@@ -31,13 +31,14 @@ STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.e
 LEAST, LATER, NO_ID = 0, 1, 2
 
 
-def own_mask(text: Column) -> Column:
-    """Bits 1, 2, 4, 8 for conditions A to D of one text; bytes other than ASCII white space make words."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    n = F.size(words)
+def with_mask(rows: DataFrame, text: str) -> DataFrame:
+    """Replace ``text`` by ``mask``: bits 1, 2, 4, 8 for conditions A to D of the whole text."""
+    words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     capitals = F.length(text) - F.length(F.regexp_replace(text, "[A-Z]+", ""))
-    fails = [n < 100, F.size(F.array_distinct(words)) * 100 < n * 80, capitals * 100 > F.length(text) * 10, text.rlike("[#$%&*|]")]
-    return reduce(lambda a, b: a + b, [F.when(cond, 1 << i).otherwise(0) for i, cond in enumerate(fails)])
+    split = rows.withColumn("_w", words).withColumn("_n", F.size("_w"))
+    n = F.col("_n")
+    fails = [n < 100, F.size(F.array_distinct("_w")) * 100 < n * 80, capitals * 100 > F.length(text) * 10, F.col(text).rlike("[#$%&*|]")]
+    return split.withColumn("mask", reduce(lambda a, b: a + b, [F.when(cond, 1 << i).otherwise(0) for i, cond in enumerate(fails)])).drop("_w", "_n", text)
 
 
 def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,10 +107,10 @@ def count_masks(spark: SparkSession, path: str, labels: DataFrame, batches: int
     files = max(1, -(-len(table.inputFiles()) // batches))
     # a pattern that matches the path alone: a table may be one file or a folder
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
-    text = F.coalesce("text", F.lit(""))
     marks = (labels.groupBy(F.col("doc_id").alias("_id"))
              .agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic")))
-    own = stream.select(F.col("doc_id").cast("long").alias("_doc"), F.sha2(text, 256).alias("h"), F.coalesce("lang", F.lit("")).alias("part"), own_mask(text).alias("mask"))
+    read = stream.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("lang", F.lit("")).alias("part"), F.coalesce("text", F.lit("")).alias("_t"))
+    own = with_mask(read.withColumn("h", F.sha2("_t", 256)), "_t")
     rows = (own.join(marks, own["_doc"] == marks["_id"], "left")
             .select("h", "part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"),
                     F.col("_doc").isNotNull().alias("known"), F.coalesce("_doc", F.lit(0).cast("long")).alias("id")))
