@@ -26,7 +26,8 @@ DUPLICATE = 16
 #: Micro-batches that a table is read in, at most; each takes as many files.
 BATCHES = 4
 STATE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true"}
+         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+         "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
 #: What a row says of its text: it has the least id of its batch, a later one, or none.
 LEAST, LATER, NO_ID = 0, 1, 2
 
