@@ -9,6 +9,7 @@ part and counted again with the duplicate bit. The counters, one row per part an
 from __future__ import annotations
 
 import itertools
+import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -49,18 +50,22 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf["kind"] = np.where(~pdf["known"], NO_ID, np.where(pdf["id"] == least, LEAST, LATER)).astype("int32")
         pdf["id"] = pdf["id"].where(pdf["kind"] == LEAST, 0)
         keys = ["h", "part", "mask", "good", "toxic", "kind", "id"]
-        yield pdf.groupby(keys, as_index=False, sort=False).size().rename(columns={"size": "n"})
+        copies = pdf["h"].duplicated(keep=False)
+        once = pdf.loc[~copies, keys].assign(n=1)
+        many = pdf[copies].groupby(keys, as_index=False, sort=False).size().rename(columns={"size": "n"})
+        yield pd.concat([once, many]) if len(many) else once
 
 
 COMBINED = "h string, part string, mask int, good int, toxic int, kind int, id long, n long"
 CHANGES = "part string, mask int, good int, toxic int, n long"
+CHANGE = Row("part", "mask", "good", "toxic", "n")
 
 
 class LeastId(StatefulProcessor):
     """Per text: the smallest id so far and how its rows were counted; emits changes of the counters."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getValueState("held", "id long, counted array<struct<part:string,mask:int,good:int,toxic:int,n:long>>")
+        self.held = handle.getValueState("held", "id long, counted string")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         changes: Counter = Counter()
@@ -75,7 +80,9 @@ class LeastId(StatefulProcessor):
             held = self.held.get()
             before = None if held is None else held[0]
             least = min(firsts) if before is None else min(before, *firsts)
-            counted: Counter = Counter() if held is None else Counter({tuple(c)[:4]: c[4] for c in held[1]})
+            counted: Counter = Counter()
+            if held is not None and (least < before or least in firsts):
+                counted = Counter({tuple(c[:4]): c[4] for c in json.loads(held[1])})
             if before is not None and least < before:
                 for entry, n in counted.items():
                     changes[entry] -= n
@@ -89,10 +96,10 @@ class LeastId(StatefulProcessor):
                     else:
                         changes[_marked(entry)] += n
             if least in firsts:
-                self.held.update((least, [(*entry, n) for entry, n in counted.items()]))
+                self.held.update((least, json.dumps([(*entry, n) for entry, n in counted.items()])))
         for entry, n in changes.items():
             if n:
-                yield Row(part=entry[0], mask=entry[1], good=entry[2], toxic=entry[3], n=n)
+                yield CHANGE(*entry, n)
 
     def close(self) -> None:
         pass
