@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell import session
-from tracewell.operators import conformal
+from tracewell.operators import conformal, scaling
 from tracewell.operators.ordered import running
 
 
@@ -31,3 +31,12 @@ def test_running_sums_and_totals(spark, rows):
 def test_conformal_p_values(spark, rows):
     small, large = both(spark, lambda: conformal.p_values(rows, ["k"], "x", F.col("cal"), rows=40).select("k", "i", "p_value"))
     assert small == large and len(small) == 40
+
+
+def test_scales_and_standard_scores_keep_the_null_feature(spark, rows):
+    def build():
+        p = scaling.robust_parameters(rows, ["k"], "x", rule="relative", rows=40)
+        return scaling.standardize(rows, p, ["k"], "x").select("k", "i", "z")
+
+    small, large = both(spark, build)
+    assert small == large and len(small) == 40 and all(r[2] is not None for r in small)

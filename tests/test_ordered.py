@@ -35,11 +35,30 @@ def test_running_equals_window(skewed, limit):
     assert as_set(got.select("k", "s", "i", "v", "pos", "cs", "cm", "pv", "t")) == as_set(want)
 
 
-def test_chunks_stay_small_under_ties(skewed):
-    out, split = ordered.with_chunk(skewed, ["s", "i"], limit=100)
-    assert split
-    largest = out.groupBy(ordered.CHUNK).count().agg(F.max("count")).first()[0]
-    assert largest <= 300
+@pytest.mark.parametrize("limit", [100, 10_000])
+def test_running_takes_text_order_and_ties(skewed, limit):
+    """Two order columns of other types, one of them the same in half of the rows."""
+    text = skewed.withColumn("o", F.when(F.col("i") % 2 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), F.col("i"))))
+    w = Window.partitionBy("k").orderBy("o", "i")
+    want = text.select("k", "i", (F.row_number().over(w) - 1).alias("pos"), F.lag("v").over(w).alias("pv"))
+    got = ordered.running(text, ["k"], ["o", "i"], position="pos", lags={"pv": "v"}, limit=limit)
+    assert as_set(got.select("k", "i", "pos", "pv")) == as_set(want)
+
+
+def test_a_split_scan_reads_its_source_twice(spark, skewed, tmp_path):
+    """Once for the range bounds and once for the rows; the rest reads the written windows."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    source = skewed.mapInPandas(count, skewed.schema)
+    rows = skewed.count()
+    out = ordered.running(source, ["k"], ["s", "i"], position="pos", sums={"cs": F.col("v")}, totals={"t": F.col("v")}, rows=rows, limit=100)
+    assert out.count() == rows and out.agg(F.max("pos")).first()[0] > 0
+    assert seen.value <= 2 * rows
 
 
 @pytest.mark.parametrize("limit", ["100", "1000000"])

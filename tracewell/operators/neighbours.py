@@ -1,114 +1,210 @@
 """Exact nearest-neighbour distances without a cross join.
 
 A reference set within the broadcast limit travels to the tasks as one matrix. A larger one is
-searched in two steps. A bounded sample of the reference gives each query an upper bound of its
-k-th distance. Every true neighbour then lies within that bound on one coordinate axis as well, so
-queries visit only the axis intervals their bound reaches, by an equi-join on interval numbers.
-Equal vectors are collapsed to one row with a count on both sides, so copies cost nothing.
+searched through a pivot table. Pivots are far-apart rows of a bounded sample; every reference row
+belongs to the ring of its nearest pivot that holds its distance, and for every ring the smallest
+and largest distance to each pivot are known. A bounded sample gives each query an upper bound of
+its k-th distance. By the triangle inequality a ring can hold a neighbour only if the query's
+distance to every pivot, give or take that bound, meets the ring's range, so queries join only
+those rings, by number. Equal vectors are collapsed to one row with a count on both sides, so
+copies cost nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell import session
-from tracewell.functions.scalars import sum_of
+from tracewell.functions.scalars import is_finite, sum_of
 
-BATCH = 4096
+PIVOTS = 64
+#: Rings are about this share of the broadcast limit, and never more than MAX_RINGS in all.
+RING_SHARE = 8
+MAX_RINGS = 8_192
+#: Numbers of one block of a distance matrix.
+CELLS = 2_000_000
+
+
+def complete(features: Sequence[str]) -> Column:
+    """True where no feature is null, NaN or infinite."""
+    out = F.lit(True)
+    for f in features:
+        out = out & F.coalesce(is_finite(f), F.lit(False))
+    return out
 
 
 def _distinct(df: DataFrame, features: Sequence[str], id_col: str | None = None) -> DataFrame:
-    cast = df.select(*[F.col(f).cast("double").alias(f) for f in features], *( [id_col] if id_col else []))
-    extra = [F.min(id_col).alias("_id")] if id_col else [F.lit(0).cast("long").alias("_id")]
-    return cast.groupBy(*features).agg(F.count(F.lit(1)).alias("_n"), *extra)
+    cast = df.filter(complete(features)).select(*[F.col(f).cast("double").alias(f) for f in features], *([F.col(id_col).alias("_id")] if id_col else []))
+    first = F.min("_id") if id_col else F.lit(0).cast("long")
+    return cast.groupBy(*features).agg(F.count(F.lit(1)).alias("_n"), first.alias("_id"))
+
 
+def _squared(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), len(points)))
+    for j in range(x.shape[1]):
+        out += (x[:, j, None] - points[None, :, j]) ** 2
+    return out
 
-def _broadcast_search(queries: DataFrame, reference: list, features: Sequence[str], k: int) -> DataFrame:
-    """Add _d (k-th distance) and _nn (id of the nearest row) by blocks of a small matrix."""
+
+def _broadcast_search(queries: DataFrame, reference: list, features: Sequence[str], ks: Sequence[int], kind: str) -> DataFrame:
+    """Add _d0, _d1 ... (k-th distances) and _nn (id of the nearest row) by blocks of a small matrix."""
     names = list(features)
-    matrix = np.array([[r[f] for f in names] for r in reference], dtype=float).reshape(len(reference), len(names))
-    counts = np.array([r["_n"] for r in reference], dtype=np.int64)
-    ids = np.array([r["_id"] for r in reference], dtype=np.int64)
-    step = max(1, 4_000_000 // max(len(reference), 1))
+    ordered = sorted(reference, key=lambda r: (r["_id"] is None, r["_id"]))
+    matrix = np.array([[r[f] for f in names] for r in ordered], dtype=float).reshape(len(ordered), len(names))
+    counts, ids = np.array([r["_n"] for r in ordered], dtype=np.int64), [r["_id"] for r in ordered]
+    step = max(1, CELLS // max(len(ordered), 1))
 
-    def search(batches):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kth, near = np.empty(len(pdf)), np.empty(len(pdf), dtype=np.int64)
-            for at in range(0, len(pdf), step):
-                x = pdf[names].iloc[at:at + step].to_numpy(float)
-                sq = np.zeros((len(x), len(matrix)))
-                for j in range(len(names)):
-                    sq += (x[:, j, None] - matrix[None, :, j]) ** 2
-                best = sq.min(axis=1)
-                near[at:at + step] = np.where(sq == best[:, None], ids[None, :], np.iinfo(np.int64).max).min(axis=1)
-                m = min(k, len(matrix))
+            x = pdf[names].to_numpy(float)
+            out, near = np.full((len(x), len(ks)), np.inf), np.full(len(x), -1, dtype=np.int64)
+            for at in range(0, len(x) if len(ordered) else 0, step):
+                sq = _squared(x[at:at + step], matrix)
+                near[at:at + step] = sq.argmin(axis=1)  # ids are in order, so the first is the smallest
+                m = min(max(ks), len(ordered))
                 cols = np.argpartition(sq, m - 1, axis=1)[:, :m]
                 part = np.take_along_axis(sq, cols, axis=1)
                 order = np.argsort(part, axis=1, kind="stable")
-                reach = np.cumsum(np.take_along_axis(counts[cols], order, axis=1), axis=1) >= k
-                pick = reach.argmax(axis=1)
-                dist = np.sqrt(np.take_along_axis(np.take_along_axis(part, order, axis=1), pick[:, None], axis=1)[:, 0])
-                kth[at:at + step] = np.where(reach.any(axis=1), dist, np.inf)
-            yield pdf.assign(_d=kth, _nn=near)
-
-    schema = ", ".join([f"{f} double" for f in names] + ["_d double", "_nn long"])
+                part, held = np.take_along_axis(part, order, axis=1), np.cumsum(np.take_along_axis(counts[cols], order, axis=1), axis=1)
+                for c, k in enumerate(ks):
+                    reach = held >= k
+                    dist = np.sqrt(np.take_along_axis(part, reach.argmax(axis=1)[:, None], axis=1)[:, 0])
+                    out[at:at + step, c] = np.where(reach.any(axis=1), dist, np.inf)
+            yield pdf.assign(**{f"_d{c}": out[:, c] for c in range(len(ks))}, _nn=[ids[i] if i >= 0 else None for i in near])
+
+    schema = ", ".join([f"`{f}` double" for f in names] + [f"_d{c} double" for c in range(len(ks))] + [f"_nn {kind}"])
     return queries.select(*names).mapInPandas(search, schema)
 
 
-def _interval_search(queries: DataFrame, reference: DataFrame, features: Sequence[str], k: int,
-                     total: int, limit: int) -> DataFrame:
-    spread = reference.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
-    axis = max(features, key=lambda f: spread[f] or 0.0)
-    small = max(2 * k, limit // 4)
-    sample = (reference.withColumn("_h", F.pmod(F.xxhash64(*features), F.lit(1_000_000_007)) / 1_000_000_007.0)
-              .filter(F.col("_h") < min(1.0, small / total)).drop("_h").limit(limit).collect())
-    bounded = _broadcast_search(queries, sample, features, k).drop("_nn").withColumnRenamed("_d", "_ub")
-    bins = min(10_000, max(2, total // max(limit // 8, 1)))
-    cuts = sorted(set(reference.agg(F.percentile_approx(axis, [i / bins for i in range(1, bins)], 20_000)).first()[0]))
+def far_apart(points: np.ndarray, count: int) -> np.ndarray:
+    """Rows of ``points``, each the one farthest from those before it; fewer if all are equal to one of them."""
+    if not len(points):
+        return points
+    center = points.mean(axis=0)
+    chosen = [int(((points - center) ** 2).sum(axis=1).argmax())]
+    away = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < min(count, len(points)) and away.max() > 0:
+        chosen.append(int(away.argmax()))
+        away = np.minimum(away, ((points - points[chosen[-1]]) ** 2).sum(axis=1))
+    return points[chosen]
 
-    def numbered(df: DataFrame, value, name: str) -> DataFrame:
-        from tracewell.operators.ordered import _bucket
 
-        return _bucket(df, value, cuts, name)
+def _with_distances(df: DataFrame, features: Sequence[str], pivots: np.ndarray) -> DataFrame:
+    """Add _cell (number of the nearest pivot), _r (its distance) and _p (distances to all pivots)."""
+    names, extra = list(features), [c for c in df.columns if c not in features]
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            away = np.sqrt(_squared(pdf[names].to_numpy(float), pivots))
+            cell = away.argmin(axis=1)
+            yield pdf.assign(_cell=cell.astype("int32"), _r=away[np.arange(len(away)), cell], _p=list(away))
 
-    right = numbered(reference, F.col(axis), "_bin").select(
-        "_bin", "_n", "_id", *[F.col(f).alias(f"_r_{f}") for f in features])
-    slack = F.col("_ub") * F.lit(1.0 + 1e-12) + F.lit(1e-300)
-    left = numbered(bounded, F.col(axis) - slack, "_lo")
-    left = numbered(left, F.col(axis) + slack, "_up").withColumn("_bin", F.explode(F.sequence("_lo", "_up")))
+    kinds = dict(df.dtypes)
+    schema = ", ".join([f"`{f}` {kinds[f]}" for f in [*names, *extra]] + ["_cell int", "_r double", "_p array<double>"])
+    return df.select(*names, *extra).mapInPandas(measure, schema)
+
+
+def _rings(reference: DataFrame, pivots: np.ndarray, total: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(reference rows with _ring, ring table): cells are cut at quantiles of the distance to their pivot."""
+    per_cell = max(1, min(MAX_RINGS // len(pivots), -(-total * RING_SHARE // (limit * len(pivots)))))
+    grid = [i / per_cell for i in range(1, per_cell)]
+    if not grid:
+        placed = reference.withColumn("_ring", F.col("_cell").cast("long"))
+    else:
+        cuts = reference.groupBy("_cell").agg(F.percentile_approx("_r", grid, max(200, 20 * per_cell)).alias("_cuts"))
+        inside = F.size(F.filter("_cuts", lambda c: c < F.col("_r")))
+        placed = reference.join(F.broadcast(cuts), "_cell").withColumn("_ring", F.col("_cell").cast("long") * per_cell + inside).drop("_cuts")
+    m = len(pivots)
+    ends = [f(F.get("_p", F.lit(i))) for f in (F.min, F.max) for i in range(m)]
+    return placed, placed.groupBy("_ring").agg(F.array(*ends[:m]).alias("low"), F.array(*ends[m:]).alias("high"))
+
+
+def _visits(bounded: DataFrame, features: Sequence[str], pivots: np.ndarray, rings: list, last: str) -> DataFrame:
+    """One row per query and ring that its bound ``last`` can reach."""
+    names, extra = list(features), [c for c in bounded.columns if c not in features]
+    number = np.array([r["_ring"] for r in rings], dtype=np.int64)
+    low, high = np.array([r["low"] for r in rings]), np.array([r["high"] for r in rings])
+    step = max(1, CELLS // max(low.size, 1))
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x, reach = pdf[names].to_numpy(float), pdf[last].to_numpy(float)
+            for at in range(0, len(pdf), step):
+                away = np.sqrt(_squared(x[at:at + step], pivots))
+                near = reach[at:at + step, None] + 1e-9 * (1.0 + away)  # more than rounding can shift
+                hit = np.ones((len(away), len(number)), bool)
+                for j in range(low.shape[1]):
+                    hit &= ((away[:, j] + near[:, j])[:, None] >= low[None, :, j]) & ((away[:, j] - near[:, j])[:, None] <= high[None, :, j])
+                row, ring = np.nonzero(hit)
+                yield pdf.iloc[at + row].assign(_ring=number[ring])
+
+    kinds = dict(bounded.dtypes)
+    schema = ", ".join([f"`{f}` {kinds[f]}" for f in [*names, *extra]] + ["_ring long"])
+    return bounded.select(*names, *extra).mapInPandas(visit, schema)
+
+
+def pivot_pairs(queries: DataFrame, reference: DataFrame, features: Sequence[str], ks: Sequence[int], total: int, limit: int, kind: str) -> DataFrame:
+    """Candidate pairs of distinct queries and distinct reference rows, with _q (distance), _n and _id; complete up to the largest k."""
+    small, names, deepest = max(2 * max(ks), limit // 2), list(features), max(ks)
+    # a hash share of the distinct rows, bounded in size; it gives pivots and upper bounds, never answers
+    sample = (reference.withColumn("_h", F.pmod(F.xxhash64(*features), F.lit(1_000_000_007)) / 1_000_000_007.0)
+              .filter(F.col("_h") < min(1.0, small / total)).drop("_h").limit(2 * limit).collect())
+    points = np.array([[r[f] for f in names] for r in sample], dtype=float).reshape(len(sample), len(names))
+    pivots = far_apart(points, PIVOTS) if len(points) else np.zeros((1, len(names)))
+    placed, table = _rings(_with_distances(reference, features, pivots), pivots, total, limit)
+    rings = table.collect()  # at most MAX_RINGS rows of two ranges per pivot
+    bounded = _broadcast_search(queries, sample, features, [deepest], kind).drop("_nn").withColumnRenamed("_d0", "_ub")
+    left = _visits(bounded, features, pivots, rings, "_ub")
+    right = placed.select("_ring", "_n", "_id", *[F.col(f).alias(f"_r_{f}") for f in features])
     sq = sum_of([(F.col(f) - F.col(f"_r_{f}")) * (F.col(f) - F.col(f"_r_{f}")) for f in features])
-    pairs = left.join(right, "_bin").withColumn("_q", F.sqrt(sq)).filter(F.col("_q") <= slack)
-    if k == 1:
+    return left.join(right, "_ring").withColumn("_q", F.sqrt(sq))
+
+
+def _pivot_search(queries: DataFrame, reference: DataFrame, features: Sequence[str], ks: Sequence[int], total: int, limit: int, kind: str) -> DataFrame:
+    pairs = pivot_pairs(queries, reference, features, ks, total, limit, kind)
+    pairs = pairs.filter(F.col("_q") <= F.col("_ub") * F.lit(1.0 + 1e-12) + F.lit(1e-300))
+    if max(ks) == 1:
         best = pairs.groupBy(*features).agg(F.min(F.struct("_q", "_id")).alias("_b"))
-        return best.select(*features, F.col("_b._q").alias("_d"), F.col("_b._id").alias("_nn"))
+        return best.select(*features, F.col("_b._q").alias("_d0"), F.col("_b._id").alias("_nn"))
     # candidates within the bound, counted per distinct distance before they are ordered
     steps = pairs.groupBy(*features, "_q").agg(F.sum("_n").alias("_n"), F.min("_id").alias("_id"))
     w = Window.partitionBy(*features).orderBy("_q").rowsBetween(Window.unboundedPreceding, 0)
     reached = steps.withColumn("_c", F.sum("_n").over(w))
-    return reached.groupBy(*features).agg(F.min(F.when(F.col("_c") >= k, F.col("_q"))).alias("_d"),
-                                          F.min(F.struct("_q", "_id"))["_id"].alias("_nn"))
+    found = [F.coalesce(F.min(F.when(F.col("_c") >= k, F.col("_q"))), F.lit(float("inf"))).alias(f"_d{c}") for c, k in enumerate(ks)]
+    return reached.groupBy(*features).agg(*found, F.min(F.struct("_q", "_id"))["_id"].alias("_nn"))
 
 
-def nearest(queries: DataFrame, reference: DataFrame, features: Sequence[str], *, k: int = 1,
-            reference_id: str | None = None, distance: str = "distance", neighbour: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, reference: DataFrame, features: Sequence[str], *, k: int | Sequence[int] = 1,
+            reference_id: str | None = None, distance: str | Sequence[str] = "distance", neighbour: str | None = None,
+            searched: str | None = None) -> DataFrame:
     """Distance of each query row to its k-th nearest reference row, copies counted.
 
-    With ``neighbour`` the id of the nearest row is added, the smallest id on ties. Distances to a
-    reference that contains the query itself are leave-one-out distances when k is raised by one.
+    Several k with as many ``distance`` names share one search. With ``neighbour`` the id of the nearest
+    row is added, the smallest id on ties; ids may be of any type that can be ordered. Query rows with a
+    null or non-finite feature stay, with null results and false in the ``searched`` column if one is
+    named; such reference rows are no neighbours. Too few reference rows give an infinite distance.
+    Distances to a reference that contains the query itself are leave-one-out distances when k is raised
+    by one.
     """
+    ks, names = ([k], [distance]) if isinstance(k, int) else (list(k), list(distance))
+    if len(ks) != len(names) or not ks:
+        raise ValueError("one distance name for each k")
     limit = session.broadcast_rows(queries.sparkSession)
     ref = _distinct(reference, features, reference_id)
+    kind = dict(ref.dtypes)["_id"]
     head = ref.limit(limit + 1).collect()
-    points = queries.select(*[F.col(f).cast("double").alias(f) for f in features]).distinct()
+    points = queries.filter(complete(features)).select(*[F.col(f).cast("double").alias(f) for f in features]).distinct()
     if len(head) <= limit:
-        found = _broadcast_search(points, head, features, k)
+        found = _broadcast_search(points, head, features, ks, kind)
     else:
-        found = _interval_search(points, ref, features, k, ref.count(), limit)
-    names = [F.col("_d").alias(distance)] + ([F.col("_nn").alias(neighbour)] if neighbour else [])
-    table = found.select(*[F.col(f).alias(f"_k_{f}") for f in features], *names)
+        found = _pivot_search(points, ref, features, ks, ref.count(), limit, kind)
+    added = [F.col(f"_d{c}").alias(name) for c, name in enumerate(names)] + ([F.col("_nn").alias(neighbour)] if neighbour else [])
+    table = found.select(*[F.col(f).alias(f"_k_{f}") for f in features], *added)
     match = [F.col(f).cast("double") == F.col(f"_k_{f}") for f in features]
-    return queries.join(table, match).drop(*[f"_k_{f}" for f in features])
+    out = queries.join(table, match, "left").drop(*[f"_k_{f}" for f in features])
+    return out.withColumn(searched, complete(features)) if searched else out

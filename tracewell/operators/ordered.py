@@ -1,17 +1,17 @@
 """Ordered per-group work that never puts an unbounded group into one task.
 
-A window function keyed by record sends the whole record to one task. Here the order axis is
-first cut into chunks at data quantiles, the window runs inside ``(keys, chunk)``, and each row
-then receives the carry of all earlier chunks from a table that has one row per chunk. When the
-input is known to be small there is a single chunk and the plan is an ordinary window.
+A window function keyed by record sends the whole record to one task. Here the rows are first
+range-partitioned by their order, the window runs inside ``(keys, range)``, and each row then
+receives the carry of all earlier ranges from a table that has one row per key and range. When the
+input is known to be small there is a single range and the plan is an ordinary window.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,61 +19,14 @@ from tracewell import session
 
 CHUNK = "_chunk"
 MAX_CHUNKS = 20_000
-ROWS_PER_CUT = 500
 RANGE_STEP = 4096
 
 
-def _cut_points(df: DataFrame, axis: Column, chunks: int, rows: int) -> list[float]:
-    """Cut points near the chunk quantiles, from a few hundred sampled rows per chunk.
-
-    Only the boundaries come from a sample, as in range partitioning: every row still gets its chunk,
-    and a boundary that is a few percent off changes nothing but the size of a task.
-    """
-    grid = [i / chunks for i in range(1, chunks)]
-    share = ROWS_PER_CUT * chunks / max(rows, 1)
-    seen = df.sample(fraction=share, seed=17) if share < 0.5 else df
-    found = seen.agg(F.percentile_approx(axis.cast("double"), grid, max(200, 20 * chunks))).first()[0]
-    return [float(v) for v in found or []]
-
-
-def _bucket(df: DataFrame, axis: Column, cuts: Sequence[float], name: str) -> DataFrame:
-    splits = sorted({-math.inf, *cuts, math.inf})
-    if len(splits) < 3:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    staged = df.withColumn("_axis", axis.cast("double"))
-    model = Bucketizer(splits=splits, inputCol="_axis", outputCol="_raw", handleInvalid="keep")
-    return model.transform(staged).withColumn(name, F.col("_raw").cast("long")).drop("_axis", "_raw")
-
-
-def with_chunk(df: DataFrame, order: Sequence[str], *, rows: int | None = None,
-               limit: int | None = None) -> tuple[DataFrame, bool]:
-    """Add a chunk number that never decreases along ``order``.
-
-    ``rows`` is a proven upper bound of the row count; without it the rows are counted. Values of
-    the leading order column that repeat across several cut points get a chunk of their own, which
-    is split again along the next order column, so a heavy tie does not make a heavy chunk.
-    """
-    limit = limit or session.rows_per_chunk(df.sparkSession)
-    if rows is None:
-        rows = df.count()
-    if rows <= limit:
-        return df.withColumn(CHUNK, F.lit(0).cast("long")), False
-    chunks = min(MAX_CHUNKS, math.ceil(rows / limit) + 1)
-    lead = F.col(order[0]).cast("double")
-    cuts = _cut_points(df, lead, chunks, rows)
-    heavy = sorted({v for i, v in enumerate(cuts[1:]) if cuts[i] == v})
-    edges = set(cuts) | {math.nextafter(v, math.inf) for v in heavy}
-    out = _bucket(df, lead, sorted(edges), "_lead")
-    if heavy and len(order) > 1:
-        tied = lead.isin(heavy)
-        second = F.col(order[1]).cast("double")
-        inner = _cut_points(df.filter(tied), second, chunks, rows)
-        out = _bucket(out, second, inner, "_tie")
-        out = out.withColumn(CHUNK, F.col("_lead") * F.lit(2 * MAX_CHUNKS)
-                             + F.when(tied, F.col("_tie")).otherwise(F.lit(0))).drop("_tie")
-    else:
-        out = out.withColumn(CHUNK, F.col("_lead"))
-    return out.drop("_lead"), True
+def _landed(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: later passes read the file, not the sources."""
+    place = f"{session.shared_folder(df.sparkSession)}/scan-{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
@@ -89,12 +42,23 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     lags      value of the previous row, output name to column name
     totals    sums over the whole group
 
-    ``order`` must identify a row inside its group and its columns must not be null.
+    ``order`` must identify a row inside its group; its columns may be of any type that can be ordered,
+    but must not be null. Above the limit the rows are range-partitioned by the order, the window runs
+    inside (keys, range) and its output is written once; the last row of every range gives what later
+    ranges carry. The source is read twice: for the range bounds and for the rows.
     """
     sums, maxima, lags, totals = dict(sums or {}), dict(maxima or {}), dict(lags or {}), dict(totals or {})
     if position:
         sums[position] = F.lit(1).cast("long")
-    staged, split = with_chunk(df, order, rows=rows, limit=limit)
+    limit = limit or session.rows_per_chunk(df.sparkSession)
+    if rows is None:
+        rows = df.count()
+    split = rows > limit
+    if split:
+        chunks = min(MAX_CHUNKS, math.ceil(rows / limit) + 1)
+        staged = df.repartitionByRange(chunks, *order).withColumn(CHUNK, F.spark_partition_id().cast("long"))
+    else:
+        staged = df.withColumn(CHUNK, F.lit(0).cast("long"))
     for i, expr in enumerate(sums.values()):
         staged = staged.withColumn(f"_s{i}", expr)
     for i, expr in enumerate(maxima.values()):
@@ -108,23 +72,24 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         local[f"_M{i}"] = F.max(f"_m{i}").over(upto)
     for i, name in enumerate(lags.values()):
         local[f"_L{i}"] = F.lag(F.struct(F.col(name).alias("v"))).over(inner)
-    if not split:
+    if split:
+        local |= {f"_T{i}": expr for i, expr in enumerate(totals.values())}
+    else:
         local |= {name: F.sum(expr).over(Window.partitionBy(*keys)) for name, expr in totals.items()}
-    out = staged.withColumns(local)
+    out = staged.withColumns(local)  # column names ignore case: the running values take the place of _s and _m
     if split:
-        ends = [F.sum(f"_s{i}").alias(f"_ts{i}") for i in range(len(sums))]
-        ends += [F.max(f"_m{i}").alias(f"_tm{i}") for i in range(len(maxima))]
-        ends += [F.max(F.struct(*order, F.struct(F.col(name).alias("v")).alias("last")))["last"]
-                   .alias(f"_tl{i}") for i, name in enumerate(lags.values())]
-        ends += [F.sum(expr).alias(f"_tt{i}") for i, expr in enumerate(totals.values())]
-        per_chunk = staged.groupBy(*keys, CHUNK).agg(*ends, F.count(F.lit(1)).alias("_rows"))
+        out = _landed(out)
+        held = [*[f"_S{i}" for i in range(len(sums))], *[f"_M{i}" for i in range(len(maxima))]]
+        last = F.max_by(F.struct(F.lit(0).alias("_"), *held, *[F.struct(F.col(name).alias("v")).alias(f"_l{i}") for i, name in enumerate(lags.values())]),
+                        F.struct(*order))
+        ends = out.groupBy(*keys, CHUNK).agg(last.alias("_e"), *[F.sum(f"_T{i}").alias(f"_tt{i}") for i in range(len(totals))])
         chain = Window.partitionBy(*keys).orderBy(CHUNK)
         before = chain.rowsBetween(Window.unboundedPreceding, -1)
-        carry = per_chunk.select(
+        carry = ends.select(
             *keys, CHUNK,
-            *[F.sum(f"_ts{i}").over(before).alias(f"_cs{i}") for i in range(len(sums))],
-            *[F.max(f"_tm{i}").over(before).alias(f"_cm{i}") for i in range(len(maxima))],
-            *[F.lag(f"_tl{i}").over(chain).alias(f"_cl{i}") for i in range(len(lags))],
+            *[F.sum(f"_e._S{i}").over(before).alias(f"_cs{i}") for i in range(len(sums))],
+            *[F.max(f"_e._M{i}").over(before).alias(f"_cm{i}") for i in range(len(maxima))],
+            *[F.lag(f"_e._l{i}").over(chain).alias(f"_cl{i}") for i in range(len(lags))],
             *[F.sum(f"_tt{i}").over(Window.partitionBy(*keys)).alias(name) for i, name in enumerate(totals)],
         )
         out = session.join_null_safe(out, carry, [*keys, CHUNK], "left")
@@ -132,7 +97,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     for i, name in enumerate(sums):
         value = F.col(f"_S{i}")
         if split:
-            value = value + F.coalesce(F.col(f"_cs{i}"), F.lit(0))
+            value = F.coalesce(value, F.when(F.col(f"_cs{i}").isNotNull(), 0)) + F.coalesce(F.col(f"_cs{i}"), F.lit(0))
         final[name] = value - 1 if name == position else value
     for i, name in enumerate(maxima):
         final[name] = F.greatest(F.col(f"_M{i}"), F.col(f"_cm{i}")) if split else F.col(f"_M{i}")

@@ -50,7 +50,7 @@ def robust_parameters(long: DataFrame, keys: Sequence[str], value: str, *, rule:
     if rows <= limit:
         wide = away.groupBy(*keys).agg(F.median("_d").alias("_mad"), *stats)
     else:
-        wide = away.groupBy(*keys).agg(*stats).join(quantiles(away, keys, "_d", {"_mad": 0.5}, rows=rows), list(keys))
+        wide = session.join_null_safe(away.groupBy(*keys).agg(*stats), quantiles(away, keys, "_d", {"_mad": 0.5}, rows=rows), list(keys))
     wide = wide.withColumn("mad", F.lit(MAD_TO_SIGMA) * F.col("_mad"))
     if rule == "spread":
         wide = wide.withColumn("iqr", F.col("_q3") - F.col("_q1"))
@@ -68,9 +68,9 @@ def fit_one(df: DataFrame, value: str, *, rule: str, rows: int | None = None) ->
 
 def standardize(long: DataFrame, parameters: DataFrame, keys: Sequence[str], value: str,
                 name: str = "z") -> DataFrame:
-    """(value - center) / scale; the parameter side has one row per key."""
+    """(value - center) / scale; the parameter side has one row per key, and a null key meets a null key."""
     slim = parameters.select(*keys, "center", "scale")
-    return (long.join(slim, list(keys))
+    return (session.join_null_safe(long, slim, list(keys))
             .withColumn(name, (F.col(value) - F.col("center")) / F.col("scale")).drop("center", "scale"))
 
 

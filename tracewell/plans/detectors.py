@@ -188,8 +188,7 @@ select vec_id, {r('max(d) filter (where rn = 5)')} as distance_5, {r('max(d) fil
 def d8(t: Tables) -> DataFrame:
     f = features(t)
     q, ref = f.filter("label = 0"), f.filter("is_reference")
-    out = neighbours.nearest(q, ref, X8, k=5, reference_id="vec_id", distance="distance_5")
-    out = neighbours.nearest(out, ref, X8, k=1, reference_id="vec_id", distance="distance_1", neighbour="neighbour")
+    out = neighbours.nearest(q, ref, X8, k=[1, 5], reference_id="vec_id", distance=["distance_1", "distance_5"], neighbour="neighbour")
     return rounded(out.select("vec_id", "distance_5", "distance_1", "neighbour"))
 
 
@@ -292,15 +291,22 @@ def method_records(t: Tables) -> DataFrame:
         F.avg("score").alias("mean_score"))
 
 
-DRAW = "('0x' || substr(md5(concat_ws('|', {it}, {slot}, {seed})), 1, 8))::bigint"
-BOOT_SQL = """
-pl as (select g, stratum, slot, v, row_number() over (partition by g, stratum order by slot) - 1 as i, count(*) over (partition by g, stratum) as n from src),
-dr as (select g, stratum, it, """ + DRAW.format(it="it::varchar", slot="slot::varchar", seed="'711'") + """ % n as i from pl, unnest(range(200)) u(it)),
-me as (select g, it, avg(v) as m from dr join pl using (g, stratum, i) group by 1, 2),
+def fifth(name: str, x: str) -> str:
+    """SQL text of the fifth power of ``x`` modulo the prime of the draws, as column ``name``."""
+    p = compare.PRIME
+    return f"({x}) % {p} as {name}0, {name}0 * {name}0 % {p} as {name}2, {name}2 * {name}2 % {p} * {name}0 % {p} as {name}"
+
+
+BOOT_SQL = f"""
+its as (select it, {fifth('a', f'it * {compare.SPREAD} + 711')} from range(10000) u(it)),
+dr as (select g, stratum, it, v, {fifth('b', 'a + slot')}, {fifth('c', f'b + {compare.TURN}')}, {' + '.join(f'(c >= {k})::int' for k in compare.poisson_cuts())} as w from src, its),
+st as (select g, stratum, it, sum(w * v) as s, sum(w)::double as w from dr group by 1, 2, 3),
+sz as (select g, stratum, count(*) as n, avg(v) as m from src group by 1, 2),
+me as (select g, it, sum(n * case when w > 0 then s / w else sz.m end) / sum(n) as m from st join sz using (g, stratum) group by 1, 2),
 ob as (select g, avg(v) as o, count(*) as n from src group by 1),
 bt as (select g, any_value(n) as n, any_value(o) as observed, quantile_cont(m, 0.025) as ci_low, quantile_cont(m, 0.975) as ci_high,
-              (1 + count(*) filter (where abs(m - o) >= abs(o)))::double / (count(*) + 1) as p_value,
-              least(1, 2.0::double * (1 + least(count(*) filter (where m > 0), count(*) filter (where m < 0))) / (count(*) + 1)) as sign_p
+              (1 + count(*) filter (where abs(m - o) >= abs(o) - 1e-12::double))::double / (count(*) + 1) as p_value,
+              least(1, 2.0::double * (1 + least(count(*) filter (where m > 1e-12::double), count(*) filter (where m < -1e-12::double))) / (count(*) + 1)) as sign_p
        from me join ob using (g) group by 1)"""
 
 
@@ -310,7 +316,7 @@ select g, n, {r('observed')} as observed, {r('ci_low')} as ci_low, {r('ci_high')
 def l19(t: Tables) -> DataFrame:
     s = t("supplier").select((F.col("s_nationkey") % 3).alias("g"), (F.col("s_nationkey") % 5).alias("stratum"), "s_suppkey",
                              ((F.col("s_acctbal") - 4500) / 10000.0).alias("v"))
-    out = compare.bootstrap_interval(s, ["stratum"], "v", "s_suppkey", iterations=200, seed=711, by=["g"], rows=t.rows("supplier"))
+    out = compare.bootstrap_interval(s, ["stratum"], "v", "s_suppkey", seed=711, by=["g"], rows=t.rows("supplier"))
     return rounded(out)
 
 
@@ -340,7 +346,7 @@ def l20(t: Tables) -> DataFrame:
     counts = pairs.groupBy("baseline").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(d > 0).alias("wins"), F.count_if(d == 0).alias("ties"), F.count_if(d < 0).alias("losses"),
         F.avg("rate").alias("baseline_rate"), F.avg("robust").alias("candidate_rate"))
-    boot = compare.bootstrap_interval(pairs, ["load"], "difference", "record_id", iterations=200, seed=711, by=["baseline"], rows=t.rows("events"))
+    boot = compare.bootstrap_interval(pairs, ["load"], "difference", "record_id", seed=711, by=["baseline"], rows=t.rows("events"))
     family = boot.withColumn("_f", F.lit(0))
     adjusted = compare.holm(family, ["_f"], "p_value", "baseline", rows=2)
     return rounded(counts.join(adjusted, "baseline").select("baseline", "pairs", "wins", "ties", "losses", "baseline_rate", "candidate_rate",
@@ -454,16 +460,16 @@ def l35(t: Tables) -> DataFrame:
                                           candidates=[1e-3, 1e-2, 1e-1], alpha=0.1, rows=t.rows("embeddings", 9)))
 
 
+BUDGETS = (1_000, 5_000, 10_000)
+
+
 @query("e40_bootstrap_budget", f"""
-with src0 as (select s_nationkey % 5 as stratum, s_suppkey as slot, (s_acctbal - 4500) / 10000.0::double as v from supplier),
-pl as (select stratum, slot, v, row_number() over (partition by stratum order by slot) - 1 as i, count(*) over (partition by stratum) as n from src0),
-dr as (select stratum, it, {DRAW.format(it="it::varchar", slot="slot::varchar", seed="'5'")} % n as i from pl, unnest(range(100)) u(it)),
-me as (select it, avg(v) as m from dr join pl using (stratum, i) group by 1)
-select b as budget, {r('quantile_cont(m, 0.975) - quantile_cont(m, 0.025)')} as width from me, (select unnest([25, 50, 100]) as b) where it < b group by 1""")
+with src as (select 0 as g, s_nationkey % 5 as stratum, s_suppkey as slot, (s_acctbal - 4500) / 10000.0::double as v from supplier), {BOOT_SQL}
+select b as budget, {r('quantile_cont(m, 0.975) - quantile_cont(m, 0.025)')} as width from me, (select unnest({list(BUDGETS)}) as b) where it < b group by 1""")
 def e40b(t: Tables) -> DataFrame:
     s = t("supplier").select((F.col("s_nationkey") % 5).alias("stratum"), "s_suppkey", ((F.col("s_acctbal") - 4500) / 10000.0).alias("v"), F.lit(0).alias("g"))
-    m = compare.bootstrap_means(s, ["stratum"], "v", "s_suppkey", iterations=100, seed=5, by=["g"], rows=t.rows("supplier"))
-    fan = m.select("mean", F.explode(F.filter(F.array(F.lit(25), F.lit(50), F.lit(100)), lambda b: F.col("iteration") < b)).alias("budget"))
+    m = compare.bootstrap_means(s, ["stratum"], "v", "s_suppkey", iterations=max(BUDGETS), seed=711, by=["g"])
+    fan = m.select("mean", F.explode(F.filter(F.array(*[F.lit(b) for b in BUDGETS]), lambda b: F.col("iteration") < b)).alias("budget"))
     q = F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975)))
     return rounded(fan.groupBy("budget").agg(q.alias("q")).select("budget", (F.col("q")[1] - F.col("q")[0]).alias("width")))
 
