@@ -9,7 +9,8 @@ from tracewell.operators import conformal
 from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, query, r
 from tracewell.streaming import monitor
-from tracewell.streaming.replay import read_stream, run_to_table
+from tracewell.streaming.lateness import split_late
+from tracewell.streaming.replay import landing_folder, read_stream, run_to_table
 
 LATE = "1 day"
 
@@ -79,3 +80,29 @@ def n5(t: Tables) -> DataFrame:
     flagged = run_to_table(monitor.with_alarm(event_stream(t), frozen, ["event_type"], "value"))
     return rounded(flagged.groupBy("event_type", "user_id").agg(
         F.count(F.lit(1)).alias("events"), F.count_if("alarm").alias("alarms"), F.max("threshold").alias("threshold")))
+
+
+ARRIVALS = 4
+
+
+@query("n6_late_rows", f"""
+with n as (select max(event_id) + 1 as n from events),
+a as (select event_type, ts, least({ARRIVALS - 1}, (event_id + case when event_id % 13 = 0 then n // {ARRIVALS} else 0 end) * {ARRIVALS} // n) as part from events, n),
+w as (select part, max(max(ts)) over (order by part rows between unbounded preceding and 1 preceding) - interval '{LATE}' as mark from a group by 1)
+select event_type, count(*) filter (where mark is null or ts >= mark) as in_time, count(*) filter (where ts < mark) as late, {r("coalesce(max(epoch_us(mark) - epoch_us(ts)) filter (where ts < mark), 0) / 1e6::double")} as latest_seconds
+from a join w using (part) group by 1""")
+def n6(t: Tables) -> DataFrame:
+    """Events in arrivals of which every thirteenth comes one arrival too late; the late ones are kept and counted."""
+    e = t("events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    n = e.agg(F.max("event_id")).first()[0] + 1
+    behind = F.when(F.col("event_id") % 13 == 0, n // ARRIVALS).otherwise(0)
+    part = F.least(F.lit(ARRIVALS - 1), F.floor((F.col("event_id") + behind) * ARRIVALS / n))
+    place = landing_folder(t.spark)
+    for k in range(ARRIVALS):
+        e.filter(part == k).write.parquet(f"{place}/in/{k}")
+        stream = t.spark.readStream.schema(e.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+        in_time, late = split_late(stream, "ts", LATE, f"{place}/split")
+    gap = (F.unix_micros("watermark") - F.unix_micros("ts")) / 1e6
+    both = in_time.select("event_type", F.lit(None).cast("double").alias("gap")).unionByName(late.select("event_type", gap.alias("gap")))
+    return rounded(both.groupBy("event_type").agg(F.count_if(F.col("gap").isNull()).alias("in_time"), F.count("gap").alias("late"),
+                                                  F.coalesce(F.max("gap"), F.lit(0.0)).alias("latest_seconds")))

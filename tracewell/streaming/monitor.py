@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
 def tumbling_windows(stream: DataFrame, ts: str, keys: Sequence[str], width: str, late: str, value: str) -> DataFrame:
@@ -43,57 +44,117 @@ def with_alarm(stream: DataFrame, thresholds: DataFrame, keys: Sequence[str], sc
     return stream.withColumn("threshold", F.lit(float(limit))).withColumn("alarm", F.col(score) > F.lit(float(limit)))
 
 
-RUN_STATE = "length long, start timestamp, reported boolean"
+class SustainedRun(StatefulProcessor):
+    """Per key: the current run of hot rows; the first run that is long enough is reported once."""
 
+    def __init__(self, length: int, keep: int):
+        self.length, self.keep = length, keep
 
-def sustained_alarms(stream: DataFrame, key: str, ts: str, hot: Column, length: int, late: str) -> DataFrame:
-    """First run of ``length`` hot rows per key as it happens; the state is three numbers per key.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "length long, start long, reported boolean")
 
-    The rows of a key in one micro-batch are ordered by event time before they advance the run; the
-    trigger's file limit bounds them. Rows that arrive behind an earlier micro-batch extend the run in
-    arrival order, as in a causal monitor.
-    """
-    key_type = dict(stream.dtypes)[key]
-
-    def advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, start, reported = state.get if state.exists else (0, None, False)
-        found = []
-        rows = pd.concat(list(batches)).sort_values("_at")
-        for at, flag in zip(rows["_at"], rows["_hot"]):
-            if not flag:
-                run, start = 0, None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        length, start, reported = self.run.get() or (0, None, False)
+        found, at = [], None
+        for at, hot in sorted((r["at"], bool(r["hot"])) for r in rows):
+            if not hot:
+                length, start = 0, None
                 continue
-            run, start = run + 1, at if run == 0 else start
-            if run == length and not reported:
+            length, start = length + 1, at if length == 0 else start
+            if length == self.length and not reported:
                 reported = True
-                found.append((group[0], start, at))
-        state.update((run, start, reported))
-        if found:
-            yield pd.DataFrame(found, columns=[key, "start", "confirmed"])
-
-    rows = stream.withWatermark(ts, late).select(F.col(key), F.col(ts).alias("_at"), hot.alias("_hot"))
-    return rows.groupBy(key).applyInPandasWithState(
-        advance, f"{key} {key_type}, start timestamp, confirmed timestamp", RUN_STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def anchored_residuals(stream: DataFrame, key: str, ts: str, value: str, anchors: int = 2) -> DataFrame:
-    """Residual of each row against the median of the first rows of its key; the state holds only the anchor."""
-    key_type = dict(stream.dtypes)[key]
-
-    def advance(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["_at", "_v"])
-        take = max(0, anchors - len(held))
-        held += [float(v) for v in rows["_v"].head(take)]
-        rest = rows.iloc[take:]
-        if len(rest):
-            center = float(pd.Series(held).median())
-            yield pd.DataFrame({key: group[0], "at": rest["_at"], "residual": rest["_v"] - center})
-        state.update((held,))
-
-    rows = stream.select(F.col(key), F.col(ts).alias("_at"), F.col(value).cast("double").alias("_v"))
-    return rows.groupBy(key).applyInPandasWithState(
-        advance, f"{key} {key_type}, at timestamp, residual double", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+                found.append(Row(key=key[0], start=start, confirmed=at))
+        self.run.update((length, start, reported))
+        keep_until(self.handle, at, self.keep)
+        return iter(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.run.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Anchored(StatefulProcessor):
+    """Per key: the first values; later rows are measured against their median."""
+
+    def __init__(self, anchors: int, keep: int):
+        self.anchors, self.keep = anchors, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("anchors", "values array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state = self.held.get()
+        held = [] if state is None else list(state[0])
+        ordered = sorted((r["at"], r["value"]) for r in rows if r["value"] is not None)
+        take = max(0, self.anchors - len(held))
+        held += [v for _, v in ordered[:take]]
+        found = []
+        if len(ordered) > take:
+            center = statistics.median(held)
+            found = [Row(key=key[0], at=at, residual=v - center) for at, v in ordered[take:]]
+        self.held.update((held,))
+        keep_until(self.handle, ordered[-1][0] if ordered else None, self.keep)
+        return iter(found)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def keep_until(handle: StatefulProcessorHandle, at: int | None, keep: int) -> None:
+    """One timer per key, ``keep`` microseconds of event time after its newest row; it clears the state."""
+    if at is None:
+        return
+    due = (at + keep) // 1000 + 1
+    timers = list(handle.listTimers())
+    if timers and max(timers) >= due:
+        return
+    for timer in timers:
+        handle.deleteTimer(timer)
+    handle.registerTimer(due)
+
+
+def _stateful(stream: DataFrame, key: str, ts: str, late: str, columns: list[Column], processor: StatefulProcessor, out: str) -> DataFrame:
+    """Rows at or after the watermark, keyed, through one processor with event-time timers; later rows are dropped by Spark."""
+    rows = stream.withWatermark(ts, late).select(F.col(key), F.col(ts), F.unix_micros(ts).alias("at"), *columns).filter(F.col(ts).isNotNull())
+    return rows.groupBy(key).transformWithState(processor, out, "Append", "EventTime")
+
+
+def _microseconds(interval: str) -> int:
+    return int(pd.Timedelta(interval) / pd.Timedelta(microseconds=1))
+
+
+def sustained_alarms(stream: DataFrame, key: str, ts: str, hot: Column, length: int, late: str, keep: str = "365 days") -> DataFrame:
+    """First run of at least ``length`` hot rows per key, reported once.
+
+    Rows of a micro-batch are taken in time order. Rows behind the watermark are dropped. A key that is
+    silent for ``keep`` of event time after its newest row is forgotten, so a key that comes back may be
+    reported again. The state store must be RocksDB, see ``replay.run_to_table``.
+    """
+    kind = dict(stream.dtypes)[key]
+    found = _stateful(stream, key, ts, late, [hot.alias("hot")], SustainedRun(length, _microseconds(keep)),
+                      f"key {kind}, start long, confirmed long")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("start").alias("start"), F.timestamp_micros("confirmed").alias("confirmed"))
+
+
+def anchored_residuals(stream: DataFrame, key: str, ts: str, value: str, anchors: int = 2, late: str = "1 day", keep: str = "365 days") -> DataFrame:
+    """Residual of each row against the median of the first rows of its key; the state holds only the anchor.
+
+    Rows without a value take no part, late rows are dropped, and a key that is silent for ``keep`` gets new
+    anchors when it comes back.
+    """
+    kind = dict(stream.dtypes)[key]
+    found = _stateful(stream, key, ts, late, [F.col(value).cast("double").alias("value")], Anchored(anchors, _microseconds(keep)),
+                      f"key {kind}, at long, residual double")
+    return found.select(F.col("key").alias(key), F.timestamp_micros("at").alias("at"), "residual")
 
 
 def dropped_by_watermark(query) -> int:
