@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -265,11 +265,3 @@ def select_surrogate(df: DataFrame, parameters: Sequence[str], curve: str, row_i
     table = per_fold.groupBy("candidate", "alpha").agg(F.avg("mae").alias("cv_mae"), F.avg("peak").alias("cv_max_error"))
     best = Window.partitionBy(F.lit(0))  # one row per penalty
     return table.withColumn("selected", F.struct("cv_mae", "candidate") == F.min(F.struct("cv_mae", "candidate")).over(best))
-
-
-def tree_surrogate(train: DataFrame, features: Sequence[str], target: str, *, trees: int = 50, leaf: int = 1, seed: int = 711) -> PipelineModel:
-    """Random forest on one curve coordinate, the comparator of the quadratic ridge."""
-    assemble = VectorAssembler(inputCols=list(features), outputCol="_features")
-    est = RandomForestRegressor(featuresCol="_features", labelCol=target, predictionCol="predicted", numTrees=trees,
-                                minInstancesPerNode=leaf, maxDepth=10, seed=seed)
-    return Pipeline(stages=[assemble, est]).fit(train)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell import session
+from tracewell.functions.scalars import is_finite
 from tracewell.operators import covariance
 from tracewell.operators.ranks import order_statistic
 
@@ -129,56 +131,126 @@ def _chi2_quantile(q: float, d: int) -> float:
     return (low + high) / 2
 
 
+#: Rows of the bounded sample that starts are drawn from and first concentrated on.
+NEST = 1_500
+
+
+def _concentrate(x: np.ndarray, moments: np.ndarray, h: int, steps: int) -> np.ndarray:
+    """A few concentration steps around zero on rows in memory."""
+    for _ in range(steps):
+        away = np.einsum("ij,jk,ik->i", x, covariance.precision_of(moments), x)
+        kept = x[np.argsort(away, kind="stable")[:h]]
+        moments = kept.T @ kept / h
+    return moments
+
+
+def _first_moments(x: np.ndarray, starts: int, seed: int) -> list[np.ndarray]:
+    """Second moments of random subsets of d + 1 rows, each grown until it spans all dimensions."""
+    rng, d, out = np.random.default_rng(seed), x.shape[1], []
+    for _ in range(starts):
+        order, take = rng.permutation(len(x)), min(d + 1, len(x))
+        while take < len(x) and np.linalg.matrix_rank(x[order[:take]]) < d:
+            take += 1
+        part = x[order[:take]]
+        out.append(part.T @ part / take)
+    return out
+
+
 @dataclass
 class RobustCovariance:
-    """Minimum-determinant covariance with a fixed zero center, consistency factor and reweighting."""
+    """Minimum-determinant covariance with a fixed zero center, consistency factor and reweighting.
+
+    ``raw`` are the second moments of the best half before the correction, ``log_det`` their determinant,
+    ``steps`` and ``converged`` those of the best start.
+    """
 
     features: list[str]
     matrix: np.ndarray
     support: int
     steps: int
+    raw: np.ndarray
+    log_det: float
+    converged: bool
+    starts: int
 
     @classmethod
-    def fit(cls, df: DataFrame, features: Sequence[str], *, rows: int | None = None, limit: int = 30) -> RobustCovariance:
-        """Concentration steps: second moments of the h closest rows, until the determinant is stable.
-
-        Each step is one aggregation and one order statistic over all rows. The first step keeps the h
-        rows of smallest norm in units of the overall second moments.
+    def fit(cls, df: DataFrame, features: Sequence[str], *, rows: int | None = None, starts: int = 20, kept: int = 10,
+            limit: int = 100, seed: int = 711) -> RobustCovariance:
+        """Concentration steps from several starts: second moments of the h closest rows, until determinants are stable.
+
+        Random starts take two steps on a bounded sample; the best ``kept`` of them and the start of smallest
+        scaled norms then step on all rows. A step of all live starts is one order statistic over their
+        distances and one sum of cross products, over a table that is written once. Rows with a null or
+        non-finite feature take no part.
         """
         features, d = list(features), len(features)
-        data = df.select(F.lit(0).alias("_g"), *[F.col(f).cast("double").alias(f) for f in features])
+        whole = F.lit(True)
+        for f in features:
+            whole = whole & F.coalesce(is_finite(f), F.lit(False))
+        data = session.landed(df.filter(whole).select(F.array(*[F.col(f).cast("double") for f in features]).alias("x")), "rows")
         n = data.count()
-        h = (n + d + 1) // 2
-
-        def moments(part: DataFrame) -> np.ndarray:
-            if d <= covariance.NARROW:
-                cells = [F.avg(F.col(features[i]) * F.col(features[j])) for i in range(d) for j in range(i, d)]
-                out = np.zeros((d, d))
-                out[np.triu_indices(d)] = part.agg(F.array(*cells)).first()[0]
-                return out + np.triu(out, 1).T
-            g = np.array(covariance.gram_sums(part, ["_g"], features).first()["g"]).reshape(d + 1, d + 1)
-            return g[1:, 1:] / g[0, 0]
-
-        def closest(matrix: np.ndarray, count: int) -> tuple[DataFrame, float]:
-            scored = data.withColumn("_d", covariance.distance(features, covariance.precision_of(matrix)))
-            edge = order_statistic(scored, ["_g"], "_d", F.lit(count).cast("long"), "edge", rows=rows).first()["edge"]
-            return scored.filter(F.col("_d") <= F.lit(float(edge))), float(edge)
-
-        current = np.diag(np.diag(moments(data)))
-        size, steps = math.inf, 0
-        while steps < limit:
-            kept, _ = closest(current, h)
-            current = moments(kept)
-            steps += 1
-            det = float(np.linalg.slogdet(current)[1])
-            if size - det < 1e-9:
-                break
-            size = det
-        _, middle = closest(current, (n + 1) // 2)
-        current = current * (middle / _chi2_quantile(0.5, d))
-        scored = data.withColumn("_d", covariance.distance(features, covariance.precision_of(current)))
-        final = moments(scored.filter(F.col("_d") < F.lit(_chi2_quantile(0.975, d))))
-        return cls(features, final, h, steps)
+        if not n:
+            raise ValueError("a robust covariance needs training rows")
+        h = min(n, (n + d + 1) // 2)
+
+        def moments(edges: dict[int, tuple[np.ndarray, float]]) -> dict[int, np.ndarray]:
+            """Second moments, for every start, of the rows within its edge under its precision."""
+
+            def partial(batches):
+                held = {s: np.zeros(d * d + 1) for s in edges}
+                for pdf in batches:
+                    x = np.stack(pdf["x"].to_numpy())
+                    for s, (p, edge) in edges.items():
+                        part = x[np.einsum("ij,jk,ik->i", x, p, x) <= edge]
+                        held[s] += np.append((part.T @ part).ravel(), len(part))
+                for s, v in held.items():
+                    yield pd.DataFrame({"s": s, "p": np.arange(len(v)), "v": v})
+
+            cells = data.mapInPandas(partial, "s int, p int, v double").groupBy("s", "p").agg(F.sum("v").alias("v")).toPandas()
+            out = {}
+            for s, part in cells.groupby("s"):
+                v = part.sort_values("p")["v"].to_numpy()
+                out[int(s)] = v[:-1].reshape(d, d) / max(v[-1], 1.0)
+            return out
+
+        def nearest_edges(precisions: dict[int, np.ndarray], count: int) -> dict[int, tuple[np.ndarray, float]]:
+            def measure(batches):
+                for pdf in batches:
+                    x = np.stack(pdf["x"].to_numpy())
+                    for s, p in precisions.items():
+                        yield pd.DataFrame({"s": s, "d": np.einsum("ij,jk,ik->i", x, p, x)})
+
+            long = data.mapInPandas(measure, "s int, d double")
+            found = order_statistic(long, ["s"], "d", F.lit(count).cast("long"), "edge", rows=n * len(precisions)).collect()
+            return {r["s"]: (precisions[r["s"]], float(r["edge"])) for r in found}
+
+        share = min(1.0, 1.5 * NEST / n)
+        sample = data.withColumn("_h", F.pmod(F.xxhash64("x"), F.lit(1_000_003)) / 1_000_003.0).filter(F.col("_h") < share).orderBy("_h", "x").limit(NEST)
+        near = np.array([r["x"] for r in sample.select("x").collect()], dtype=float).reshape(-1, d)
+        everything = moments({0: (np.zeros((d, d)), 0.0)})[0]
+        candidates = []
+        if len(near):
+            inner = min(len(near), (len(near) + d + 1) // 2)
+            candidates = sorted((_concentrate(near, m, inner, 2) for m in _first_moments(near, starts, seed)), key=lambda m: np.linalg.slogdet(m)[1])[:kept]
+        current = dict(enumerate([np.diag(np.diag(everything)), *candidates]))
+        size, steps, live = {s: math.inf for s in current}, dict.fromkeys(current, 0), set(current)
+        while live:
+            found = moments(nearest_edges({s: covariance.precision_of(current[s]) for s in live}, h))
+            for s in sorted(live):
+                current[s], steps[s] = found[s], steps[s] + 1
+                det = float(np.linalg.slogdet(found[s])[1])
+                if not size[s] - det > 1e-9:
+                    live.discard(s)
+                elif steps[s] >= limit:
+                    live.discard(s)
+                    steps[s] = limit + 1
+                size[s] = det
+        best = min(size, key=lambda s: (size[s], s))
+        raw = current[best]
+        middle = nearest_edges({0: covariance.precision_of(raw)}, (n + 1) // 2)[0][1]
+        wide = covariance.precision_of(raw * (middle / _chi2_quantile(0.5, d)))
+        final = moments({0: (wide, _chi2_quantile(0.975, d))})[0]
+        return cls(features, final, h, min(steps[best], limit), raw, size[best], steps[best] <= limit, len(current))
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         return df.withColumn(name, covariance.distance(self.features, covariance.precision_of(self.matrix)))

@@ -9,7 +9,6 @@ input is known to be small there is a single range and the plan is an ordinary w
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,13 +21,6 @@ MAX_CHUNKS = 20_000
 RANGE_STEP = 4096
 
 
-def _landed(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: later passes read the file, not the sources."""
-    place = f"{session.shared_folder(df.sparkSession)}/scan-{uuid.uuid4().hex}"
-    df.write.parquet(place)
-    return df.sparkSession.read.schema(df.schema).parquet(place)
-
-
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
             position: str | None = None, sums: Mapping[str, Column] | None = None,
             maxima: Mapping[str, Column] | None = None, lags: Mapping[str, str] | None = None,
@@ -78,7 +70,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         local |= {name: F.sum(expr).over(Window.partitionBy(*keys)) for name, expr in totals.items()}
     out = staged.withColumns(local)  # column names ignore case: the running values take the place of _s and _m
     if split:
-        out = _landed(out)
+        out = session.landed(out, "scan")
         held = [*[f"_S{i}" for i in range(len(sums))], *[f"_M{i}" for i in range(len(maxima))]]
         last = F.max_by(F.struct(F.lit(0).alias("_"), *held, *[F.struct(F.col(name).alias("v")).alias(f"_l{i}") for i, name in enumerate(lags.values())]),
                         F.struct(*order))

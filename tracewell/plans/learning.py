@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.operators import conformal, models, ranks, report, roles, segments, thermal
+from tracewell.functions.scalars import hash_draw
+from tracewell.operators import conformal, forests, models, ranks, report, roles, segments, thermal
 from tracewell.operators.conditional import ConditionalResidual, SessionAnchored
 from tracewell.operators.oneclass import IsolationForest, RobustCovariance
 from tracewell.operators.report import rounded
@@ -81,8 +84,8 @@ def l16(t: Tables) -> DataFrame:
 @query("l17_robust_covariance")
 def l17(t: Tables) -> DataFrame:
     f = features(t)
-    model = RobustCovariance.fit(f.filter("is_reference"), X8[:4], rows=t.rows("embeddings"))
-    return rounded(model.score(f).select("vec_id", "label", "score"))
+    model = RobustCovariance.fit(f.filter("is_reference"), X8)
+    return rounded(model.score(f).select("vec_id", "label", "score", F.lit(model.converged).alias("converged")))
 
 
 @query("l18_source_classifiers")
@@ -126,36 +129,45 @@ def l25(t: Tables) -> DataFrame:
 
 
 def designs(t: Tables) -> DataFrame:
-    """Vectors as designs: six parameters and the 64-point curve."""
-    e = F.col("embedding")
-    return t("embeddings").select("vec_id", "label", *[e[i + 10].cast("double").alias(f"d{i}") for i in range(6)],
-                                  F.transform(e, lambda v: v.cast("double")).alias("curve"))
+    """Vectors as designs: six parameters from the first components, the curve from the 48 that follow them."""
+    e = F.transform("embedding", lambda v: v.cast("double"))
+    mix = [F.aggregate(F.slice(e, 16 + 8 * i, 8), F.lit(0.0), lambda a, v: a + v) for i in range(6)]
+    raw = t("embeddings").select("vec_id", "label", F.slice(e, 1, 16).alias("p"), F.slice(e, 17, 48).alias("c"), *[m.alias(f"m{i}") for i, m in enumerate(mix)])
+    # a curve that the parameters explain in part: its level and first waves follow them, the vector's own components stay as noise
+    wave = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda k: F.col("p")[0] * F.col("p")[1] * 20 + F.col("p")[2] * F.cos(k * (2 * math.pi / POSITIONS))
+                       + F.col("p")[3] * F.abs(F.col("p")[4]) * 10 * F.sin(k * (4 * math.pi / POSITIONS)) + F.col("c")[k] * 0.2 + F.col("p")[5])
+    return raw.select("vec_id", "label", *[F.col("p")[i].alias(f"d{i}") for i in range(6)], wave.alias("curve"))
 
 
 DESIGN = [f"d{i}" for i in range(6)]
+POSITIONS = 48
 
 
 @query("l26_curve_surrogate")
 def l26(t: Tables) -> DataFrame:
-    """Quadratic ridge surrogate and a tree comparator on held-out designs."""
+    """Quadratic ridge surrogate and forests of whole curves on held-out designs."""
     from tracewell.operators.curves import curve_metrics
 
     d = designs(t)
     train, test = d.filter("vec_id % 4 <> 0"), d.filter("vec_id % 4 = 0")
-    ridge = models.CurveSurrogate.fit_grid(train, DESIGN, "curve", alphas=[1e-1])[0]
-    m = curve_metrics(ridge.transform(test).withColumn("method", F.lit("ridge")), ["method"], "curve", "predicted")
-    level = F.aggregate("curve", F.lit(0.0), lambda a, v: a + v)
-    trees = models.tree_surrogate(train.withColumn("level", level), DESIGN, "level", trees=10)
-    g = trees.transform(test.withColumn("level", level)).agg(F.avg(F.abs(F.col("predicted") - F.col("level")) / 64.0).alias("level_mae"),
-                                                             F.count(F.lit(1)).alias("designs"))
-    both = m.select("method", "designs", "mae", "rmse", "mean_max_error", "level_mae").unionByName(
-        g.withColumn("method", F.lit("trees")), allowMissingColumns=True)
-    return rounded(both)
+    ridge = models.CurveSurrogate.fit_grid(train, DESIGN, "curve", alphas=[1e-1], positions=POSITIONS)[0]
+    trees = forests.CurveForest.fit(train, DESIGN, "curve", positions=POSITIONS)
+    both = ridge.transform(test).withColumn("method", F.lit("ridge")).unionByName(trees.transform(test).withColumn("method", F.lit("trees")))
+    m = curve_metrics(both, ["method"], "curve", "predicted")
+    return rounded(m.select("method", "designs", "mae", "rmse", "mean_max_error", "level_mae", "ripple_mae"))
 
 
 @query("l27_surrogate_selection")
 def l27(t: Tables) -> DataFrame:
-    return rounded(models.select_surrogate(designs(t), DESIGN, "curve", "vec_id", alphas=[1e-3, 1e-1, 1e1]), keep=["alpha"])
+    """Cross-validated curve errors of four penalties and three leaf sizes, the best of each family flagged."""
+    d = designs(t)
+    ridge = models.select_surrogate(d, DESIGN, "curve", "vec_id", alphas=[1e-3, 1e-1, 1e1, 1e3], positions=POSITIONS)
+    fold = (hash_draw(F.lit(711), "vec_id") % 3).cast("int")
+    trees = forests.select_leaf(d, DESIGN, "curve", fold, positions=POSITIONS)
+    best = F.min(F.struct("cv_mae", "candidate")).over(Window.partitionBy(F.lit(0)))  # one row per leaf size
+    trees = trees.withColumn("selected", F.struct("cv_mae", "candidate") == best)
+    both = ridge.withColumn("method", F.lit("ridge")).unionByName(trees.withColumn("method", F.lit("trees")), allowMissingColumns=True)
+    return rounded(both, keep=["alpha"])
 
 
 @query("l31_residual_boosting")
@@ -191,7 +203,7 @@ def l39(t: Tables) -> DataFrame:
             s = forest.score(f).select("vec_id", "label", "is_reference", "score").withColumns(
                 {"method": F.lit(f"{scope}_forest"), "seed": F.lit(seed)})
             out = s if out is None else out.unionByName(s)
-        s = RobustCovariance.fit(train, X8[:4], rows=t.rows("embeddings")).score(f).select(
+        s = RobustCovariance.fit(train, X8).score(f).select(
             "vec_id", "label", "is_reference", "score").withColumns({"method": F.lit(f"{scope}_robust"), "seed": F.lit(711)})
         out = out.unionByName(s)
     p = conformal.p_values(out, ["method", "seed"], "score", F.col("is_reference") & (F.col("vec_id") % 2 == 1), rows=t.rows("embeddings", 6))
