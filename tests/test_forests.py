@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from tracewell import session
 from tracewell.operators import forests
 
 P = 32
@@ -24,33 +25,62 @@ def codes(y, retained):
     return np.hstack([s.real, s[:, 1:].imag])
 
 
-def test_every_split_is_the_best_drawn_cut(spark, designs):
-    """Walk one grown tree: its sums are those of the rows, and each split beats the cuts drawn for the other parameters."""
+@pytest.fixture(params=["100", "100000"])
+def limit(spark, request):
+    spark.conf.set(session.BROADCAST_ROWS, request.param)
+    yield request.param
+    spark.conf.unset(session.BROADCAST_ROWS)
+
+
+def test_sums_and_leaves_are_those_of_the_rows(spark, designs, limit):
     df, x, y = designs
     data = forests.staged_rows(df, list("abc"), "curve", 5)
     low, high = forests._ranges(data, 3)
     assert np.allclose(low, x.min(0)) and np.allclose(high, x.max(0))
     code = codes(y, 5)
     for leaf in (1, 8):
-        tree, = forests.grow(data, [(leaf, -2)], low, high, 9, seed=3, depth=6)
+        (feature, cut, left, total), = forests.grow(data, [(leaf, -2)], low, high, 9, seed=3, depth=6)
+        assert (feature >= 0).sum() > 10
         at = {0: np.arange(300)}
-        for n in range(len(tree.feature)):
+        for n in range(len(feature)):
             rows = at[n]
-            assert tree.total[n][0] == len(rows) and np.allclose(tree.total[n][1:], code[rows].sum(0))
-            if tree.feature[n] >= 0:
-                below = x[rows, tree.feature[n]] <= tree.cut[n]
-                at[tree.left[n]], at[tree.left[n] + 1] = rows[below], rows[~below]
+            assert total[n][0] == len(rows) and np.allclose(total[n][1:], code[rows].sum(0))
+            if feature[n] >= 0:
+                below = x[rows, feature[n]] <= cut[n]
+                at[left[n]], at[left[n] + 1] = rows[below], rows[~below]
                 assert min(below.sum(), (~below).sum()) >= leaf
-        ends = forests.route(x, tree.packed(), 6)
-        assert all(set(np.flatnonzero(ends == n)) == set(rows) for n, rows in at.items() if tree.feature[n] < 0)
+        ends = forests.route(x, (feature, cut, left), 6)
+        assert all(set(np.flatnonzero(ends == n)) == set(rows) for n, rows in at.items() if feature[n] < 0)
+
+
+def test_a_split_is_the_best_of_the_drawn_cuts(designs):
+    _, x, y = designs
+    code = np.hstack([np.ones((300, 1)), codes(y, 5)])
+    tree = forests.Tree(4, 2, -2)
+    nodes = [tree.add(np.zeros(10), (x.min(0), x.max(0)))]
+    cuts = tree.draw(nodes, 0, 9)
+    tree.split(nodes, cuts, forests.node_sums(x, code, tree.packed(), np.array(nodes), cuts, 0), False)
+
+    def error(f):
+        sides = x[:, f] <= cuts[0, f]
+        return sum(((code[s, 1:] - code[s, 1:].mean(0)) ** 2).sum() for s in (sides, ~sides))
+
+    assert tree.feature[0] == min(range(3), key=error)
 
 
-def test_a_fold_left_out_is_not_seen(spark, designs):
+def test_both_ways_grow_the_same_trees_without_the_fold_left_out(spark, designs):
     df, x, y = designs
     data = forests.staged_rows(df, list("abc"), "curve", 5, df["id"] % 3)
     low, high = forests._ranges(data, 3)
-    trees = forests.grow(data, [(2, 0), (2, 1), (2, -2)], low, high, 9, seed=1, depth=3)
-    assert [t.total[0][0] for t in trees] == [200, 200, 300]
+    found = []
+    for rows in ("100", "100000"):
+        spark.conf.set(session.BROADCAST_ROWS, rows)
+        try:
+            found.append(forests.grow(data, [(2, 0), (2, 1), (2, -2)], low, high, 9, seed=1, depth=5))
+        finally:
+            spark.conf.unset(session.BROADCAST_ROWS)
+    assert [t[3][0, 0] for t in found[0]] == [200, 200, 300]
+    assert all(np.array_equal(a, b) if k < 3 else np.allclose(a, b) for one, two in zip(*found) for k, (a, b) in enumerate(zip(one, two)))
 
 
 def test_forest_predicts_whole_curves(spark, designs):

@@ -27,8 +27,9 @@ DEPTH = 10
 
 @dataclass
 class Tree:
-    """Nodes as growing lists; a node is open until it is split or closed."""
+    """Nodes as growing lists: split feature (-1 for a leaf), cut, first child, sums (rows, then coordinates) and box."""
 
+    number: int
     leaf: int
     skip: int
     feature: list[int] = field(default_factory=list)
@@ -37,7 +38,7 @@ class Tree:
     total: list[np.ndarray] = field(default_factory=list)
     box: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def add(self, total: np.ndarray | None, box: tuple[np.ndarray, np.ndarray]) -> int:
+    def add(self, total: np.ndarray, box: tuple[np.ndarray, np.ndarray]) -> int:
         self.feature.append(-1)
         self.cut.append(0.0)
         self.left.append(0)
@@ -48,6 +49,36 @@ class Tree:
     def packed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.array(self.feature), np.array(self.cut), np.array(self.left)
 
+    def draw(self, nodes: list[int], level: int, seed: int) -> np.ndarray:
+        """A cut inside the box of every node for each parameter, the same wherever the tree grows."""
+        return np.array([np.random.default_rng([seed, self.number, n, level]).uniform(*self.box[n]) for n in nodes])
+
+    def split(self, nodes: list[int], cuts: np.ndarray, sums: np.ndarray, last: bool) -> list[int]:
+        """Take the best of the drawn cuts at each node; returns the nodes that stay open."""
+        ahead = []
+        for i, n in enumerate(nodes):
+            self.total[n] = sums[i, 0]
+            count, below = sums[i, 0, 0], sums[i, 1:]
+            above = sums[i, 0] - below
+            lower, upper = self.box[n]
+            if last or count < 2 * self.leaf:
+                continue
+            fits = (below[:, 0] >= self.leaf) & (above[:, 0] >= self.leaf)
+            if not fits.any():
+                if (upper > lower).any():
+                    ahead.append(n)  # no drawn cut parts the rows well enough: draw again at the next level
+                continue
+            with np.errstate(invalid="ignore", divide="ignore"):
+                gain = (below[:, 1:] ** 2).sum(1) / below[:, 0] + (above[:, 1:] ** 2).sum(1) / above[:, 0]
+            f = int(np.where(fits, gain, -np.inf).argmax())
+            ends = upper.copy(), lower.copy()
+            ends[0][f] = ends[1][f] = cuts[i, f]
+            self.feature[n], self.cut[n] = f, float(cuts[i, f])
+            self.left[n] = self.add(below[f], (lower, ends[0]))
+            self.add(above[f], (ends[1], upper))
+            ahead += [self.left[n], self.left[n] + 1]
+        return sorted(ahead)
+
 
 def route(x: np.ndarray, packed: tuple[np.ndarray, np.ndarray, np.ndarray], depth: int) -> np.ndarray:
     """Node that every row has reached after ``depth`` levels."""
@@ -60,91 +91,95 @@ def route(x: np.ndarray, packed: tuple[np.ndarray, np.ndarray, np.ndarray], dept
     return at
 
 
-def _sums(data: DataFrame, trees: list[Tree], cuts: list[dict[int, np.ndarray]], depth: int, features: int, width: int) -> dict:
-    """For every open node: (rows and coordinate sums of the node, the same below the cut of each parameter)."""
-    packed = [t.packed() for t in trees]
-    skips = [t.skip for t in trees]
-    lanes = features + 1
-    names = [f"v{i}" for i in range(width + 1)]
+def node_sums(x: np.ndarray, y: np.ndarray, packed: tuple, nodes: np.ndarray, cuts: np.ndarray, level: int) -> np.ndarray:
+    """Sums of ``y`` per node (rising numbers), then of the rows below the cut of each parameter."""
+    out = np.zeros((len(nodes), x.shape[1] + 1, y.shape[1]))
+    reached = route(x, packed, level)
+    place = np.minimum(np.searchsorted(nodes, reached), len(nodes) - 1)
+    use = np.flatnonzero(nodes[place] == reached)
+    if not len(use):
+        return out
+    use = use[np.argsort(place[use], kind="stable")]
+    at, rows = place[use], y[use]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    out[at[first], 0] = np.add.reduceat(rows, first)
+    for f in range(x.shape[1]):
+        out[at[first], f + 1] = np.add.reduceat(rows * (x[use, f] <= cuts[at, f])[:, None], first)
+    return out
+
+
+def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.stack(pdf["x"].to_numpy()), np.hstack([np.ones((len(pdf), 1)), np.stack(pdf["y"].to_numpy())]), pdf["fold"].to_numpy()
+
 
-    def partial(batches):
-        held = [np.zeros((len(c), lanes, width + 1)) for c in cuts]
-        opened = [np.array(sorted(c), dtype=np.int64) for c in cuts]
-        limits = [np.array([c[n] for n in sorted(c)]).reshape(len(c), features) for c in cuts]
+def _grow_apart(data: DataFrame, trees: list[Tree], box: tuple, *, seed: int, depth: int) -> list[tuple]:
+    """Rows within the broadcast limit travel to the tasks, and every tree grows in one of them."""
+    spark = data.sparkSession
+    sent = spark.sparkContext.broadcast(_arrays(data.toPandas()))
+    context = spark.sparkContext.defaultParallelism
+
+    def some(batches):
+        x, y, fold = sent.value
         for pdf in batches:
-            x, fold = np.stack(pdf["x"].to_numpy()), pdf["fold"].to_numpy()
-            y = np.hstack([np.ones((len(x), 1)), np.stack(pdf["y"].to_numpy())])
-            for t, nodes in enumerate(opened):
-                if not len(nodes):
-                    continue
-                reached = route(x, packed[t], depth)
-                place = np.minimum(np.searchsorted(nodes, reached), len(nodes) - 1)
-                use = np.flatnonzero((nodes[place] == reached) & (fold != skips[t]))
-                if not len(use):
-                    continue
-                use = use[np.argsort(place[use], kind="stable")]
-                at, rows = place[use], y[use]
-                first = np.flatnonzero(np.diff(at, prepend=-1))
-                held[t][at[first], 0] += np.add.reduceat(rows, first)
-                for f in range(features):
-                    below = (x[use, f] <= limits[t][at, f])[:, None]
-                    held[t][at[first], f + 1] += np.add.reduceat(rows * below, first)
-        for t, nodes in enumerate(opened):
-            if len(nodes):
-                flat = held[t].reshape(-1, width + 1)
-                keep = flat[:, 0] > 0
-                table = pd.DataFrame(flat[keep], columns=names)
-                table.insert(0, "lane", np.tile(np.arange(lanes), len(nodes))[keep])
-                table.insert(0, "node", np.repeat(nodes, lanes)[keep])
-                table.insert(0, "tree", t)
-                yield table
-
-    schema = "tree long, node long, lane long, " + ", ".join(f"{n} double" for n in names)
-    cells = data.mapInPandas(partial, schema).groupBy("tree", "node", "lane").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
-    found: dict[tuple[int, int], np.ndarray] = {}
-    for row in cells.itertuples(index=False):
-        found.setdefault((row[0], row[1]), np.zeros((lanes, width + 1)))[row[2]] = row[3:]
-    return found
-
-
-def grow(data: DataFrame, plans: Sequence[tuple[int, int]], low: np.ndarray, high: np.ndarray, width: int, *, seed: int, depth: int = DEPTH) -> list[Tree]:
-    """One tree per (smallest leaf, fold left out); ``data`` has x, y (``width`` numbers) and fold, and is read once a level."""
-    features, rng = len(low), np.random.default_rng(seed)
-    trees = [Tree(leaf, skip) for leaf, skip in plans]
-    opened = [[t.add(None, (low, high))] for t in trees]
+            for number in pdf["id"]:
+                tree = trees[number]
+                seen = fold != tree.skip
+                nodes = [tree.add(np.zeros(y.shape[1]), box)]
+                for level in range(depth + 1):
+                    cuts = tree.draw(nodes, level, seed)
+                    nodes = tree.split(nodes, cuts, node_sums(x[seen], y[seen], tree.packed(), np.array(nodes), cuts, level), level == depth)
+                    if not nodes:
+                        break
+                yield pd.DataFrame({"tree": [number], "feature": [tree.feature], "cut": [tree.cut], "left": [tree.left], "total": [np.array(tree.total).ravel()]})
+
+    schema = "tree long, feature array<int>, cut array<double>, left array<int>, total array<double>"
+    found = spark.range(len(trees), numPartitions=min(len(trees), 2 * context)).mapInPandas(some, schema).toPandas().sort_values("tree")
+    return [(np.array(r.feature), np.array(r.cut), np.array(r.left), np.array(r.total).reshape(len(r.feature), -1)) for r in found.itertuples()]
+
+
+def _grow_together(data: DataFrame, trees: list[Tree], box: tuple, *, width: int, seed: int, depth: int) -> list[tuple]:
+    """All trees by levels: one pass over the rows adds up the sums of every open node of every tree."""
+    features, names = len(box[0]), [f"v{i}" for i in range(width + 1)]
+    opened = [[t.add(np.zeros(width + 1), box)] for t in trees]
     for level in range(depth + 1):
-        cuts = [{n: rng.uniform(*t.box[n]) for n in nodes} for t, nodes in zip(trees, opened)]
-        if not any(cuts):
+        drawn = {t: (np.array(nodes), trees[t].draw(nodes, level, seed), trees[t].packed(), trees[t].skip) for t, nodes in enumerate(opened) if nodes}
+        if not drawn:
             break
-        found = _sums(data, trees, cuts, level, features, width)
-        for t, tree in enumerate(trees):
-            ahead = []
-            for n in opened[t]:
-                sums = found.get((t, n))
-                if sums is None:
-                    tree.total[n] = np.zeros(width + 1)
-                    continue
-                tree.total[n] = sums[0]
-                count, below = sums[0, 0], sums[1:]
-                above = sums[0] - below
-                fits = (below[:, 0] >= tree.leaf) & (above[:, 0] >= tree.leaf)
-                if level == depth or count < 2 * tree.leaf or not fits.any():
-                    if level < depth and count >= 2 * tree.leaf and not fits.any() and (tree.box[n][1] > tree.box[n][0]).any():
-                        ahead.append(n)  # no drawn cut parts the rows well enough: draw again next time
-                    continue
-                with np.errstate(invalid="ignore", divide="ignore"):
-                    gain = (below[:, 1:] ** 2).sum(1) / below[:, 0] + (above[:, 1:] ** 2).sum(1) / above[:, 0]
-                f = int(np.where(fits, gain, -np.inf).argmax())
-                cut = float(cuts[t][n][f])
-                lower, upper = tree.box[n]
-                ends = upper.copy(), lower.copy()
-                ends[0][f], ends[1][f] = cut, cut
-                tree.feature[n], tree.cut[n] = f, cut
-                tree.left[n] = tree.add(below[f], (lower, ends[0]))
-                tree.add(above[f], (ends[1], upper))
-                ahead += [tree.left[n], tree.left[n] + 1]
-            opened[t] = ahead
-    return trees
+
+        def partial(batches, drawn=drawn, level=level):
+            held = {t: 0.0 for t in drawn}
+            for pdf in batches:
+                x, y, fold = _arrays(pdf)
+                for t, (nodes, cuts, packed, skip) in drawn.items():
+                    held[t] = held[t] + node_sums(x[fold != skip], y[fold != skip], packed, nodes, cuts, level)
+            for t, sums in held.items():
+                if isinstance(sums, np.ndarray):
+                    table = pd.DataFrame(sums.reshape(-1, width + 1), columns=names)
+                    table.insert(0, "cell", np.arange(len(table)))
+                    table.insert(0, "tree", t)
+                    yield table[table["v0"] > 0]
+
+        schema = "tree long, cell long, " + ", ".join(f"{n} double" for n in names)
+        cells = data.mapInPandas(partial, schema).groupBy("tree", "cell").agg(*[F.sum(n).alias(n) for n in names]).toPandas()
+        for t, part in cells.groupby("tree"):
+            nodes, cuts = drawn[t][:2]
+            sums = np.zeros((len(nodes) * (features + 1), width + 1))
+            sums[part["cell"].to_numpy()] = part[names].to_numpy()
+            opened[t] = trees[t].split(list(nodes), cuts, sums.reshape(len(nodes), features + 1, width + 1), level == depth)
+        opened = [nodes if t in drawn else [] for t, nodes in enumerate(opened)]
+    return [(*t.packed(), np.array(t.total)) for t in trees]
+
+
+def grow(data: DataFrame, plans: Sequence[tuple[int, int]], low: np.ndarray, high: np.ndarray, width: int, *, seed: int, depth: int = DEPTH) -> list[tuple]:
+    """One tree per (smallest leaf, fold left out) as arrays: feature, cut, left child, sums of the node.
+
+    ``data`` has x, y (``width`` numbers) and fold. Rows within the broadcast limit are sent to the tasks and
+    trees grow side by side; more rows stay where they are and are read once a level. Both give the same trees.
+    """
+    trees = [Tree(k, leaf, skip) for k, (leaf, skip) in enumerate(plans)]
+    if data.count() <= session.broadcast_rows(data.sparkSession):
+        return _grow_apart(data, trees, (low, high), seed=seed, depth=depth)
+    return _grow_together(data, trees, (low, high), width=width, seed=seed, depth=depth)
 
 
 def staged_rows(df: DataFrame, parameters: Sequence[str], curve: str, retained: int, fold=None, keep: Sequence[str] = ()) -> DataFrame:
@@ -177,9 +212,10 @@ def predict(packs: list[tuple], x: np.ndarray, depth: int) -> np.ndarray:
     return total / len(packs)
 
 
-def pack(tree: Tree) -> tuple:
-    values = np.array([s[1:] / max(s[0], 1.0) for s in tree.total])
-    return (*tree.packed(), values)
+def with_means(grown: tuple) -> tuple:
+    """The arrays of a tree with mean vectors in place of sums."""
+    feature, cut, left, total = grown
+    return feature, cut, left, total[:, 1:] / np.maximum(total[:, :1], 1.0)
 
 
 @dataclass
@@ -198,7 +234,7 @@ class CurveForest:
         data = staged_rows(df, parameters, curve, retained)
         low, high = _ranges(data, len(parameters))
         grown = grow(data, [(leaf, -2)] * trees, low, high, 2 * retained - 1, seed=seed, depth=depth)
-        return cls(list(parameters), [pack(t) for t in grown], retained, positions, depth)
+        return cls(list(parameters), [with_means(t) for t in grown], retained, positions, depth)
 
     def transform(self, df: DataFrame, name: str = "predicted") -> DataFrame:
         packs, retained, positions, depth = self.packs, self.retained, self.positions, self.depth
@@ -232,7 +268,7 @@ def select_leaf(df: DataFrame, parameters: Sequence[str], curve: str, fold, *, l
     grown = grow(data, plans, low, high, 2 * retained - 1, seed=seed, depth=depth)
     packs: dict[tuple[int, int], list[tuple]] = {}
     for (leaf, f), tree in zip(plans, grown):
-        packs.setdefault((f, leaf), []).append(pack(tree))
+        packs.setdefault((f, leaf), []).append(with_means(tree))
 
     @F.pandas_udf(DOUBLES)
     def errors(fold: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
