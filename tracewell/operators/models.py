@@ -9,19 +9,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.basis import Basis, fit_basis
 from tracewell.functions.scalars import clip, hash_draw
 from tracewell.functions.spectral import fourier_decode
+from tracewell.operators import logistic
 from tracewell.operators.ranks import quantiles
 
 DOUBLES = T.ArrayType(T.DoubleType())
@@ -37,21 +36,26 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
 
 
 def classifier(kind: str, features: Sequence[str], label: str, *, seed: int = 711, size: int = 50) -> Pipeline:
-    """Scaled logistic regression, boosted trees or a random forest, all with a weight column."""
+    """Boosted trees or a random forest on scaled columns, with a weight column."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="_raw")
     scale = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)
     common = {"featuresCol": "_features", "labelCol": label, "weightCol": "weight"}
-    if kind == "logistic":
-        last = LogisticRegression(regParam=1e-3, maxIter=200, **common)
-    elif kind == "boosted":
-        last = GBTClassifier(maxIter=size, maxDepth=4, seed=seed, **common)
+    if kind == "boosted":
+        last = GBTClassifier(maxIter=size, maxDepth=4, stepSize=0.06, minInstancesPerNode=5, seed=seed, **common)
     elif kind == "forest":
-        last = RandomForestClassifier(numTrees=size, maxDepth=8, seed=seed, **common)
+        last = RandomForestClassifier(numTrees=size, maxDepth=8, minInstancesPerNode=5, seed=seed, **common)
     else:
         raise ValueError(f"unknown classifier: {kind}")
     return Pipeline(stages=[assemble, scale, last])
 
 
+def logistic_scores(train: DataFrame, df: DataFrame, features: Sequence[str], label: str, *, strength: float = 1.0, name: str = "score") -> DataFrame:
+    """Margin of a scaled logistic regression with a weight column, penalty as 1 / (2 C)."""
+    columns = [F.col(f).cast("double") for f in features]
+    model = logistic.fit_path(logistic.stage(train, columns, label, "weight"), [strength])[logistic.ALL, float(strength)]
+    return df.withColumn(name, model.margin(columns))
+
+
 def classifier_scores(model: PipelineModel, df: DataFrame, name: str = "score") -> DataFrame:
     """Raw margin of the positive class."""
     out = model.transform(df).withColumn(name, vector_to_array("rawPrediction")[1])
@@ -102,34 +106,38 @@ def residual_boosters(train: DataFrame, features: Sequence[str], residual: str,
 
 @dataclass
 class DensityRatio:
-    """Target over source density from a balanced quadratic domain classifier."""
+    """Target over source density from a balanced quadratic domain classifier; ``losses`` are those of all strengths."""
 
-    model: PipelineModel
+    features: list[str]
+    model: logistic.LogisticModel
     clip: float
-    regularization: float
+    losses: dict[float, float]
+
+    @property
+    def strength(self) -> float:
+        return self.model.strength
 
     @classmethod
     def fit(cls, source: DataFrame, target: DataFrame, features: Sequence[str], row_id: str, *,
             strengths: Sequence[float] = (1e-4, 1e-3, 1e-2, 1e-1, 1.0), folds: int = 3, seed: int = 711, limit: float = 30.0) -> DensityRatio:
+        """All folds and strengths share their passes; the smallest held-out loss wins, the stronger penalty on ties."""
         cols = [row_id, *features]
         both = source.select(*cols, F.lit(0.0).alias("domain")).unionByName(target.select(*cols, F.lit(1.0).alias("domain")))
-        both = balanced_weights(both, "domain").withColumn("fold", (hash_draw(F.lit(seed), "domain", row_id) % folds).cast("int"))
-        n = both.count()
-        prepare = Pipeline(stages=[
-            VectorAssembler(inputCols=list(features), outputCol="_raw"), PolynomialExpansion(degree=2, inputCol="_raw", outputCol="_poly"),
-            StandardScaler(inputCol="_poly", outputCol="_features", withMean=True, withStd=True)]).fit(both)
-        est = LogisticRegression(featuresCol="_features", labelCol="domain", weightCol="weight", maxIter=200)
-        grid = ParamGridBuilder().addGrid(est.regParam, [1.0 / (c * n) for c in strengths]).build()
-        judge = MulticlassClassificationEvaluator(labelCol="domain", metricName="logLoss", weightCol="weight")
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, foldCol="fold", seed=seed)
-        ready = prepare.transform(both).select("domain", "weight", "fold", "_features").persist()
-        best = cv.fit(ready).bestModel
-        ready.unpersist()
-        return cls(PipelineModel(stages=[*prepare.stages, best]), limit, float(best.getRegParam()) * n)
+        fold = hash_draw(F.lit(seed), "domain", row_id) % folds
+        data = logistic.stage(balanced_weights(both, "domain"), quadratic_terms(features), "domain", "weight", fold)
+        losses = logistic.held_out_losses(data, logistic.fit_path(data, strengths, list(range(folds))))
+        best = min(sorted(losses), key=losses.get)
+        return cls(list(features), logistic.fit_path(data, [best])[logistic.ALL, best], limit, losses)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = self.model.transform(df).withColumn("log_ratio", vector_to_array("rawPrediction")[1])
-        return out.withColumn("ratio", F.exp(clip("log_ratio", -self.clip, self.clip))).select(*df.columns, "log_ratio", "ratio")
+        out = df.withColumn("log_ratio", self.model.margin(quadratic_terms(self.features)))
+        return out.withColumn("ratio", F.exp(clip("log_ratio", -self.clip, self.clip)))
+
+
+def quadratic_terms(features: Sequence[str]) -> list[Column]:
+    """The columns, then all products of two of them."""
+    x = [F.col(f).cast("double") for f in features]
+    return x + [x[i] * x[j] for i in range(len(x)) for j in range(i, len(x))]
 
 
 @dataclass

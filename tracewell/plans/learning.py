@@ -93,11 +93,10 @@ def l18(t: Tables) -> DataFrame:
     """Three balanced classifiers trained on source entities and scored on the target entity."""
     f = features(t).withColumn("y", (F.col("label") % 2).cast("double"))
     train, test = models.balanced_weights(f.filter("entity <> 0"), "y"), f.filter("entity = 0")
-    out = None
-    for kind in ("logistic", "boosted", "forest"):
-        model = models.classifier(kind, X8, "y", size=5).fit(train)
-        s = models.classifier_scores(model, test).select("vec_id", "y", "score", F.lit(kind).alias("method"))
-        out = s if out is None else out.unionByName(s)
+    out = models.logistic_scores(train, test, X8, "y").select("vec_id", "y", "score", F.lit("logistic").alias("method"))
+    for kind in ("boosted", "forest"):
+        model = models.classifier(kind, X8, "y").fit(train)
+        out = out.unionByName(models.classifier_scores(model, test).select("vec_id", "y", "score", F.lit(kind).alias("method")))
     return rounded(ranks.auroc(out, ["method"], "score", F.col("y") == 1, rows=t.rows("embeddings", 3)))
 
 
@@ -107,12 +106,12 @@ def l24(t: Tables) -> DataFrame:
     li = t("lineitem").withColumn("id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey"))
     cols = ["l_quantity", "l_discount", "l_tax"]
     source, target = li.filter("l_returnflag = 'N'"), li.filter("l_returnflag = 'R'")
-    model = models.DensityRatio.fit(source, target, cols, "id", strengths=(1e-3, 1e-1))
+    model = models.DensityRatio.fit(source, target, cols, "id")
     w = model.transform(source.select("l_linestatus", *cols))
     r = F.col("ratio")
     return rounded(w.groupBy("l_linestatus").agg(
         F.count(F.lit(1)).alias("rows"), F.avg(r).alias("mean_ratio"), F.try_divide(F.sum(r) * F.sum(r), F.sum(r * r)).alias("ess"))
-        .withColumn("regularization", F.lit(model.regularization)))
+        .withColumn("strength", F.lit(model.strength)), keep=["strength"])
 
 
 @query("l25_multi_target")
