@@ -241,3 +241,29 @@ def test_every_tree_has_its_sample_at_every_size(spark):
         forest = IsolationForest.fit(df, ["a", "b"], "id", trees=20)
         roots = forest.nodes[forest.nodes["depth"] == 0]
         assert len(roots) == 20 and set(roots["size"]) == {min(256, n)} == {forest.sample}
+
+
+def test_prior_grid_equals_projected_descent(spark):
+    """Every (ridge, penalty) cell against a slow solver; warm starts must not change a solution."""
+    rng = np.random.default_rng(12)
+    d = len(thermal.FEATURES)
+    prior = np.abs(rng.normal(size=(len(thermal.NODES), d)))
+    rows, made = [], {}
+    for p in range(3):
+        for n in thermal.NODES:
+            x = rng.normal(size=(40, d))
+            y = x @ rng.normal(size=d) + rng.normal(size=40)
+            made[p, n] = x, y
+            rows.append((p, n, 40, (x.T @ x)[np.triu_indices(d)].tolist(), (x.T @ y).tolist()))
+    df = spark.createDataFrame(rows, "profile_id int, node string, n long, g array<double>, b array<double>")
+    ridges, penalties = (0.0, 0.1), (0.0, 0.01, 1.0)
+    got = thermal.nonnegative_grid(df, prior, ridges, penalties).collect()
+    assert len(got) == 3 * len(thermal.NODES) * 6
+    for r in got:
+        x, y = made[r["profile_id"], r["node"]]
+        a = x.T @ x / 40 + (r["ridge"] + r["penalty"]) * np.eye(d)
+        b = x.T @ y / 40 + r["penalty"] * prior[thermal.NODES.index(r["node"])]
+        z, step = np.zeros(d), 1 / np.linalg.eigvalsh(a)[-1]
+        for _ in range(20_000):
+            z = np.maximum(z - step * (a @ z - b), 0)
+        assert np.allclose(r["coef"], z, atol=1e-6)

@@ -44,6 +44,12 @@ def test_profile_folder_and_curves(spark, tmp_path):
         (folder / f"run_{k}.csv").write_text("line,x\n1,5.0\n0,4.0\n")
     got = readers.read_profile_folder(spark, str(folder), "line long, x double", line="line").collect()
     assert sorted((r["profile_id"], r["sample_idx"], r["x"]) for r in got) == [(3, 0, 4.0), (3, 1, 5.0), (12, 0, 4.0), (12, 1, 5.0)]
+    (folder / "run_5.csv").write_text("line,x\n0,NaN\n")
+    with pytest.raises(ContractError, match="finite"):
+        readers.read_profile_folder(spark, str(folder), "line long, x double", line="line")
+    (folder / "run_5.csv").write_text("line,x\n0,1.0\n0,1.0\n")
+    with pytest.raises(ContractError, match="duplicate"):
+        readers.read_profile_folder(spark, str(folder), "line long, x double", line="line")
     (tmp_path / "q.csv").write_text("row_id,a,b\n0,1,2\n1,3,4\n")
     (tmp_path / "c.csv").write_text("row_id,0.0,0.5,1.0\n1,7,8,9\n0,4,5,6\n")
     pair = str(tmp_path / "q.csv"), str(tmp_path / "c.csv")

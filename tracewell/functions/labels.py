@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,14 +107,27 @@ def dual_labels(name: Column | str) -> Column:
     return F.when(n.rlike(DUAL_NAME), label)
 
 
+#: Roles of recorded variables with their exact names and name prefixes; the first match counts.
+VARIABLE_ROLES = [
+    ("primary_abc_current", CURRENT_CHANNELS, []),
+    ("dq_current_not_scored", [], ["Currents_SubSys"]),
+    ("dq_control_voltage_not_scored", [], ["Voltage_SubSys"]),
+    ("timebase", ["Time"], []),
+    ("speed_qc_not_scored", [], ["Speed"]),
+    ("electrical_position_not_scored", [], ["SinCos_Electrical"]),
+]
+
+
+def first_match(name: Column | str, table: Sequence[tuple[str, Sequence[str], Sequence[str]]]) -> Column:
+    """Value of the first entry (value, names, prefixes) that fits the name; null when none does."""
+    n = col(name)
+    fits = [F.when(reduce(or_, [n.isin(*names)] * bool(names) + [n.startswith(p) for p in prefixes]), value) for value, names, prefixes in table]
+    return F.coalesce(*fits)
+
+
 def variable_role(name: Column | str) -> Column:
     """Role of a recorded variable in the audit."""
-    n = col(name)
-    return (F.when(n.isin(*CURRENT_CHANNELS), "primary_abc_current")
-            .when(n.startswith("Currents_SubSys"), "dq_current_not_scored")
-            .when(n.startswith("Voltage_SubSys"), "dq_control_voltage_not_scored").when(n == "Time", "timebase")
-            .when(n.startswith("Speed"), "speed_qc_not_scored")
-            .when(n.startswith("SinCos_Electrical"), "electrical_position_not_scored").otherwise("other"))
+    return F.coalesce(first_match(name, VARIABLE_ROLES), F.lit("other"))
 
 
 def parsed(df: DataFrame, name: str, grammar) -> tuple[DataFrame, DataFrame]:
@@ -127,11 +144,16 @@ def terminal_span(a: Column | str, b: Column | str) -> Column:
     return F.abs(table[col(a)] - table[col(b)])
 
 
+#: Diagnostic families of scale-free features with their exact names and name prefixes; the first match counts.
+FEATURE_FAMILIES = [
+    ("speed_proxy", ["fundamental_hz"], []),
+    ("spectral_entropy", ["spectral_entropy"], []),
+    ("harmonic_sideband", ["thd_2_to_5_mean"], ["harmonic_", "sideband_"]),
+    ("sequence_imbalance", SEQUENCE_FEATURES, []),
+    ("current_shape", SHAPE_FEATURES, ["crest_", "kurtosis_", "rms_ratio_"]),
+]
+
+
 def feature_family(name: Column | str) -> Column:
     """Diagnostic family of a scale-free feature; null when unknown."""
-    n = col(name)
-    return (F.when(n == "fundamental_hz", "speed_proxy").when(n == "spectral_entropy", "spectral_entropy")
-            .when(n.startswith("harmonic_") | n.startswith("sideband_") | (n == "thd_2_to_5_mean"), "harmonic_sideband")
-            .when(n.isin(*SEQUENCE_FEATURES), "sequence_imbalance")
-            .when(n.startswith("crest_") | n.startswith("kurtosis_") | n.startswith("rms_ratio_")
-                  | n.isin(*SHAPE_FEATURES), "current_shape"))
+    return first_match(name, FEATURE_FAMILIES)

@@ -115,12 +115,22 @@ def ridge_from(sums: Mapping[str, dict], alpha: float) -> tuple[np.ndarray, np.n
     return np.array(coef), np.array(intercept)
 
 
-def nonnegative_solution(gram: np.ndarray, right: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
-    """Least squares with nonnegative coefficients from a small Gram matrix, by active sets."""
+def nonnegative_solution(gram: np.ndarray, right: np.ndarray, tolerance: float = 1e-12, start: np.ndarray | None = None) -> np.ndarray:
+    """Least squares with nonnegative coefficients from a small Gram matrix, by active sets.
+
+    ``start`` is the solution of a near problem: if its positive coefficients alone solve this one with
+    positive values, the search goes on from there. Raises when the sets do not settle.
+    """
     d = len(right)
     x, free = np.zeros(d), np.zeros(d, dtype=bool)
+    if start is not None and (start > 0).any():
+        warm = start > 0
+        trial = np.zeros(d)
+        trial[warm] = np.linalg.lstsq(gram[np.ix_(warm, warm)], right[warm], rcond=None)[0]
+        if (trial[warm] > 0).all():
+            x, free = trial, warm
     size = max(1.0, float(np.abs(right).max()))
-    for _ in range(10 * d):
+    for _ in range(100 * d):
         slope = right - gram @ x
         enter = np.where(free, -np.inf, slope)
         if enter.max() <= tolerance * size:
@@ -137,9 +147,36 @@ def nonnegative_solution(gram: np.ndarray, right: np.ndarray, tolerance: float =
             x = x + step * (trial - x)
             free &= x > 1e-15
             x[~free] = 0.0
+    else:
+        raise ArithmeticError("the active sets of a nonnegative fit did not settle")
     return x
 
 
+def nonnegative_grid(equations: DataFrame, prior: np.ndarray, ridges: Sequence[float], penalties: Sequence[float]) -> DataFrame:
+    """Coefficients of every (ridge, penalty) per row of normal equations, as rows (..., ridge, penalty, coef).
+
+    Least |Xb - y|^2 / n + ridge |b|^2 + penalty |b - prior|^2 with b >= 0. One pass solves the whole grid of a
+    row, each problem from the solution before it.
+    """
+    anchor = {n: prior[i] for i, n in enumerate(NODES)}
+    grid = [(a, p) for a in ridges for p in penalties]
+
+    @F.pandas_udf(T.ArrayType(DOUBLES))
+    def solve(node: pd.Series, n: pd.Series, g: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for name, count, upper, right in zip(node, n, g, b):
+            a, r, near, found = square(upper) / count, np.asarray(right) / count, None, []
+            for ridge, penalty in grid:
+                near = nonnegative_solution(a + (ridge + penalty) * np.eye(len(r)), r + penalty * anchor[name], start=near)
+                found.append(near.tolist())
+            out.append(found)
+        return pd.Series(out)
+
+    cells = F.array(*[F.struct(F.lit(float(a)).alias("ridge"), F.lit(float(p)).alias("penalty"), F.col("_c")[i].alias("coef")) for i, (a, p) in enumerate(grid)])
+    keys = [c for c in equations.columns if c not in ("n", "g", "b", "sx", "sy")]
+    return equations.withColumn("_c", solve("node", "n", "g", "b")).select(*keys, F.inline(cells))
+
+
 def nonnegative_from(sums: Mapping[str, dict]) -> np.ndarray:
     """Pooled nonnegative coefficients, one row per node."""
     return np.array([nonnegative_solution(square(sums[n]["g"]), np.array(sums[n]["b"])) for n in NODES])

@@ -13,6 +13,7 @@ from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, query, r
 from tracewell.plans.rollups import FEATURES_SQL, features
 from tracewell.plans.views import BLOCKS_SQL, SCORES_SQL, WINDOWS_SQL, block_scores, blocks, scored_windows, windows
+from tracewell.sources import inventory
 from tracewell.sources.inventory import ledger
 
 # ---------------------------------------------------------------- sources
@@ -174,6 +175,25 @@ def a8e(t: Tables) -> DataFrame:
     return rounded(good)
 
 
+@query("a10_record_discovery", f"""
+with n as (select p_partkey, {DUAL_TEXT} as name from part),
+g as (select *, regexp_extract(name, '^spd10-5000rpm_flt(?:(0)z|([1-6])z([uv]))_(\\d+(?:\\.\\d+)?)NM\\.mat$', ['h', 't', 'p', 'l']) as g from n),
+l as (select p_partkey, g.l::double as load_nm, case when g.h = '0' then 0 else try_cast(g.t as int) end as fault_turns, case when g.h = '0' then null else g.p end as fault_phase from g where g.l <> '')
+select load_nm, fault_turns, fault_phase, min(p_partkey) as p_partkey from l group by 1, 2, 3""")
+def a10(t: Tables) -> DataFrame:
+    """Records among mixed names, one per condition, in canonical order; names outside the grammar are skipped."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    kind = F.when(k % 3 == 0, "0z").otherwise(F.concat((size % 8).cast("string"), F.lit("z"), F.array(F.lit("u"), F.lit("v"), F.lit("w"))[(k % 3).cast("int")]))
+    load = F.when(k % 5 == 0, (size / 4.0).cast("string")).otherwise(size.cast("string"))
+    named = t("part").select("p_partkey", F.concat(F.lit("spd10-5000rpm_flt"), kind, F.lit("_"), load, F.lit("NM.mat")).alias("name"))
+    # names repeat in this table, and discovery rejects a repeated condition: the first part of each stands for it
+    condition = ["load_nm", "fault_turns", "fault_phase"]
+    good, bad = labels.parsed(named, "name", labels.dual_labels)
+    first = good.groupBy(*condition).agg(F.min(F.struct("p_partkey", "name")).alias("_f")).select("_f.*")
+    found = inventory.discover_records(first.unionByName(bad), "name", labels.dual_labels, condition, condition)
+    return found.select("load_nm", "fault_turns", "fault_phase", "p_partkey")
+
+
 @query("b10_variable_role", """
 with n as (select c_custkey, ['Currents_SubSys1_A', 'Currents_SubSys2_D', 'Voltage_SubSys1_Q', 'Time', 'Speed_rpm', 'SinCos_Electrical_1', 'Torque'][c_custkey % 7 + 1] as name from customer)
 select name, case when name = 'Currents_SubSys1_A' then 'primary_abc_current' when name like 'Currents%' then 'dq_current_not_scored' when name like 'Voltage%' then 'dq_control_voltage_not_scored'

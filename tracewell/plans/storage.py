@@ -26,6 +26,49 @@ def _write_pair(t: Tables, place: str, name: str, odd: int) -> tuple[str, str]:
     return names
 
 
+@query("a1_header_discovery", f"select 'supplier' as found, count(*) as rows, {r('sum(s_acctbal)')} as balance from supplier")
+def a1(t: Tables) -> DataFrame:
+    """Four tables as CSV under one tree; the one whose header has the wanted columns is found and read."""
+    place = landing_folder(t.spark)
+    for name in ("region", "nation", "customer", "supplier"):
+        sinks.export_csv(t(name), f"{place}/tree/{name}.csv")
+    path = readers.discover_table(t.spark, f"{place}/tree", ["s_suppkey", "s_acctbal"])
+    table = readers.read_table(t.spark, path, t("supplier").schema, "s_suppkey")
+    return rounded(table.groupBy(F.lit(path.rsplit("/", 1)[1].removesuffix(".csv")).alias("found")).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("s_acctbal").alias("balance")))
+
+
+@query("a4_profile_folder", f"""
+with p as (select user_id % 4 as profile_id, event_id, value, row_number() over (partition by user_id % 4 order by event_id) - 1 as i from events)
+select profile_id, count(*) as rows, max(i) as last_index, {r('sum(value * i)')} as weighted from p group by 1""")
+def a4(t: Tables) -> DataFrame:
+    """Events written as one CSV per profile, read back as one table with ids from the names."""
+    place = landing_folder(t.spark)
+    for k in range(4):
+        sinks.export_csv(t("events").filter(F.col("user_id") % 4 == k).select("event_id", "value"), f"{place}/profiles/measured_{k}.csv")
+    rows = readers.read_profile_folder(t.spark, f"{place}/profiles", "event_id long, value double", line="event_id")
+    return rounded(rows.groupBy("profile_id").agg(F.count(F.lit(1)).alias("rows"), F.max("sample_idx").alias("last_index"),
+                                                  F.sum(F.col("value") * F.col("sample_idx")).alias("weighted")))
+
+
+CONTRACT = {"events": (["event_id", "ts", "value", "load"], ["props"]), "lineitem": (["l_orderkey", "l_quantity"], ["l_comment", "score"])}
+
+
+@query("c1_required_columns", " union all ".join(
+    f"select '{name}' as table_name, '{c}' as column_name, {'true' if c in required else 'false'} as required, (select count(*) from information_schema.columns where table_name = '{name}' and column_name = '{c}') > 0 as present, "
+    f"(select count(*) from {name}) as rows" for name, (required, forbidden) in CONTRACT.items() for c in [*required, *forbidden]))
+def c1(t: Tables) -> DataFrame:
+    """Which required and forbidden columns two tables have."""
+    out = None
+    for name, (required, forbidden) in CONTRACT.items():
+        table = t(name)
+        cells = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(c in required).alias("required"), F.lit(c in table.columns).alias("present"))
+                 for c in [*required, *forbidden]]
+        part = table.agg(F.count(F.lit(1)).alias("rows")).select(F.inline(F.array(*cells)), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("a5_curve_pair", f"""
 select vec_id as row_id, 2 as parameters, {r('vec_id + embedding[1]::double')} as total, {r('list_sum(embedding::double[])')} as curve_sum from embeddings where label % 2 = 0""")
 def a5(t: Tables) -> DataFrame:

@@ -170,6 +170,11 @@ def l32(t: Tables) -> DataFrame:
     return rounded(e.select("method", "profile_id", "clip_count", "node", "rmse", "max_abs"))
 
 
+ALPHAS = (1e-3, 0.01, 0.1, 1.0, 10.0)
+RIDGES = (0.0, 1e-3)
+PENALTIES = (0.0, 1e-3, 1e-2, 0.1, 1.0)
+
+
 @query("l33_validation_tuning")
 def l33(t: Tables) -> DataFrame:
     """Ridge candidates by rollout error on held-out profiles; every candidate comes from one normal-equation table."""
@@ -177,7 +182,7 @@ def l33(t: Tables) -> DataFrame:
     sums = source_sums(t)
     h = thermal.horizon_rows(d.filter("not is_healthy"), "profile_id", "idx", start=START, end=END)
     cells = []
-    for alpha in (0.01, 0.1, 1.0, 10.0):
+    for alpha in ALPHAS:
         coef, shift = thermal.constant_model(*thermal.ridge_from(sums, alpha))
         cells.append(F.struct(F.lit(alpha).alias("alpha"), coef.alias("coef"), shift.alias("intercept")))
     runs = thermal.rollout(h.select("*", F.inline(F.array(*cells))))
@@ -187,6 +192,24 @@ def l33(t: Tables) -> DataFrame:
     return rounded(table.withColumn("selected", F.col("alpha") == best))
 
 
+@query("l33_prior_penalty")
+def l33b(t: Tables) -> DataFrame:
+    """Ridge and prior penalties of prefix fits by rollout error over the rest, on held-out profiles; one pass solves the grid."""
+    d = with_losses(t).filter("not is_healthy")
+    source = thermal.nonnegative_from(source_sums(t))
+    steps = thermal.transitions(d.filter(f"idx < {START}"), "profile_id", "idx", rows=t.rows("events"))
+    equations = thermal.normal_equations(steps, ["profile_id", "node"])
+    fits = thermal.nonnegative_grid(equations, source, RIDGES, PENALTIES)
+    wide = fits.groupBy("profile_id", "ridge", "penalty").pivot("node", list(thermal.NODES)).agg(F.first("coef"))
+    model = wide.select("profile_id", "ridge", "penalty", F.concat(*thermal.NODES).alias("coef"), F.array(*[F.lit(0.0)] * 3).alias("intercept"))
+    h = thermal.horizon_rows(d, "profile_id", "idx", start=START, end=END)
+    per = thermal.rollout_errors(thermal.rollout(h.join(model, "profile_id")), ["profile_id", "ridge", "penalty"]).filter("node = 'macro'")
+    table = per.groupBy("ridge", "penalty").agg(F.count(F.lit(1)).alias("profiles"), F.avg("rmse").alias("mean_rmse"))
+    best = F.min(F.struct("mean_rmse", "ridge", "penalty")).over(Window.partitionBy(F.lit(0)))  # one row per cell of the grid
+    return rounded(table.withColumn("selected", F.struct("ridge", "penalty") == F.struct(best["ridge"].alias("ridge"), best["penalty"].alias("penalty"))),
+                   keep=["ridge", "penalty"])
+
+
 @query("l34_budget_sensitivity")
 def l34(t: Tables) -> DataFrame:
     """Prefix fits under growing commissioning budgets, forecast over one shared segment."""

@@ -16,13 +16,17 @@ from tracewell.operators.ordered import with_position
 def discover_table(spark: SparkSession, folder: str, required: Sequence[str], *, prefer: str = "temperature") -> str:
     """Path of the first CSV under a tree whose header holds the required columns, preferred names first.
 
-    Only the first line of each file is kept; the headers are compared on Spark and one path returns.
+    Files are read by lines and only the first line of a file's first block is kept, so no file is held
+    whole; the headers are compared on Spark and one path returns. A table that was written as a folder
+    of part files goes by the folder's name.
     """
-    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").option("wholetext", "true").text(folder)
-             .select(F.col("_metadata.file_path").alias("path"), F.substring_index("value", "\n", 1).alias("header")))
+    lines = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").text(folder)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_line"), "value")
+             .filter("_start = 0").groupBy("path").agg(F.min_by("value", "_line").alias("header")))
     names = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
     fits = lines.filter(F.size(F.array_except(F.array(*[F.lit(c) for c in required]), names)) == 0)
-    first = fits.orderBy(~F.lower(F.element_at(F.split("path", "/"), -1)).contains(prefer), "path").take(1)
+    whole = F.regexp_replace("path", r"/part-[^/]*$", "")
+    first = fits.select(whole.alias("path")).orderBy(~F.lower(F.element_at(F.split("path", "/"), -1)).contains(prefer), "path").take(1)
     if not first:
         raise ContractError(f"no CSV under {folder} has the columns {list(required)}")
     return first[0]["path"]
@@ -47,10 +51,17 @@ def read_profiles_strict(df: DataFrame, *, required: Sequence[str], profile: str
 
 
 def read_profile_folder(spark: SparkSession, folder: str, schema: StructType | str, *, line: str, pattern: str = "*.csv") -> DataFrame:
-    """One file per profile: the id comes from the digits of the file name, the order from a stored line column."""
-    raw = spark.read.schema(schema).option("header", "true").option("pathGlobFilter", pattern).csv(folder)
-    named = raw.withColumn("profile_id", F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long"))
+    """One CSV per profile, a file or a folder of part files: the id comes from the digits of its name, the order from a stored line column.
+
+    All columns must be finite and no row of a profile may repeat; positions count from 0 in each profile.
+    """
+    raw = (spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).csv(folder))
+    own = F.regexp_extract(F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", ""), r"([^/]*)$", 1)
+    named = raw.withColumn("profile_id", F.regexp_extract(own, r"(\d+)", 1).try_cast("long"))
     enforce(named.filter(F.col("profile_id").isNull()).select("profile_id"), "a file name holds no profile id")
+    numbers = [n for n, kind in raw.dtypes if kind in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    enforce(named.filter(~all_finite(numbers)), "non-finite values")
+    enforce(duplicate_rows(named, [*raw.columns, "profile_id"]), "duplicate rows")
     return with_position(named, ["profile_id"], [line], "sample_idx")
 
 
