@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell import session
 from tracewell.functions.basis import Basis, fit_basis
 from tracewell.operators import covariance
 from tracewell.operators.ranks import quantiles
@@ -121,7 +122,7 @@ class ConditionalResidual:
             rows: int | None = None) -> ConditionalResidual:
         context, outcomes = list(context), list(outcomes)
         folds = group_folds(df, group, splits, rows=rows)
-        data = df.select(group, *context, *outcomes).join(folds, group)
+        data = session.join_null_safe(df.select(group, *context, *outcomes), folds, [group])
         bases = _bases(data, context, mean_model, splits)
         medians = None
         if mean_model == "constant" or not bases[ALL].axes:

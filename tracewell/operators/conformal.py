@@ -67,7 +67,7 @@ def weighted_quantiles(calibration: DataFrame, tests: DataFrame, keys: Sequence[
     mass = calibration.groupBy(*keys, score).agg(F.sum(weight).alias("_w"))
     steps = running(mass, keys, [score], sums={"_cum": F.col("_w")}, rows=rows)
     total = calibration.groupBy(*keys).agg(F.sum(weight).alias("_total"))
-    needed = tests.join(total, list(keys)).withColumn(
+    needed = session.join_null_safe(tests, total, list(keys)).withColumn(
         "_need", F.lit(1.0 - alpha) * (F.col("_total") + F.col(test_weight)))
     # the smallest score whose cumulative mass reaches the need: a forward as-of on the mass axis;
     # scores rise with the mass, so the smallest score at one mass is kept by negating twice
