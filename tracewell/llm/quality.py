@@ -74,6 +74,10 @@ def statistics(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return found.withColumn("base_failed", failed)
 
 
+#: Trusted ids that are sent to all tasks, at most: some 50 MB.
+SENT_IDS = 1_000_000
+
+
 def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Per bucket the log ratio (bucket, llr) of add-one smoothed multinomials: trusted documents over the raw corpus.
 
@@ -81,6 +85,8 @@ def ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataF
     left out. The number of rows never exceeds ``buckets``.
     """
     ids = trusted.select(F.col("doc_id").cast("long")).filter("doc_id is not null").distinct().withColumn("good", F.lit(1).cast("long"))
+    # ids travel to the texts while there are few enough, else texts and ids meet by a shuffle
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).join(ids, "doc_id", "left")
     grams = rows.select(F.coalesce("good", F.lit(0).cast("long")).alias("good"), F.explode(let(words_of(F.col("t")), lambda w: ngrams(w, buckets))).alias("bucket"))
     counts = landed(grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")), "buckets")
