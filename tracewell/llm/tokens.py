@@ -38,7 +38,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # a word is never a special token; texts that hold one go whole
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.drops_space = drops_space
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.memo: dict = {}
@@ -63,10 +64,21 @@ class Encoder:
             memo.update(zip(part, self._whole(texts)))
 
     def encode(self, texts: list[bytes]) -> Iterable[bytes]:
-        """Ids of each text as little-endian integers of ``width`` bytes."""
+        """Ids of each text as little-endian integers of ``width`` bytes, special tokens as the library gives them."""
         for at in range(0, len(texts), 64):
             part = texts[at:at + 64]
-            yield from self._caseless(part) if self.drops_space else self._spaced([t.decode() for t in part])
+            literal = [any(s in t for s in self.special) for t in part]
+            rest = [t for t, whole in zip(part, literal) if not whole]
+            done = iter(self._caseless(rest) if self.drops_space else self._spaced([t.decode() for t in rest]))
+            for t, whole in zip(part, literal):
+                yield self._with_special(t.decode()) if whole else next(done)
+
+    def _with_special(self, text: str) -> bytes:
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return self._whole([text])[0]
+        finally:
+            self.tokenizer.encode_special_tokens = True
 
     def _caseless(self, texts: list[bytes]) -> Iterable[bytes]:
         cut = [t.lower().split() for t in texts]
