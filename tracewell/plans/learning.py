@@ -130,8 +130,7 @@ def l25(t: Tables) -> DataFrame:
 def designs(t: Tables) -> DataFrame:
     """Vectors as designs: six parameters from the first components, the curve from the 48 that follow them."""
     e = F.transform("embedding", lambda v: v.cast("double"))
-    mix = [F.aggregate(F.slice(e, 16 + 8 * i, 8), F.lit(0.0), lambda a, v: a + v) for i in range(6)]
-    raw = t("embeddings").select("vec_id", "label", F.slice(e, 1, 16).alias("p"), F.slice(e, 17, 48).alias("c"), *[m.alias(f"m{i}") for i, m in enumerate(mix)])
+    raw = t("embeddings").select("vec_id", "label", F.slice(e, 1, 16).alias("p"), F.slice(e, 17, 48).alias("c"))
     # a curve that the parameters explain in part: its level and first waves follow them, the vector's own components stay as noise
     wave = F.transform(F.sequence(F.lit(0), F.lit(POSITIONS - 1)), lambda k: F.col("p")[0] * F.col("p")[1] * 20 + F.col("p")[2] * F.cos(k * (2 * math.pi / POSITIONS))
                        + F.col("p")[3] * F.abs(F.col("p")[4]) * 10 * F.sin(k * (4 * math.pi / POSITIONS)) + F.col("c")[k] * 0.2 + F.col("p")[5])
