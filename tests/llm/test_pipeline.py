@@ -23,7 +23,7 @@ def test_stages_keep_clean_documents_and_columns(spark, sf):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_sql_checks(spark, sf):

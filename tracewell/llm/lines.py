@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,15 +12,20 @@ from tracewell.llm.near import SHINGLE, SIMILARITY, alike
 from tracewell.llm.quality import let
 
 EDITS = 2
-#: Shorter lines are only compared for equality: two edits would be too large a part of them.
-MIN_CHARS = 40
+#: One edit is allowed for so many characters of the shorter line: numbers and short headings that differ stay apart.
+CHARS_PER_EDIT = 20
 #: Letters that the sketch of a line counts, four bits each.
-LETTERS = "etanioshrldcugm "
+LETTERS = "etaonis "
 #: A document that lost this share to one earlier document of nearly its size may be that document's copy; the texts are compared then.
 COPY_SHARE = 0.5
 COPY_SIZE = 0.25
 
 
+def allowed(length: Column, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> Column:
+    """Edits that a line of this length, the shorter of two, may be away."""
+    return F.least(F.floor(length / chars_per_edit), F.lit(edits)).cast("int")
+
+
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """(start, length) of the edits + 1 nearly equal segments of a line, starts counted from 0."""
     base, more = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
@@ -37,24 +44,45 @@ def index_keys(line: Column, length: Column, edits: int, plain: Column | None =
     return F.array(*[_key(i, length, line, at, size, plain) for i, (at, size) in enumerate(segments(length, edits))])
 
 
+def _probes(line: Column, length: Column, edits: int, plain: Column, right: Callable[[Column], Column]) -> list[Column]:
+    """Probe keys of the shorter lengths for which ``right`` holds; null where a start lies outside of the line."""
+    found = []
+    for shorter in range(edits + 1):
+        other = length - shorter
+        for i, (at, size) in enumerate(segments(other, edits)):
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
+                start = at + shift
+                found.append(F.when(right(other) & (start >= 0) & (start + size <= length), _key(i, other, line, start, size, plain)))
+    return found
+
+
 def probe_keys(line: Column, length: Column, edits: int, plain: Column | None = None) -> Column:
     """Keys under which a line no longer than this one, and at most ``edits`` away, stands in the index.
 
     For each length and segment only the starts are probed at which the edits before and after the segment can still
     add up to ``edits``.
     """
-    found, plain = [], F.lit(False) if plain is None else plain
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i, (at, size) in enumerate(segments(other, edits)):
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                start = at + shift
-                found.append(F.when((start >= 0) & (start + size <= length), _key(i, other, line, start, size, plain)))
-    return F.array_compact(F.array(*found))
+    plain = F.lit(False) if plain is None else plain
+    return F.array_compact(F.array(*_probes(line, length, edits, plain, lambda other: other >= 0)))
+
+
+def keyed(long: DataFrame, edits: int, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
+    """(id, s, key) of the index and (other, t, key) of the probes. The length of the shorter line names its edits, so both agree.
+
+    Null keys go after the explosion: a filter of the array would be evaluated outside of generated code.
+    """
+    line, n, plain = F.col("line"), F.col("n"), F.col("plain")
+    levels = range(1, edits + 1)
+    of = allowed(n, edits, chars_per_edit)
+    stored = F.coalesce(*[F.when(of == e, index_keys(line, n, e, plain)) for e in levels])
+    asked = [k for e in levels for k in _probes(line, n, e, plain, lambda other, e=e: allowed(other, edits, chars_per_edit) == e)]
+    index = long.select("id", "s", F.explode(stored).alias("key"))
+    probe = long.select(F.col("id").alias("other"), F.col("s").alias("t"), F.explode(F.array(*asked)).alias("key")).filter("key is not null")
+    return index, probe
 
 
 def sketch(line: Column) -> Column:
-    """Counts of sixteen letters modulo 16, in 64 bits."""
+    """Counts of the letters modulo 16."""
     counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long") for c in LETTERS]
     return sum((F.shiftleft(n, 4 * k) for k, n in enumerate(counts)), F.lit(0).cast("long"))
 
@@ -110,54 +138,70 @@ def within(a: Column, b: Column, edits: int) -> Column:
         let(F.struct(F.split(F.concat(F.lit("x" * edits), a), "").alias("rows"), F.split(F.concat(F.lit("x" * edits), b), "").alias("cols")), run))
 
 
+def close(a: Column, b: Column, edits: int, chars_per_edit: int) -> Column:
+    """Whether two lines are at most as many edits apart as the shorter one allows."""
+    of = allowed(F.least(F.length(a), F.length(b)), edits, chars_per_edit)
+    return F.coalesce(*[F.when(of == e, within(a, b, e)) for e in range(1, edits + 1)], F.lit(False))
+
+
 def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, line_no, line, id) of all lines with a visible character: characters of the text, 64-bit hash of the line."""
+    """(doc_id, text_id, size, line_no, line, id) of all lines with a visible character.
+
+    text_id is a 64-bit hash of the text, which tells rows of one id apart, size its characters, id a 64-bit hash of the line.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    lines = rows.select("doc_id", F.length("t").alias("size"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
+    lines = rows.select("doc_id", F.xxhash64("t").alias("text_id"), F.length("t").alias("size"), F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
     return lines.filter(F.col("line").rlike("[^ \\t-\\r]")).withColumn("id", F.xxhash64("line"))
 
 
-def classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, sized: bool = False) -> DataFrame:
-    """(id, root, n_links, first_doc, first_line) of every different line: its class and the first place of the class.
+def classes(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(id, root, n_links, first) of every different line: its class and the first place of the class.
 
-    Copies of a line are one row before anything is joined. Lines meet on (segment number, length, segment text). ``sized``
-    adds first_size, the characters of the first document, which travel with the place: no join on a much copied document.
+    Copies of a line are one row before anything is joined. Lines meet on (segment number, length, segment text). A place is
+    (doc_id, line_no, text_id, size); the size travels with it, so that no join on a much copied document is needed.
     """
-    place = F.struct("doc_id", "line_no", *([(-F.col("size")).alias("less")] if sized else []))
-    lines = numbered(docs).groupBy("id").agg(F.min(place).alias("place"), F.max("line").alias("line"))
-    long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= min_chars).withColumns({"s": sketch(F.col("line")), "plain": F.octet_length("line") == F.col("n")})
-    index = long.select("id", "s", F.explode(index_keys(F.col("line"), F.col("n"), edits, F.col("plain"))).alias("key"))
-    probe = long.select(F.col("id").alias("other"), F.col("s").alias("t"), F.explode(probe_keys(F.col("line"), F.col("n"), edits, F.col("plain"))).alias("key"))
-    pairs = probe.join(index, "key").filter((F.col("id") != F.col("other")) & sketches_near(F.col("s"), F.col("t"), edits)).select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    texts = lines.select("id", "line")
+    lines = numbered(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "text_id", "size")).alias("place"), F.max("line").alias("line"))
+    long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= chars_per_edit)
+    long = long.withColumns({"s": sketch(F.col("line")), "plain": F.octet_length("line") == F.col("n")})
+    index, probe = keyed(long, edits, chars_per_edit)
+    pairs = probe.join(index, "key").filter((F.col("id") != F.col("other")) & sketches_near(F.col("s"), F.col("t"), edits))
+    pairs = landed(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "line-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = landed(lines.select("id", "line").join(asked, "id", "left_semi"), "asked-lines")
     both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
-    links = landed(both.filter(within(F.col("line_a"), F.col("line_b"), edits)).select("a", "b"), "line-links")
+    links = landed(both.filter(close(F.col("line_a"), F.col("line_b"), edits, chars_per_edit)).select("a", "b"), "line-links")
     roots = components(links)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = roots.join(counts, "node")
-    own = lines.select("id", "place").join(named, F.col("id") == F.col("node"), "left").select("id", "place", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # the text is not asked for here, so that only places are grouped
+    places = numbered(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "text_id", "size")).alias("place"))
+    own = places.join(named, F.col("id") == F.col("node"), "left").select("id", "place", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     own = landed(own, "line-classes")
     # only lines with a link can share a class
     linked = own.filter("n_links > 0")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
     rest = own.filter("n_links = 0").select("id", "root", "n_links", F.col("place").alias("first"))
-    return (linked.join(first, "root").select("id", "root", "n_links", "first").union(rest)
-            .select("id", "root", "n_links", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"),
-                    *([(-F.col("first.less")).alias("first_size")] if sized else [])))
+    return linked.join(first, "root").select("id", "root", "n_links", "first").union(rest)
+
+
+def at_first() -> Column:
+    """Whether a numbered line stands at the first place of its class."""
+    return (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("text_id") == F.col("first.text_id")))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line, n_links, kept) of every line with a visible character.
 
-    The class of a line, named by its first place, holds the lines that chains of at most ``edits`` edits connect; n_links is
-    the number of different lines that near; kept is true at the first place alone. Lines shorter than ``min_chars`` form
-    classes of equal lines. Null and empty texts have no lines; a null id sorts first; rows with one id are one document
-    (their lines of one number are one place); an empty table gives an empty result; other columns are ignored.
+    Two lines are linked that are at most ``edits`` edits apart, and at most one for each ``chars_per_edit`` characters of the
+    shorter one; the shortest lines are therefore only compared for equality. The class of a line, named by its first place,
+    holds the lines that chains of links connect; n_links is the number of different lines linked to it; kept is true at the
+    first place alone. Null and empty texts have no lines; a null id sorts first; of rows with one id the texts are told apart by a
+    64-bit hash and come in its order where line numbers tie; rows with one id and one text are one document, and all of
+    them keep the place; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    found = numbered(docs).select("doc_id", "line_no", "id").join(classes(docs, edits, min_chars), "id")
-    kept = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("line_no") == F.col("first_line"))
-    return found.select("doc_id", F.col("line_no").cast("long"), F.col("first_doc").alias("class_doc"), F.col("first_line").cast("long").alias("class_line"),
-                        F.col("n_links").cast("long"), kept.alias("kept"))
+    found = numbered(docs).select("doc_id", "text_id", "line_no", "id").join(classes(docs, edits, chars_per_edit), "id")
+    return found.select("doc_id", F.col("line_no").cast("long"), F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").cast("long").alias("class_line"),
+                        F.col("n_links").cast("long"), at_first().alias("kept"))
 
 
 def shingles(text: Column) -> Column:
@@ -169,38 +213,43 @@ def shingles(text: Column) -> Column:
 
 
 def copies(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (doc_id, class_doc) whose whole texts are alike; of rows with one id, all have to be."""
-    asked = pairs.select(F.explode(F.array("doc_id", "class_doc")).alias("asked")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").alias("t"))
-    sets = landed(texts.join(asked, F.col("a") == F.col("asked"), "left_semi").select("a", shingles(F.col("t")).alias("x")), "copy-shingles")
-    both = pairs.join(sets, F.col("doc_id") == F.col("a")).join(sets.toDF("b", "y"), F.col("class_doc") == F.col("b"))
-    return both.groupBy("doc_id", "class_doc").agg(F.min(alike(F.col("x"), F.col("y"), SIMILARITY)).alias("copied")).filter("copied").select("doc_id", "class_doc")
+    """The pairs (doc_id, text_id, class_doc, class_text) whose whole texts are alike."""
+    asked = pairs.select(F.explode(F.array(F.struct("doc_id", "text_id"), F.struct(F.col("class_doc").alias("doc_id"), F.col("class_text").alias("text_id")))).alias("x"))
+    asked = asked.select(F.col("x.doc_id").alias("a"), F.col("x.text_id").alias("u")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("a"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).withColumn("u", F.xxhash64("t"))
+    sets = texts.join(asked, ["a", "u"], "left_semi").select("a", "u", shingles(F.col("t")).alias("x")).dropDuplicates(["a", "u"])
+    sets = landed(sets, "copy-shingles")
+    both = pairs.join(sets.toDF("doc_id", "text_id", "x"), ["doc_id", "text_id"]).join(sets.toDF("class_doc", "class_text", "y"), ["class_doc", "class_text"])
+    return both.filter(alike(F.col("x"), F.col("y"), SIMILARITY)).select("doc_id", "text_id", "class_doc", "class_text")
 
 
-def drop_repeats(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeats(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """Documents without the lines whose class has an earlier place, in the columns of ``docs`` (n_chars follows the text).
 
-    A document goes where no visible line is left of those it had, or where at least half of it was taken by one earlier
-    document within a quarter of its size and the whole texts have a Jaccard similarity of 0.8 or more: what is left are the
-    edits of a copy. Documents without visible lines stay. Of rows with one id, the longest that lost a line gives the size,
-    and equal lines of one number count once.
+    Classes are those of ``line_classes``. A document goes where no visible line is left of those it had, or where at least half
+    of it was taken by one earlier document within a quarter of its size and the whole texts have a Jaccard similarity of 0.8
+    or more: what is left are the edits of a copy. Documents without visible lines stay, and so do rows with a null id, whose
+    lines come first. Of rows with one id each loses its own lines alone; rows with one id and one text fare alike. Other columns come
+    back as they are, whatever their names; an empty table gives an empty result.
     """
-    found = numbered(docs).select("doc_id", "size", F.col("line_no").cast("long"), F.length("line").alias("n"), "id")
-    named = classes(docs, edits, min_chars, sized=True).select("id", F.col("first_doc").alias("class_doc"), F.col("first_line").alias("class_line"), F.col("first_size").alias("class_size"))
-    first = F.col("doc_id").eqNullSafe(F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))
-    lost = found.join(named, "id").filter(~first & F.col("doc_id").isNotNull())
-    lost = lost.groupBy("doc_id", "class_doc").agg(F.collect_set(F.struct("line_no", "n")).alias("some"), F.max("size").alias("size"), F.max("class_size").alias("class_size"))
-    lost = lost.select("doc_id", "class_doc", "size", "class_size", F.col("some.line_no").alias("some"), F.aggregate("some", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"))
+    found = numbered(docs).select("doc_id", "text_id", "size", "line_no", F.length("line").alias("n"), "id")
+    lost = found.join(classes(docs, edits, chars_per_edit).select("id", "first"), "id").filter(~at_first() & F.col("doc_id").isNotNull())
+    lost = lost.groupBy("doc_id", "text_id", F.col("first.doc_id").alias("class_doc"), F.col("first.text_id").alias("class_text")).agg(
+        F.collect_set(F.struct("line_no", "n")).alias("some"), F.max("size").alias("size"), F.max("first.size").alias("class_size"))
+    lost = lost.select("doc_id", "text_id", "class_doc", "class_text", "size", "class_size", F.col("some.line_no").alias("some"),
+                       F.aggregate("some", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n"))
     lost = landed(lost, "lost-lines")
+    other = (F.col("class_doc") != F.col("doc_id")) | (F.col("class_text") != F.col("text_id"))
     # a text that lost all its lines to one document goes anyhow
-    copied = (F.col("n") + F.size("some") - 1 < F.col("size")) & (F.col("class_doc") != F.col("doc_id")) & (F.col("n") >= COPY_SHARE * F.col("size")) & (F.abs(F.col("class_size") - F.col("size")) <= COPY_SIZE * F.col("size"))
-    same = copies(docs, lost.filter(copied).select("doc_id", "class_doc")).select("doc_id").distinct().withColumn("_copy", F.lit(True))
-    per = lost.groupBy("doc_id").agg(F.flatten(F.collect_list("some")).alias("_gone")).join(same, "doc_id", "left")
-    per = per.withColumn("_copy", F.coalesce("_copy", F.lit(False)))
-    joined = docs.join(per.withColumnRenamed("doc_id", "_doc"), F.col("doc_id") == F.col("_doc"), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i.cast("long")))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    left = joined.withColumn("_text", text)
-    left = left.filter(F.col("_gone").isNull() | (~F.col("_copy") & F.col("_text").rlike("[^ \\t-\\r]")))
-    made = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return left.select(*[made.get(c, F.col(c)).alias(c) for c in docs.columns])
+    copied = other & (F.col("n") + F.size("some") - 1 < F.col("size")) & (F.col("n") >= COPY_SHARE * F.col("size")) & (F.abs(F.col("class_size") - F.col("size")) <= COPY_SIZE * F.col("size"))
+    same = copies(docs, lost.filter(copied).select("doc_id", "text_id", "class_doc", "class_text"))
+    same = same.select("doc_id", "text_id").distinct().withColumn("copy", F.lit(True))
+    per = lost.groupBy("doc_id", "text_id").agg(F.flatten(F.collect_list("some")).alias("gone")).join(same, ["doc_id", "text_id"], "left")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_id"))
+    joined = rows.join(per, ["doc_id", "text_id"], "left")
+    lines = F.filter(F.split(F.col("row.text").cast("string"), "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
+    left = joined.select("row", "gone", "copy", F.when(F.col("gone").isNull(), F.col("row.text").cast("string")).otherwise(F.array_join(lines, "\n")).alias("text"))
+    left = left.filter(F.col("gone").isNull() | (F.col("copy").isNull() & F.col("text").rlike("[^ \\t-\\r]")))
+    made = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return left.select(*[made.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
