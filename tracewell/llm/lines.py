@@ -16,6 +16,10 @@ EDITS = 2
 CHARS_PER_EDIT = 20
 #: Letters that the sketch of a line counts, four bits each.
 LETTERS = "etaonis "
+#: Lines that make up more than one in HEAVY of all copied lines are compared at their first place alone; the others' copies meet on the keys.
+HEAVY = 1 << 17
+#: So many hashes of lines that met are sent to the tasks to fetch the texts; beyond that lines are shuffled.
+SENT = 4_000_000
 #: A document that lost this share to one earlier document of nearly its size may be that document's copy; the texts are compared then.
 COPY_SHARE = 0.5
 COPY_SIZE = 0.25
@@ -26,59 +30,69 @@ def allowed(length: Column, edits: int = EDITS, chars_per_edit: int = CHARS_PER_
     return F.least(F.floor(length / chars_per_edit), F.lit(edits)).cast("int")
 
 
-def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
-    """(start, length) of the edits + 1 nearly equal segments of a line, starts counted from 0."""
-    base, more = F.floor(length / (edits + 1)).cast("int"), (length % (edits + 1)).cast("int")
+def _segment(i: Column, length: Column, edits: Column) -> tuple[Column, Column]:
+    """(start, length) of segment ``i`` of the edits + 1 nearly equal ones of a line, counted from 0."""
+    base, more = F.floor(length / (edits + 1)).cast("int"), length % (edits + 1)
     short = edits + 1 - more  # the last ``more`` segments are one longer
-    return [(i * base + F.greatest(i - short, F.lit(0)), base + F.when(i >= short, 1).otherwise(0)) for i in map(F.lit, range(edits + 1))]
+    return i * base + F.greatest(i - short, F.lit(0)), base + F.when(i >= short, 1).otherwise(0)
 
 
-def _key(i: int, length: Column, line: Column, start: Column, size: Column, plain: Column) -> Column:
+def _key(i: Column, length: Column, line: Column, start: Column, size: Column, plain: Column) -> Column:
     """Hash of a piece of the line; bytes of a plain (ASCII) line are reached without counting characters, to the same hash."""
-    return F.when(plain, F.xxhash64(F.lit(i), length, F.substring(line.cast("binary"), start + 1, size))).otherwise(
-        F.xxhash64(F.lit(i), length, F.substring(line, start + 1, size)))
+    return F.when(plain, F.xxhash64(i, length, F.substring(line.cast("binary"), start + 1, size))).otherwise(
+        F.xxhash64(i, length, F.substring(line, start + 1, size)))
 
 
-def index_keys(line: Column, length: Column, edits: int, plain: Column | None = None) -> Column:
-    plain = F.lit(False) if plain is None else plain
-    return F.array(*[_key(i, length, line, at, size, plain) for i, (at, size) in enumerate(segments(length, edits))])
+def probes(edits: int) -> list[tuple[int, int, int]]:
+    """(how much shorter, segment, shift) of every probe.
 
+    For each length and segment only the starts are probed at which the edits before and after the segment can still
+    add up to ``edits``.
+    """
+    return [(shorter, i, shift) for shorter in range(edits + 1) for i in range(edits + 1)
+            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)]
 
-def _probes(line: Column, length: Column, edits: int, plain: Column, right: Callable[[Column], Column]) -> list[Column]:
-    """Probe keys of the shorter lengths for which ``right`` holds; null where a start lies outside of the line."""
-    found = []
-    for shorter in range(edits + 1):
-        other = length - shorter
-        for i, (at, size) in enumerate(segments(other, edits)):
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                start = at + shift
-                found.append(F.when(right(other) & (start >= 0) & (start + size <= length), _key(i, other, line, start, size, plain)))
-    return found
 
+def _index_key(line: Column, length: Column, edits: Column, plain: Column, i: Column) -> Column:
+    return _key(i, length, line, *_segment(i, length, edits), plain)
 
-def probe_keys(line: Column, length: Column, edits: int, plain: Column | None = None) -> Column:
-    """Keys under which a line no longer than this one, and at most ``edits`` away, stands in the index.
 
-    For each length and segment only the starts are probed at which the edits before and after the segment can still
-    add up to ``edits``.
-    """
+def _probe_key(line: Column, length: Column, edits: Column, plain: Column, shorter: Column, i: Column, shift: Column) -> Column:
+    """Null where the start lies outside of the line."""
+    at, size = _segment(i, length - shorter, edits)
+    start = at + shift
+    return F.when((start >= 0) & (start + size <= length), _key(i, length - shorter, line, start, size, plain))
+
+
+def index_keys(line: Column, length: Column, edits: int, plain: Column | None = None) -> Column:
+    plain = F.lit(False) if plain is None else plain
+    return F.array(*[_index_key(line, length, F.lit(edits), plain, F.lit(i)) for i in range(edits + 1)])
+
+
+def probe_keys(line: Column, length: Column, edits: int, plain: Column | None = None) -> Column:
+    """Keys under which a line no longer than this one, and at most ``edits`` away, stands in the index."""
     plain = F.lit(False) if plain is None else plain
-    return F.array_compact(F.array(*_probes(line, length, edits, plain, lambda other: other >= 0)))
+    return F.array_compact(F.array(*[_probe_key(line, length, F.lit(edits), plain, *map(F.lit, spec)) for spec in probes(edits)]))
+
+
+def _specs(rows: list[tuple[int, ...]], names: list[str]) -> Column:
+    return F.inline(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows]))
 
 
 def keyed(long: DataFrame, edits: int, chars_per_edit: int) -> tuple[DataFrame, DataFrame]:
     """(id, s, key) of the index and (other, t, key) of the probes. The length of the shorter line names its edits, so both agree.
 
-    Null keys go after the explosion: a filter of the array would be evaluated outside of generated code.
+    A line becomes a row per probe first and each row has one key: all keys in one expression make a method that the JVM does
+    not compile.
     """
-    line, n, plain = F.col("line"), F.col("n"), F.col("plain")
+    line, n, plain, e, i = (F.col(c) for c in ("line", "n", "plain", "e", "i"))
     levels = range(1, edits + 1)
-    of = allowed(n, edits, chars_per_edit)
-    stored = F.coalesce(*[F.when(of == e, index_keys(line, n, e, plain)) for e in levels])
-    asked = [k for e in levels for k in _probes(line, n, e, plain, lambda other, e=e: allowed(other, edits, chars_per_edit) == e)]
-    index = long.select("id", "s", F.explode(stored).alias("key"))
-    probe = long.select(F.col("id").alias("other"), F.col("s").alias("t"), F.explode(F.array(*asked)).alias("key")).filter("key is not null")
-    return index, probe
+    index = long.select("id", "s", "line", "n", "plain", _specs([(v, k) for v in levels for k in range(v + 1)], ["e", "i"]))
+    index = index.filter(allowed(n, edits, chars_per_edit) == e).select("id", "s", _index_key(line, n, e, plain, i).alias("key"))
+    probe = long.select("id", "s", "line", "n", "plain", _specs([(v, *spec) for v in levels for spec in probes(v)], ["e", "shorter", "i", "shift"]))
+    probe = probe.filter(allowed(n - F.col("shorter"), edits, chars_per_edit) == e)
+    probe = probe.select(F.col("id").alias("other"), F.col("s").alias("t"), _probe_key(line, n, e, plain, F.col("shorter"), i, F.col("shift")).alias("key"))
+    return index, probe.filter("key is not null")
 
 
 def sketch(line: Column) -> Column:
@@ -154,39 +168,47 @@ def numbered(docs: DataFrame) -> DataFrame:
     return lines.filter(F.col("line").rlike("[^ \\t-\\r]")).withColumn("id", F.xxhash64("line"))
 
 
+PLACE = ("doc_id", "line_no", "text_id", "size")
+
+
+def first_copies(lines: DataFrame, copied: DataFrame) -> DataFrame:
+    """Lines without the later copies of very frequent ones, of which there are at most HEAVY."""
+    total = copied.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    heavy = copied.filter(F.col("copies") > total / HEAVY).select(F.col("id").alias("heavy"), F.col("place").alias("heavy_place"))
+    return lines.join(F.broadcast(heavy), F.col("id") == F.col("heavy"), "left").filter(F.col("heavy").isNull() | F.struct(*PLACE).eqNullSafe(F.col("heavy_place")))
+
+
 def classes(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """(id, root, n_links, first) of every different line: its class and the first place of the class.
+    """(id, root, n_links, first) of the different lines that come twice or have a link: their class and its first place.
 
-    Copies of a line are one row before anything is joined. Lines meet on (segment number, length, segment text). A place is
-    (doc_id, line_no, text_id, size); the size travels with it, so that no join on a much copied document is needed.
+    Lines meet on (segment number, length, segment text). Only hashes and places are shuffled; the texts of lines that met are
+    fetched afterwards. A place is (doc_id, line_no, text_id, size); the size travels with it, so that no join on a much
+    copied document is needed.
     """
-    lines = numbered(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "text_id", "size")).alias("place"), F.max("line").alias("line"))
-    long = lines.select("id", "line", F.length("line").alias("n")).filter(F.col("n") >= chars_per_edit)
-    long = long.withColumns({"s": sketch(F.col("line")), "plain": F.octet_length("line") == F.col("n")})
+    lines = numbered(docs)
+    places = lines.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("place"), F.count(F.lit(1)).alias("copies"))
+    copied = landed(places.filter("copies > 1"), "copied-lines")
+    long = lines.withColumn("n", F.length("line")).filter(F.col("n") >= chars_per_edit)
+    long = first_copies(long, copied).select("id", "line", "n", sketch(F.col("line")).alias("s"), (F.octet_length("line") == F.col("n")).alias("plain"))
     index, probe = keyed(long, edits, chars_per_edit)
-    pairs = probe.join(index, "key").filter((F.col("id") != F.col("other")) & sketches_near(F.col("s"), F.col("t"), edits))
+    pairs = probe.join(index.distinct(), "key").filter((F.col("id") != F.col("other")) & sketches_near(F.col("s"), F.col("t"), edits))
     pairs = landed(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "line-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = landed(lines.select("id", "line").join(asked, "id", "left_semi"), "asked-lines")
-    both = pairs.join(texts.toDF("a", "line_a"), "a").join(texts.toDF("b", "line_b"), "b")
+    asked = landed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked-lines")
+    asked = F.broadcast(asked) if asked.count() <= SENT else asked
+    texts = lines.join(asked, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*PLACE)).alias("place"), F.max("line").alias("line"))
+    texts = landed(texts, "line-texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
     links = landed(both.filter(close(F.col("line_a"), F.col("line_b"), edits, chars_per_edit)).select("a", "b"), "line-links")
-    roots = components(links)
-    counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = roots.join(counts, "node")
-    # the text is not asked for here, so that only places are grouped
-    places = numbered(docs).groupBy("id").agg(F.min(F.struct("doc_id", "line_no", "text_id", "size")).alias("place"))
-    own = places.join(named, F.col("id") == F.col("node"), "left").select("id", "place", F.coalesce("root", "id").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    own = landed(own, "line-classes")
-    # only lines with a link can share a class
-    linked = own.filter("n_links > 0")
+    counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = landed(components(links).withColumnRenamed("node", "id").join(counts, "id").join(texts.select("id", "place"), "id"), "linked-lines")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
-    rest = own.filter("n_links = 0").select("id", "root", "n_links", F.col("place").alias("first"))
-    return linked.join(first, "root").select("id", "root", "n_links", "first").union(rest)
+    alone = copied.join(linked, "id", "left_anti").select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("n_links"), F.col("place").alias("first"))
+    return linked.join(first, "root").select("id", "root", "n_links", "first").union(alone)
 
 
 def at_first() -> Column:
-    """Whether a numbered line stands at the first place of its class."""
-    return (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("text_id") == F.col("first.text_id")))
+    """Whether a numbered line stands at the first place of its class; a line without a class is its own."""
+    return F.col("first").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("line_no") == F.col("first.line_no")) & (F.col("text_id") == F.col("first.text_id")))
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
@@ -199,9 +221,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHAR
     64-bit hash and come in its order where line numbers tie; rows with one id and one text are one document, and all of
     them keep the place; an empty table gives an empty result; other columns are ignored, whatever their names.
     """
-    found = numbered(docs).select("doc_id", "text_id", "line_no", "id").join(classes(docs, edits, chars_per_edit), "id")
-    return found.select("doc_id", F.col("line_no").cast("long"), F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").cast("long").alias("class_line"),
-                        F.col("n_links").cast("long"), at_first().alias("kept"))
+    found = numbered(docs).select("doc_id", "text_id", "line_no", "id").join(classes(docs, edits, chars_per_edit), "id", "left")
+    doc, line = (F.when(F.col("first").isNull(), F.col(c)).otherwise(F.col(f"first.{c}")) for c in ("doc_id", "line_no"))
+    return found.select("doc_id", F.col("line_no").cast("long"), doc.alias("class_doc"), line.cast("long").alias("class_line"),
+                        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), at_first().alias("kept"))
 
 
 def shingles(text: Column) -> Column:
