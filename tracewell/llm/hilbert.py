@@ -20,6 +20,8 @@ MOST_BLOCK = 65_536
 SAMPLE = 64
 TARGET = 0.96
 SEED = 7
+#: Vectors whose keys place the bounds of the ranges of a curve, and the vectors of one range. They decide the work alone.
+CUT_SAMPLE, RANGE = 1 << 16, 16_384
 
 
 def hilbert_keys(cells: np.ndarray, levels: int) -> np.ndarray:
@@ -112,6 +114,11 @@ def search(vectors: DataFrame, step: int = 20, neighbours: int = 20, *, curves:
     asked = landed(asked.filter(F.col("query_id") % step == 0).distinct().join(nodes.select("vid", "vec"), "vec").select("query_id", "vid"), "queries")
     queries = nodes.join(asked.select("vid").distinct(), "vid", "left_semi")
 
+    total = nodes.count()
+    every = max(1, total // CUT_SAMPLE)
+    few = nodes.filter(F.pmod(F.xxhash64("vid"), F.lit(every)) == 0).select("vec")
+    cuts = _cuts(few, longest, size, curves, max(1, min(CUT_SAMPLE // 16, total // RANGE)))
+
     def laid(rows: DataFrame, is_query: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -120,22 +127,24 @@ def search(vectors: DataFrame, step: int = 20, neighbours: int = 20, *, curves:
                 vecs = [row.tobytes() for row in matrix]
                 for c in range(curves):
                     yield pa.RecordBatch.from_arrays([pa.array([c] * len(vecs), pa.int32()), pa.array(keys[:, c]), batch.column(0), pa.array(vecs, pa.binary()),
-                                                      pa.array([int(is_query)] * len(vecs), pa.int32())], names=["curve", "h", "vid", "vec", "query"])
+                                                      pa.array([int(is_query)] * len(vecs), pa.int32()), pa.array(np.searchsorted(cuts[c], keys[:, c], "right"))],
+                                                     names=["curve", "h", "vid", "vec", "query", "range"])
 
-        return rows.select("vid", "vec").mapInArrow(run, "curve int, h long, vid long, vec binary, query int")
+        return rows.select("vid", "vec").mapInArrow(run, "curve int, h long, vid long, vec binary, query int, range long")
 
     both = laid(nodes, False).union(laid(queries, True)).withColumn("one", F.lit(1).cast("long") - F.col("query"))
-    bits = DIMENSIONS * LEVELS
-    placed = landed(prefix_sums(both, ["curve"], ["h", "query", "vid"], F.shiftright("h", bits - 12), "one", "place")
+    placed = landed(prefix_sums(both, ["curve"], ["h", "query", "vid"], F.col("range"), "one", "place")
                     .select("curve", "place", "vid", "vec", "query"), "places")
-    total = nodes.count()
     data, ask = placed.filter("query = 0"), placed.filter("query = 1")
     window = measured_window(nodes, placed, queries, size, neighbours, target, total)
     block = max(1_024, min(MOST_BLOCK, window))
-    chunks = max(1, -(-queries.count() // QUERY_CHUNK))
-    data = data.select("curve", "place", "vid", "vec", F.floor(F.col("place") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     reach = F.sequence(F.floor(F.greatest(F.col("place") - window, F.lit(0)) / block), F.floor((F.col("place") + window) / block))
-    ask = ask.select("curve", "place", "vid", "vec", F.explode(reach).alias("block"), F.pmod(F.xxhash64("vid"), F.lit(chunks)).cast("int").alias("chunk"))
+    ask = ask.select("curve", "place", "vid", "vec", F.explode(reach).alias("block"))
+    # a block is copied for every QUERY_CHUNK queries of its own, of which it has no more than its width and two windows hold
+    chunks = landed(ask.groupBy("curve", "block").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("chunks")), "query-chunks")
+    data = (data.select("curve", "place", "vid", "vec", F.floor(F.col("place") / block).alias("block")).join(chunks, ["curve", "block"])
+            .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks").toDF("curve", "block", "place", "vid", "vec", "chunk"))
+    ask = ask.join(chunks, ["curve", "block"]).withColumn("chunk", F.pmod(F.xxhash64("vid"), F.col("chunks")).cast("int")).drop("chunks").toDF("curve", "block", "place", "vid", "vec", "chunk")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"qvid": [], "vid": [], "score": []}
@@ -148,8 +157,9 @@ def search(vectors: DataFrame, step: int = 20, neighbours: int = 20, *, curves:
                 near[np.abs(qp[:, None] - xp[None, :]) > window] = -np.inf
                 keep = min(neighbours + 1, len(x))
                 best = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
-                rows, cols = np.nonzero(np.isfinite(np.take_along_axis(near, best, axis=1)))
-                hit = best[rows, cols]
+                worst = np.take_along_axis(near, best, axis=1).min(axis=1, keepdims=True)
+                # all ties at the cut go on, of which the smaller ids are kept; matrix products may differ in the last bits
+                rows, hit = np.nonzero((near >= worst - 1e-12 * np.abs(worst)) & np.isfinite(near))
                 out["qvid"].append(part["vid"].to_numpy()[rows])
                 out["vid"].append(xid[hit])
                 out["score"].append((q[rows] * x[hit]).sum(axis=1))
@@ -165,6 +175,19 @@ def search(vectors: DataFrame, step: int = 20, neighbours: int = 20, *, curves:
     return answers.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= neighbours).select("query_id", "rank", "vec_id", "score")
 
 
+def _cuts(vectors: DataFrame, longest: float, size: int, curves: int, ranges: int) -> list[np.ndarray]:
+    """Keys that part each curve into ranges of about as many sampled vectors; the sample has at most 2 * CUT_SAMPLE rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = curve_keys(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size), longest, False, size, curves)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[:, c]) for c in range(curves)], names=[f"k{c}" for c in range(curves)])
+
+    found = vectors.mapInArrow(run, ", ".join(f"k{c} long" for c in range(curves))).toPandas()
+    at = np.linspace(0, len(found), ranges + 1)[1:-1].astype(int)
+    return [np.unique(np.sort(found[f"k{c}"].to_numpy("i8"))[at]) for c in range(curves)]
+
+
 def _best(rows: DataFrame, key: str, tie: str, count: int) -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.desc("score"), tie)
     return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= count).drop("_n")
