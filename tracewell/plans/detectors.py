@@ -9,14 +9,14 @@ from tracewell.functions.scalars import r6
 from tracewell.operators import compare, conformal, covariance, neighbours, ranks, report
 from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, bounds, query, r
-from tracewell.plans.rollups import DIMS, FEATURES_SQL, LONG_SQL, features
+from tracewell.plans.rollups import DIMS, FEATURES_SQL, LONG_SQL, XS, features
 from tracewell.plans.views import BLOCKS_SQL, SCORES_SQL, WINDOWS_SQL, blocks, scored_windows, windows, with_record_labels
 
-X8 = [f"x{i}" for i in range(DIMS)]
-X3 = X8[:3]
+X8 = XS[:8]
+X3 = XS[:3]
 
 COV_SQL = LONG_SQL + """,
-lx as (select * from lf where feature <> 'x8'),
+lx as (select * from lf where feature <> 'one'),
 cv as (select a.entity, a.feature as fi, b.feature as fj, covar_samp(a.value, b.value) as v, count(*) as n
        from lx a join lx b using (vec_id, entity) where a.is_reference group by 1, 2, 3)"""
 
@@ -32,7 +32,7 @@ def named(long: DataFrame) -> DataFrame:
 
 @query("l1_sample_covariance", f"with {COV_SQL} select entity, fi, fj, n, {r('v')} as value from cv")
 def l1(t: Tables) -> DataFrame:
-    return rounded(named(covariance.sample_covariance(reference(t), ["entity"], X8)))
+    return rounded(named(covariance.sample_covariance(reference(t), ["entity"], XS)))
 
 
 @query("l1_wide_covariance", f"""
@@ -45,18 +45,18 @@ def l1b(t: Tables) -> DataFrame:
 
 
 @query("l2_ridge", f"""
-with {COV_SQL}, tr as (select entity, sum(v) / 8 as t from cv where fi = fj group by 1)
+with {COV_SQL}, tr as (select entity, sum(v) / {DIMS} as t from cv where fi = fj group by 1)
 select entity, fi, fj, n, {r('v + case when fi = fj then 1e-3 * t else 0 end')} as value from cv join tr using (entity)""")
 def l2(t: Tables) -> DataFrame:
-    long = covariance.sample_covariance(reference(t), ["entity"], X8)
+    long = covariance.sample_covariance(reference(t), ["entity"], XS)
     return rounded(named(covariance.regularized(long, ["entity"], DIMS, 1e-3)))
 
 
 @query("l3_entity_mean", f"""
-with {COV_SQL}, m as (select fi, fj, avg(v) as v from cv group by 1, 2), tr as (select sum(v) / 8 as t from m where fi = fj)
+with {COV_SQL}, m as (select fi, fj, avg(v) as v from cv group by 1, 2), tr as (select sum(v) / {DIMS} as t from m where fi = fj)
 select fi, fj, {r('v + case when fi = fj then 1e-3 * t else 0 end')} as value from m, tr""")
 def l3(t: Tables) -> DataFrame:
-    long = covariance.sample_covariance(reference(t), ["entity"], X8)
+    long = covariance.sample_covariance(reference(t), ["entity"], XS)
     return rounded(named(covariance.entity_mean(long, DIMS, 1e-3)))
 
 
@@ -138,16 +138,16 @@ def e35(t: Tables) -> DataFrame:
 
 
 @query("l7_shrinkage", f"""
-with {LONG_SQL}, lx as (select * from lf where feature <> 'x8' and is_reference), mu as (select feature, avg(value) as m from lx group by 1),
+with {LONG_SQL}, lx as (select * from lf where feature <> 'one' and is_reference), mu as (select feature, avg(value) as m from lx group by 1),
 c as (select vec_id, feature, value - m as v from lx join mu using (feature)),
 cv as (select a.feature as fi, b.feature as fj, avg(a.v * b.v) as v from c a join c b using (vec_id) group by 1, 2),
 q as (select avg(s * s) as fourth, count(*) as n from (select vec_id, sum(v * v) as s from c group by 1)),
-p as (select (select sum(v) / 8 from cv where fi = fj) as level, (select sum(v * v) from cv) as ss, fourth, n from q),
-k as (select level, n, least((fourth - ss) / (n * 8), (ss - 8 * level * level) / 8) / ((ss - 8 * level * level) / 8) as w from p)
+p as (select (select sum(v) / {DIMS} from cv where fi = fj) as level, (select sum(v * v) from cv) as ss, fourth, n from q),
+k as (select level, n, least((fourth - ss) / (n * {DIMS}), (ss - {DIMS} * level * level) / {DIMS}) / ((ss - {DIMS} * level * level) / {DIMS}) as w from p)
 select fi, fj, {r('w')} as weight, {r('(1 - w) * v + case when fi = fj then w * level else 0 end')} as value from cv, k""")
 def l7(t: Tables) -> DataFrame:
-    _, cov, weight = covariance.shrunk_covariance(reference(t), X8)
-    cells = covariance.columns_of(cov, X8)
+    _, cov, weight = covariance.shrunk_covariance(reference(t), XS)
+    cells = covariance.columns_of(cov, XS)
     table = t.spark.createDataFrame(cells, "fi string, fj string, value double")
     return rounded(table.withColumn("weight", F.lit(weight)))
 
@@ -171,32 +171,32 @@ def l8(t: Tables) -> DataFrame:
 @query("l15_independent_columns")
 def l15(t: Tables) -> DataFrame:
     """Columns kept when an exact linear relation and a constant are added to the features."""
-    wide = features(t).withColumn("x8", F.col("x0") + F.col("x1") - 2 * F.col("x2")).withColumn("x9", F.lit(1.0))
-    kept = covariance.independent_columns(wide.filter("is_reference"), [*X8, "x8", "x9"])
+    wide = features(t).withColumn("linear", F.col("x0") + F.col("x1") - 2 * F.col("x2")).withColumn("one", F.lit(1.0))
+    kept = covariance.independent_columns(wide.filter("is_reference"), [*XS, "linear", "one"])
     return wide.select("vec_id", *kept).unpivot(["vec_id"], kept, "feature", "value").groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"), r6(F.stddev_samp("value")).alias("deviation"))
 
 
 # ---------------------------------------------------------------- neighbours
 
-SQ8 = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(DIMS))
+SQUARES = " + ".join(f"(a.x{i} - b.x{i}) ** 2" for i in range(DIMS))
 
 
 @query("d8_kth_neighbour", f"""
-with {FEATURES_SQL}, p as (select a.vec_id, sqrt({SQ8}) as d, row_number() over (partition by a.vec_id order by {SQ8}, b.vec_id) as rn, b.vec_id as nb from f a, f b where a.label = 0 and b.label <> 0)
+with {FEATURES_SQL}, p as (select a.vec_id, sqrt({SQUARES}) as d, row_number() over (partition by a.vec_id order by {SQUARES}, b.vec_id) as rn, b.vec_id as nb from f a, f b where a.label = 0 and b.label <> 0)
 select vec_id, {r('max(d) filter (where rn = 5)')} as distance_5, {r('max(d) filter (where rn = 1)')} as distance_1, max(nb) filter (where rn = 1) as neighbour from p group by 1""")
 def d8(t: Tables) -> DataFrame:
     f = features(t)
     q, ref = f.filter("label = 0"), f.filter("is_reference")
-    out = neighbours.nearest(q, ref, X8, k=[1, 5], reference_id="vec_id", distance=["distance_1", "distance_5"], neighbour="neighbour")
+    out = neighbours.nearest(q, ref, XS, k=[1, 5], reference_id="vec_id", distance=["distance_1", "distance_5"], neighbour="neighbour")
     return rounded(out.select("vec_id", "distance_5", "distance_1", "neighbour"))
 
 
 @query("d9_leave_one_out", f"""
-with {FEATURES_SQL} select a.vec_id, {r(f'min(sqrt({SQ8}))')} as nearest from f a, f b where a.vec_id <> b.vec_id group by 1""")
+with {FEATURES_SQL} select a.vec_id, {r(f'min(sqrt({SQUARES}))')} as nearest from f a, f b where a.vec_id <> b.vec_id group by 1""")
 def d9(t: Tables) -> DataFrame:
     f = features(t)
-    return rounded(neighbours.nearest(f, f, X8, k=2, distance="nearest").select("vec_id", "nearest"))
+    return rounded(neighbours.nearest(f, f, XS, k=2, distance="nearest").select("vec_id", "nearest"))
 
 
 SCALED3 = " + ".join(f"((a.x{i} - b.x{i}) / s{i}) ** 2" for i in range(3))
@@ -240,7 +240,7 @@ def l12(t: Tables) -> DataFrame:
 
 
 KNN_SQL = FEATURES_SQL + f""",
-pr as (select a.vec_id, a.label, b.vec_id as nb, sqrt({SQ8}) as d, row_number() over (partition by a.vec_id order by {SQ8}) as rn from f a, f b where b.is_reference),
+pr as (select a.vec_id, a.label, b.vec_id as nb, sqrt({SQUARES}) as d, row_number() over (partition by a.vec_id order by {SQUARES}) as rn from f a, f b where b.is_reference),
 kd as (select vec_id, label, max(d) filter (where rn = 5) as d5, max(d) filter (where rn = 6) as d6 from pr group by 1, 2),
 rf as (select median(d6) as ref from kd where label <> 0)"""
 
@@ -253,7 +253,7 @@ def l14(t: Tables) -> DataFrame:
     from tracewell.operators.support import DifficultyScale
 
     f = features(t)
-    model = DifficultyScale.fit(f.filter("is_reference"), X8, k=5, floor=0.25, rows=t.rows("embeddings"))
+    model = DifficultyScale.fit(f.filter("is_reference"), XS, k=5, floor=0.25, rows=t.rows("embeddings"))
     scored = model.transform(f.filter("label in (0, 1)"))
     p = conformal.p_values(scored, [], "distance", F.col("label") == 1, name="support_p", rows=t.rows("embeddings"))
     return rounded(p.filter("label = 0").select("vec_id", "scale", "support_p"))

@@ -12,7 +12,7 @@ from tracewell.operators import conformal, forests, models, ranks, report, roles
 from tracewell.operators.conditional import ConditionalResidual, SessionAnchored
 from tracewell.operators.oneclass import IsolationForest, RobustCovariance
 from tracewell.operators.report import rounded
-from tracewell.plans.detectors import X8
+from tracewell.plans.rollups import XS
 from tracewell.plans.registry import Tables, query, r
 from tracewell.plans.rollups import features
 from tracewell.plans.thermal import source_sums, with_losses
@@ -77,14 +77,14 @@ def l13(t: Tables) -> DataFrame:
 @query("l16_isolation_forest")
 def l16(t: Tables) -> DataFrame:
     f = features(t)
-    forest = IsolationForest.fit(f.filter("is_reference"), X8, "vec_id")
+    forest = IsolationForest.fit(f.filter("is_reference"), XS, "vec_id")
     return rounded(forest.score(f).select("vec_id", "label", "score"))
 
 
 @query("l17_robust_covariance")
 def l17(t: Tables) -> DataFrame:
     f = features(t)
-    model = RobustCovariance.fit(f.filter("is_reference"), X8)
+    model = RobustCovariance.fit(f.filter("is_reference"), XS)
     return rounded(model.score(f).select("vec_id", "label", "score", F.lit(model.converged).alias("converged")))
 
 
@@ -93,9 +93,9 @@ def l18(t: Tables) -> DataFrame:
     """Three balanced classifiers trained on source entities and scored on the target entity."""
     f = features(t).withColumn("y", (F.col("label") % 2).cast("double"))
     train, test = models.balanced_weights(f.filter("entity <> 0"), "y"), f.filter("entity = 0")
-    out = models.logistic_scores(train, test, X8, "y").select("vec_id", "y", "score", F.lit("logistic").alias("method"))
+    out = models.logistic_scores(train, test, XS, "y").select("vec_id", "y", "score", F.lit("logistic").alias("method"))
     for kind in ("boosted", "forest"):
-        model = models.classifier(kind, X8, "y").fit(train)
+        model = models.classifier(kind, XS, "y").fit(train)
         out = out.unionByName(models.classifier_scores(model, test).select("vec_id", "y", "score", F.lit(kind).alias("method")))
     return rounded(ranks.auroc(out, ["method"], "score", F.col("y") == 1, rows=t.rows("embeddings", 3)))
 
@@ -197,11 +197,11 @@ def l39(t: Tables) -> DataFrame:
     out = None
     for scope, train in (("target", target), ("balanced", pooled)):
         for seed in (711, 712):
-            forest = IsolationForest.fit(train, X8, "vec_id", seed=seed)
+            forest = IsolationForest.fit(train, XS, "vec_id", seed=seed)
             s = forest.score(f).select("vec_id", "label", "is_reference", "score").withColumns(
                 {"method": F.lit(f"{scope}_forest"), "seed": F.lit(seed)})
             out = s if out is None else out.unionByName(s)
-        s = RobustCovariance.fit(train, X8).score(f).select(
+        s = RobustCovariance.fit(train, XS).score(f).select(
             "vec_id", "label", "is_reference", "score").withColumns({"method": F.lit(f"{scope}_robust"), "seed": F.lit(711)})
         out = out.unionByName(s)
     p = conformal.p_values(out, ["method", "seed"], "score", F.col("is_reference") & (F.col("vec_id") % 2 == 1), rows=t.rows("embeddings", 6))

@@ -11,7 +11,7 @@ from tracewell.functions.scalars import (all_finite, minimum_calibration, number
 from tracewell.operators import conformal, contracts, ordered, ranks, roles, segments
 from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, query, r
-from tracewell.plans.rollups import FEATURES_SQL, features
+from tracewell.plans.rollups import FEATURES_SQL, XS, features
 from tracewell.plans.views import BLOCKS_SQL, SCORES_SQL, WINDOWS_SQL, block_scores, blocks, scored_windows, windows
 from tracewell.sources import inventory
 from tracewell.sources.inventory import ledger
@@ -743,10 +743,10 @@ def i1(t: Tables) -> DataFrame:
 
 
 @query("i2_double_melt", "with " + FEATURES_SQL + " select * from (" + " union all ".join(
-    f"select vec_id, 'x{i}' as feature, {r(f'x{i}')} as raw_value, {r(f'x{i} * 2 + 1')} as z_value from f" for i in range(4)) + ")")
+    f"select vec_id, 'x{i}' as feature, {r(f'x{i}')} as raw_value, {r(f'x{i} * 2 + 1')} as z_value from f" for i in range(len(XS))) + ")")
 def i2(t: Tables) -> DataFrame:
     """Two melts that would be rejoined on key and feature come from one pass of paired structs."""
-    cells = [F.struct(F.lit(f"x{i}").alias("feature"), r6(f"x{i}").alias("raw_value"), r6(F.col(f"x{i}") * 2 + 1).alias("z_value")) for i in range(4)]
+    cells = [F.struct(F.lit(f"x{i}").alias("feature"), r6(f"x{i}").alias("raw_value"), r6(F.col(f"x{i}") * 2 + 1).alias("z_value")) for i in range(len(XS))]
     return features(t).select("vec_id", F.inline(F.array(*cells)))
 
 
@@ -766,9 +766,9 @@ def i4(t: Tables) -> DataFrame:
     return t("embeddings").select("vec_id", rows).select("vec_id", "second", r6("p.truth").alias("truth"), r6("p.prediction").alias("prediction"))
 
 
-@query("i6_curve_arrays", f"with {FEATURES_SQL} select vec_id, 8 as positions, {r('x0 + x1 + x2 + x3 + x4 + x5 + x6 + x7')} as total, {r('greatest(x0, x1, x2, x3, x4, x5, x6, x7)')} as peak from f")
+@query("i6_curve_arrays", f"with {FEATURES_SQL} select vec_id, {len(XS)} as positions, {r(' + '.join(XS))} as total, {r('greatest(' + ', '.join(XS) + ')')} as peak from f")
 def i6(t: Tables) -> DataFrame:
-    curve = features(t).select("vec_id", F.array(*[f"x{i}" for i in range(8)]).alias("curve"))
+    curve = features(t).select("vec_id", F.array(*XS).alias("curve"))
     return curve.select("vec_id", F.size("curve").alias("positions"), r6(F.aggregate("curve", F.lit(0.0), lambda a, v: a + v)).alias("total"),
                         r6(F.array_max("curve")).alias("peak"))
 

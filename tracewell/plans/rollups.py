@@ -12,11 +12,12 @@ from tracewell.operators.report import rounded
 from tracewell.plans.registry import Tables, bounds, query, r
 from tracewell.plans.views import BLOCKS_SQL, SCORES_SQL, WINDOWS_SQL, blocks, scored_windows, windows
 
-DIMS = 8
+DIMS = 64
+XS = [f"x{i}" for i in range(DIMS)]
 
 
 def features(t: Tables) -> DataFrame:
-    """First eight embedding dimensions as double columns x0..x7 with entity and role."""
+    """All embedding dimensions as double columns x0, x1, ... with entity and role."""
     e = F.col("embedding")
     return t("embeddings").select(
         "vec_id", "label", (F.col("label") % 3).alias("entity"), (F.col("label") != 0).alias("is_reference"),
@@ -25,9 +26,8 @@ def features(t: Tables) -> DataFrame:
 
 def long_features(t: Tables) -> DataFrame:
     """Features as (vec_id, label, entity, feature, value), with one constant feature."""
-    wide = features(t).withColumn("x8", F.lit(1.0))
-    names = [f"x{i}" for i in range(DIMS + 1)]
-    return wide.unpivot(["vec_id", "label", "entity", "is_reference"], names, "feature", "value")
+    wide = features(t).withColumn("one", F.lit(1.0))
+    return wide.unpivot(["vec_id", "label", "entity", "is_reference"], [*XS, "one"], "feature", "value")
 
 
 FEATURES_SQL = """
@@ -36,7 +36,7 @@ f as (select vec_id, label, label % 3 as entity, label <> 0 as is_reference,
 LONG_SQL = FEATURES_SQL + """,
 lf as (""" + " union all ".join(
     f"select vec_id, label, entity, is_reference, 'x{i}' as feature, x{i} as value from f" for i in range(DIMS)) + """
- union all select vec_id, label, entity, is_reference, 'x8', 1.0::double from f)"""
+ union all select vec_id, label, entity, is_reference, 'one', 1.0::double from f)"""
 
 
 @query("e1_record_rollup", f"""
@@ -318,13 +318,14 @@ with {LONG_SQL},
 s as (select feature, count(*) filter (where label = 0)::double as na, count(*) filter (where label <> 0)::double as nb,
              avg(value) filter (where label = 0) as ma, avg(value) filter (where label <> 0) as mb,
              var_samp(value) filter (where label = 0) as va, var_samp(value) filter (where label <> 0) as vb from lf group by 1),
-d as (select 'x' || i as feature, case when stddev_samp(v) > 0 then avg(v) / stddev_samp(v) end as dz from
-      (select unnest(range(9)) as i, unnest([x0 - x1, x1 - x2, x2 - x3, x3 - x4, x4 - x5, x5 - x6, x6 - x7, x7 - x0, 0]) as v from f) group by 1)
+d as (select feature, case when stddev_samp(v) > 0 then avg(v) / stddev_samp(v) end as dz from
+      (select 'x' || i as feature, embedding[i + 1]::double - embedding[(i + 1) % {DIMS} + 1]::double as v from embeddings, unnest(range({DIMS})) u(i)
+       union all select 'one', 0.0::double from embeddings) group by 1)
 select feature, {r(_G)} as hedges_g, {r('dz')} as paired_dz from s join d using (feature)""")
 def e18(t: Tables) -> DataFrame:
     g = long_features(t).groupBy("feature").agg(report.hedges_g("value", F.col("label") == 0).alias("hedges_g"))
     pairs = [F.struct(F.lit(f"x{i}").alias("feature"), (F.col(f"x{i}") - F.col(f"x{(i + 1) % DIMS}")).alias("d"))
-             for i in range(DIMS)] + [F.struct(F.lit("x8").alias("feature"), F.lit(0.0).alias("d"))]
+             for i in range(DIMS)] + [F.struct(F.lit("one").alias("feature"), F.lit(0.0).alias("d"))]
     z = features(t).select(F.inline(F.array(*pairs))).groupBy("feature").agg(report.paired_dz("d").alias("paired_dz"))
     return rounded(g.join(z, "feature"))
 
@@ -439,8 +440,8 @@ def e26(t: Tables) -> DataFrame:
 
 
 @query("e27_paired_feature_shift", f"""
-with p as (select 'x' || i as feature, vec_id, embedding[i + 1]::double as old, embedding[i + 9]::double as new
-           from embeddings, (select unnest(range(8)) as i)),
+with p as (select 'x' || i as feature, vec_id, embedding[i + 1]::double as old, embedding[i + 1 + {DIMS // 2}]::double as new
+           from embeddings, (select unnest(range({DIMS // 2})) as i)),
 k as (select *, rank() over (partition by feature order by old) + (count(*) over (partition by feature, old) - 1) / 2.0::double as ra,
              rank() over (partition by feature order by new) + (count(*) over (partition by feature, new) - 1) / 2.0::double as rb from p)
 select feature, count(*) as windows, {r('median(old)')} as old_median, {r('median(new)')} as new_median,
@@ -450,9 +451,10 @@ select feature, count(*) as windows, {r('median(old)')} as old_median, {r('media
        {r('sqrt(avg((new - old) * (new - old)))')} as rms_delta, {r('corr(old, new)')} as pearson, {r('corr(ra, rb)')} as spearman
 from k group by 1""")
 def e27(t: Tables) -> DataFrame:
-    e, key, rows = F.col("embedding"), ["feature"], t.rows("embeddings", DIMS)
+    half = DIMS // 2
+    e, key, rows = F.col("embedding"), ["feature"], t.rows("embeddings", half)
     pairs = [F.struct(F.lit(f"x{i}").alias("feature"), e[i].cast("double").alias("old"),
-                      e[i + DIMS].cast("double").alias("new")) for i in range(DIMS)]
+                      e[i + half].cast("double").alias("new")) for i in range(half)]
     p = t("embeddings").select("vec_id", F.inline(F.array(*pairs)))
     p = p.withColumn("d", F.col("new") - F.col("old")).withColumn("a", F.abs("d"))
     out = p.groupBy(*key).agg(F.count(F.lit(1)).alias("windows"), F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms_delta"))

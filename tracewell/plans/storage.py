@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalars import r6
 from tracewell.operators import covariance
 from tracewell.operators.report import rounded
-from tracewell.plans.detectors import X3, reference
+from tracewell.plans.detectors import reference
 from tracewell.plans.registry import Tables, query, r
-from tracewell.plans.rollups import LONG_SQL
+from tracewell.plans.rollups import LONG_SQL, XS
 from tracewell.sources import readers, sinks
 from tracewell.streaming.replay import landing_folder
 
@@ -117,15 +117,15 @@ def a13(t: Tables) -> DataFrame:
 
 
 @query("a14_parameter_tables", f"""
-with {LONG_SQL}, lx as (select * from lf where feature in ('x0', 'x1', 'x2') and is_reference)
+with {LONG_SQL}, lx as (select * from lf where feature <> 'one' and is_reference)
 select substr(a.feature, 2)::int as i, substr(b.feature, 2)::int as j, {r('covar_samp(a.value, b.value)')} as value from lx a join lx b using (vec_id) group by 1, 2""")
 def a14(t: Tables) -> DataFrame:
     """A fitted matrix saved as rows, loaded as a matrix and shown again as rows."""
     place = landing_folder(t.spark)
-    fitted = covariance.matrices(covariance.sample_covariance(reference(t), [], X3), [], len(X3))[()]
+    fitted = covariance.matrices(covariance.sample_covariance(reference(t), [], XS), [], len(XS))[()]
     sinks.save_matrix(t.spark, place, "reference", fitted)
     back = sinks.load_matrix(t.spark, place, "reference")
-    cells = [(i, j, float(back[i, j])) for i in range(len(X3)) for j in range(len(X3))]
+    cells = [(i, j, float(back[i, j])) for i in range(len(XS)) for j in range(len(XS))]
     return rounded(t.spark.createDataFrame(cells, "i int, j int, value double"))
 
 
