@@ -267,3 +267,24 @@ def test_prior_grid_equals_projected_descent(spark):
         for _ in range(20_000):
             z = np.maximum(z - step * (a @ z - b), 0)
         assert np.allclose(r["coef"], z, atol=1e-6)
+
+
+def test_wide_distances_and_shrinkage_equal_narrow_rules(spark):
+    """A table wider than NARROW, against numpy."""
+    from tracewell.operators import covariance
+
+    d = 20
+    x = np.random.default_rng(11).normal(size=(150, d)) @ np.random.default_rng(12).normal(size=(d, d)) + 3
+    names = [f"c{i}" for i in range(d)]
+    frame = spark.createDataFrame(x.tolist(), ", ".join(f"{n} double" for n in names))
+    location, cov, weight = covariance.shrunk_covariance(frame, names)
+    centered = x - x.mean(axis=0)
+    plain = centered.T @ centered / len(x)
+    level = np.trace(plain) / d
+    spread = (plain ** 2).sum() / d - level ** 2
+    noise = min((((centered ** 2).sum(axis=1) ** 2).mean() - (plain ** 2).sum()) / (len(x) * d), spread)
+    assert np.isclose(weight, noise / spread) and np.allclose(location, x.mean(axis=0))
+    assert np.allclose(cov, (1 - weight) * plain + weight * level * np.eye(d))
+    precision = covariance.precision_of(cov)
+    got = [r[0] for r in frame.select(covariance.distance(names, precision, location)).collect()]
+    assert np.allclose(sorted(got), sorted(((centered @ precision) * centered).sum(axis=1)))

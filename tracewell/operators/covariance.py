@@ -115,17 +115,25 @@ def precision_of(matrix: np.ndarray) -> np.ndarray:
 
 
 def shrunk_covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Location, shrinkage covariance and shrinkage weight from two aggregations.
+    """Location, shrinkage covariance and shrinkage weight from two aggregations, or three of a wide table.
 
-    The first gives means and population covariances, the second the mean fourth power of the
-    centered row norm, which is the only fourth-order quantity the weight needs.
+    They give means and population covariances, wide ones by partial cross-product sums, and at last the mean fourth
+    power of the centered row norm, which is the only fourth-order quantity the weight needs.
     """
     d = len(columns)
-    first = df.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
-                   *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]).first()
-    n = first["n"]
-    location = np.array([first[f"m{i}"] for i in range(d)])
-    cov = np.array([[first[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    means = [F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]]
+    if d <= NARROW:
+        pairs = [F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d)]
+        first = df.agg(*means, *pairs).first()
+        cov = np.array([[first[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+        n, location = first["n"], np.array([first[f"m{i}"] for i in range(d)])
+    else:
+        first = df.agg(*means).first()
+        n, location = first["n"], np.array([first[f"m{i}"] for i in range(d)])
+        moved = df.select(*[(F.col(c) - F.lit(float(m))).alias(c) for c, m in zip(columns, location)])
+        sums = np.array(gram_sums(moved, [], columns).first()["g"]).reshape(d + 1, d + 1)
+        shift = sums[0, 1:] / n
+        cov = sums[1:, 1:] / n - np.outer(shift, shift)
     norm = sum_of([(F.col(c) - F.lit(float(m))) * (F.col(c) - F.lit(float(m))) for c, m in zip(columns, location)])
     fourth = df.agg(F.avg(norm * norm)).first()[0]
     level = np.trace(cov) / d
@@ -138,8 +146,11 @@ def shrunk_covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray
 def distance(columns: Sequence[str], precision: np.ndarray, location: Sequence[float] | None = None) -> Column:
     """Squared Mahalanobis distance as one expression of constants, ready for code generation.
 
-    The matrix is symmetric, so only its upper triangle is written out.
+    The matrix is symmetric, so only its upper triangle is written out. A wide matrix is one array constant that is read
+    row by row instead, as its written form would be too long to compile.
     """
+    if len(columns) > NARROW:
+        return _wide_distance(columns, precision, location)
     center = [0.0] * len(columns) if location is None else [float(v) for v in location]
     x = [f"(`{c}` - {m!r}D)" if m else f"`{c}`" for c, m in zip(columns, center)]
     p = np.asarray(precision, dtype=float)
@@ -150,6 +161,19 @@ def distance(columns: Sequence[str], precision: np.ndarray, location: Sequence[f
     return F.expr(" + ".join(terms))
 
 
+def _wide_distance(columns: Sequence[str], precision: np.ndarray, location: Sequence[float] | None) -> Column:
+    d, zero = len(columns), F.lit(0.0)
+    center = np.zeros(d) if location is None else np.asarray(location, float)
+    x = F.array(*[F.col(c) - F.lit(float(m)) for c, m in zip(columns, center)])
+    cells = F.lit(np.asarray(precision, float).ravel())
+
+    def along(i: Column) -> Column:
+        products = F.zip_with(x, F.slice(cells, i * d + 1, d), lambda a, b: a * b)
+        return F.get(x, i) * F.aggregate(products, zero, lambda a, b: a + b)
+
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), along), zero, lambda a, b: a + b)
+
+
 def contributions(columns: Sequence[str], precision: np.ndarray) -> Column:
     """Array of (feature, contribution): x_j times row j of the precision applied to x."""
     return F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(c) * dot(columns, row)).alias("contribution"))

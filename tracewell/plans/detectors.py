@@ -60,7 +60,7 @@ def l3(t: Tables) -> DataFrame:
     return rounded(named(covariance.entity_mean(long, DIMS, 1e-3)))
 
 
-def entity_matrices(t: Tables, columns=X8) -> list:
+def entity_matrices(t: Tables, columns=XS) -> list:
     found = covariance.matrices(covariance.sample_covariance(reference(t), ["entity"], columns), ["entity"], len(columns))
     return [found[k] for k in sorted(found)]
 
@@ -69,7 +69,7 @@ def entity_matrices(t: Tables, columns=X8) -> list:
 def l4(t: Tables) -> DataFrame:
     """Log-Euclidean mean of the entity covariances, applied as a distance to every vector."""
     mean = covariance.log_euclidean_mean(entity_matrices(t), 1e-2)
-    score = covariance.distance(X8, covariance.precision_of(mean))
+    score = covariance.distance(XS, covariance.precision_of(mean))
     return features(t).select("vec_id", "entity", r6(score).alias("score"))
 
 
@@ -155,7 +155,7 @@ def l7(t: Tables) -> DataFrame:
 @query("l8_covariance_family")
 def l8(t: Tables) -> DataFrame:
     """Five covariance methods scored in one pass, summarised per method and label."""
-    per = entity_matrices(t)
+    per = entity_matrices(t, X8)
     ref = reference(t)
     loc, shrunk, _ = covariance.shrunk_covariance(ref.filter("entity = 0"), X8)
     methods = {
@@ -172,7 +172,7 @@ def l8(t: Tables) -> DataFrame:
 def l15(t: Tables) -> DataFrame:
     """Columns kept when an exact linear relation and a constant are added to the features."""
     wide = features(t).withColumn("linear", F.col("x0") + F.col("x1") - 2 * F.col("x2")).withColumn("one", F.lit(1.0))
-    kept = covariance.independent_columns(wide.filter("is_reference"), [*XS, "linear", "one"])
+    kept = covariance.independent_columns(wide.filter("is_reference"), [*X8, "linear", "one"])
     return wide.select("vec_id", *kept).unpivot(["vec_id"], kept, "feature", "value").groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"), r6(F.stddev_samp("value")).alias("deviation"))
 
