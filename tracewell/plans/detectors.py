@@ -276,7 +276,7 @@ mr as (select method, record_id, any_value(load) as load, count(*) as blocks, av
 def method_blocks(t: Tables) -> DataFrame:
     """Three scores of every window side by side, reduced to blocks, then one conformal pass for all methods."""
     sw = scored_windows(t)
-    um = ranks.quantiles(sw, ["record_id"], "x", {"um": 0.5}, rows=t.rows("events"))
+    um = ranks.quantiles(sw, ["record_id"], "x", {"um": 0.5}, rows=t.rows("events"), largest=t.largest("events", "user_id"))
     wide = sw.join(um, "record_id").groupBy("record_id", "block_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max("z").alias("robust"),
         F.max(F.abs(F.col("x") - F.col("um"))).alias("centered"), F.max("x").alias("raw")).filter("_n = 5").drop("_n")
