@@ -74,3 +74,21 @@ def test_an_equal_distance_shell_is_searched_whole(spark, limit):
     zero = spark.createDataFrame([tuple([0.0] * 8)], NAMES)
     got = neighbours.nearest(zero, many, NAMES, k=[1, 33], reference_id="id", distance=["a", "b"], neighbour="n").first()
     assert (got["a"], got["b"], got["n"]) == (5.0, 10.0, 0)
+
+
+def test_many_dimensions_by_blocks(spark, monkeypatch):
+    """Noise in 24 dimensions: no pairs are joined row by row, ties take the smallest id, copies count."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(900, 24)), 1) + 1000.0
+    x[:50] = x[0]
+    names = [f"x{i}" for i in range(24)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names).assign(id=[f"r{i:05d}" for i in range(900)]))
+    monkeypatch.setattr(neighbours, "_pivot_search", None)
+    spark.conf.set(session.BROADCAST_ROWS, "100")
+    try:
+        got = neighbours.nearest(df, df, names, k=[1, 4], reference_id="id", distance=["d1", "d4"], neighbour="near").toPandas().sort_values("id")
+    finally:
+        spark.conf.unset(session.BROADCAST_ROWS)
+    away = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    assert np.allclose(got["d1"], 0) and np.allclose(got["d4"], np.sort(away, axis=1)[:, 3])
+    assert list(got["near"]) == [f"r{i:05d}" for i in away.argmin(axis=1)]

@@ -6,7 +6,9 @@ belongs to the ring of its nearest pivot that holds its distance, and for every
 and largest distance to each pivot are known. A bounded sample gives each query an upper bound of
 its k-th distance. By the triangle inequality a ring can hold a neighbour only if the query's
 distance to every pivot, give or take that bound, meets the ring's range, so queries join only
-those rings, by number. Equal vectors are collapsed to one row with a count on both sides, so
+those rings, by number. In more than PIVOT_DIMS dimensions such bounds spare little, so blocks of
+queries meet blocks of reference rows by matrix products, and the few rows that can be among the
+nearest of a block are measured exactly. Equal vectors are collapsed to one row with a count on both sides, so
 copies cost nothing.
 """
 
@@ -26,6 +28,9 @@ PIVOTS = 64
 #: Rings are about this share of the broadcast limit, and never more than MAX_RINGS in all.
 RING_SHARE = 8
 MAX_RINGS = 8_192
+#: Most dimensions of a pivot table, and rows of one block of the search in more.
+PIVOT_DIMS = 16
+BLOCK_ROWS = 32_768
 #: Numbers of one block of a distance matrix.
 CELLS = 2_000_000
 
@@ -179,6 +184,71 @@ def _pivot_search(queries: DataFrame, reference: DataFrame, features: Sequence[s
     return reached.groupBy(*features).agg(*found, F.min(F.struct("_q", "_id"))["_id"].alias("_nn"))
 
 
+def _least(x: np.ndarray, y: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, reference, squared distance) of the m nearest rows of ``y`` for every row of ``x``, the first rows on ties.
+
+    Products give the distances but for rounding; all rows that are near enough to the m-th are measured again.
+    """
+    center, rows, cols, found = y.mean(axis=0), [], [], []
+    u, v = x - center, y - center
+    uu, vv = (u * u).sum(axis=1), (v * v).sum(axis=1)
+    m, step = min(m, len(y)), max(1, CELLS // len(y))
+    for at in range(0, len(x), step):
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = uu[at:at + step, None] + vv[None, :] - 2.0 * (u[at:at + step] @ v.T)
+        if np.isfinite(rough).all():
+            slack = 1e-12 * (uu[at:at + step] + vv.max())  # more than rounding can shift
+        else:
+            rough, slack = _squared(x[at:at + step], y), np.zeros(len(rough))
+        row, col = np.nonzero(rough <= (np.partition(rough, m - 1, axis=1)[:, m - 1] + 2 * slack)[:, None])
+        sq = np.zeros(len(row))
+        for j in range(x.shape[1]):
+            sq += (x[at + row, j] - y[col, j]) ** 2
+        order = np.lexsort((col, sq, row))
+        row, col, sq = row[order], col[order], sq[order]
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        keep = np.arange(len(row)) - np.repeat(first, np.diff(first, append=len(row))) < m
+        rows.append(at + row[keep])
+        cols.append(col[keep])
+        found.append(sq[keep])
+    return np.concatenate(rows), np.concatenate(cols), np.concatenate(found)
+
+
+def _block_search(queries: DataFrame, reference: DataFrame, features: Sequence[str], ks: Sequence[int], total: int, kind: str) -> DataFrame:
+    """Every block of queries meets every block of reference rows in a task of its own; the nearest of all blocks are merged."""
+    names, deepest = list(features), max(ks)
+    points = session.landed(queries.select(*names).withColumn("_at", F.monotonically_increasing_id()), "points")
+    per_side = [max(1, -(-n // max(1, min(BLOCK_ROWS, -(-n // 8))))) for n in (points.count(), total)]
+    hashed = F.xxhash64(*[F.col(f) for f in names])
+
+    def spread(df: DataFrame, own: str, other: str, sizes: Sequence[int]) -> DataFrame:
+        cut = df.withColumn(own, F.pmod(hashed, F.lit(sizes[0])).cast("int"))
+        copied = cut.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(sizes[1] - 1))))
+        return copied.repartition(3 * per_side[0] * per_side[1], "_qb", "_rb")
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"_at": [], "_q": [], "_id": [], "_n": []})
+        right = right.sort_values("_id", kind="stable")
+        row, col, sq = _least(left[names].to_numpy(float), right[names].to_numpy(float), deepest)
+        return pd.DataFrame({"_at": left["_at"].to_numpy()[row], "_q": np.sqrt(sq), "_id": right["_id"].to_numpy()[col], "_n": right["_n"].to_numpy()[col]})
+
+    left = spread(points, "_qb", "_rb", per_side).groupBy("_qb", "_rb")
+    right = spread(reference, "_rb", "_qb", per_side[::-1]).groupBy("_qb", "_rb")
+    near = left.cogroup(right).applyInPandas(meet, f"_at long, _q double, _id {kind}, _n long")
+    # at most the largest k of each block for a query
+    best = near.groupBy("_at").agg(F.slice(F.array_sort(F.collect_list(F.struct("_q", "_id", "_n"))), 1, deepest).alias("_c"))
+
+    def reached(k: int) -> Column:
+        def upto(e: Column) -> Column:
+            return F.aggregate(F.filter("_c", lambda o: o["_q"] <= e["_q"]), F.lit(0).cast("long"), lambda a, o: a + o["_n"])
+
+        return F.coalesce(F.array_min(F.transform(F.filter("_c", lambda e: upto(e) >= k), lambda e: e["_q"])), F.lit(float("inf")))
+
+    found = best.select("_at", *[reached(k).alias(f"_d{c}") for c, k in enumerate(ks)], F.col("_c")[0]["_id"].alias("_nn"))
+    return points.join(found, "_at").drop("_at")
+
+
 def nearest(queries: DataFrame, reference: DataFrame, features: Sequence[str], *, k: int | Sequence[int] = 1,
             reference_id: str | None = None, distance: str | Sequence[str] = "distance", neighbour: str | None = None,
             searched: str | None = None) -> DataFrame:
@@ -201,6 +271,8 @@ def nearest(queries: DataFrame, reference: DataFrame, features: Sequence[str], *
     points = queries.filter(complete(features)).select(*[F.col(f).cast("double").alias(f) for f in features]).distinct()
     if len(head) <= limit:
         found = _broadcast_search(points, head, features, ks, kind)
+    elif len(features) > PIVOT_DIMS:
+        found = _block_search(points, ref, features, ks, ref.count(), kind)
     else:
         found = _pivot_search(points, ref, features, ks, ref.count(), limit, kind)
     added = [F.col(f"_d{c}").alias(name) for c, name in enumerate(names)] + ([F.col("_nn").alias(neighbour)] if neighbour else [])
