@@ -13,7 +13,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewell import session
 from tracewell.functions.basis import Basis, fit_basis
@@ -22,7 +21,6 @@ from tracewell.operators.ranks import quantiles
 from tracewell.operators.roles import group_folds
 from tracewell.operators.scaling import robust_parameters
 
-DOUBLES = T.ArrayType(T.DoubleType())
 ALL = -1
 
 
@@ -85,19 +83,20 @@ def _coefficients(df: DataFrame, context: Sequence[str], targets: Sequence[str],
 
 
 def _predict(df: DataFrame, context: Sequence[str], bases: dict[int, Basis], coefs: dict[int, np.ndarray], model: str, name: str) -> DataFrame:
-    @F.pandas_udf(DOUBLES)
-    def guess(which: pd.Series, x: pd.Series) -> pd.Series:
-        if x.empty:
-            return pd.Series([], dtype=object)
-        rows, w = np.stack(x.to_numpy()).astype(float), which.to_numpy()
-        out = np.zeros((len(rows), next(iter(coefs.values())).shape[1]))
+    """Add the struct ``name`` with one field p0, p1, ... per outcome."""
+    fields = [f"p{i}" for i in range(next(iter(coefs.values())).shape[1])]
+
+    @F.pandas_udf(", ".join(f"{f} double" for f in fields))
+    def guess(x: pd.DataFrame) -> pd.DataFrame:
+        rows, w = x.iloc[:, 1:].to_numpy(float), x.iloc[:, 0].to_numpy()
+        out = np.zeros((len(rows), len(fields)))
         for left, basis in bases.items():
             at = w == left
             if at.any():
                 out[at] = coefs[left][0] + basis.expand(rows[at]) @ coefs[left][1:]
-        return pd.Series(list(out))
+        return pd.DataFrame(out, columns=fields)
 
-    return df.withColumn(name, guess(F.expr(model), F.array(*[F.col(c).cast("double") for c in context])))
+    return df.withColumn(name, guess(F.struct(F.expr(model).alias("model"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(context)])))
 
 
 @dataclass
@@ -130,7 +129,7 @@ class ConditionalResidual:
         coefs = medians or _coefficients(data, context, outcomes, bases, alpha, splits)
         oof = _predict(data, context, bases, coefs, "fold", "_p")
         res = [f"_r{i}" for i in range(len(outcomes))]
-        oof = oof.withColumns({r: F.col(o) - F.col("_p")[i] for i, (r, o) in enumerate(zip(res, outcomes))})
+        oof = oof.withColumns({r: F.col(o) - F.col("_p")[f"p{i}"] for i, (r, o) in enumerate(zip(res, outcomes))})
         # several fits below read the out-of-fold residuals, so they are computed once
         oof = oof.select("fold", *context, *res).persist()
         params = cls._robust(oof, res, rows, "centered")
@@ -153,17 +152,17 @@ class ConditionalResidual:
     @staticmethod
     def _robust(df: DataFrame, columns: Sequence[str], rows: int | None, rule: str = "eps") -> dict[str, tuple[float, float]]:
         long = df.select(F.lit(0).alias("_k"), *columns).unpivot(["_k"], list(columns), "feature", "value")
-        found = robust_parameters(long, ["feature"], "value", rule=rule, rows=rows and rows * len(columns))
+        found = robust_parameters(long, ["feature"], "value", rule=rule, rows=rows and rows * len(columns), few=True)
         return {r["feature"]: (r["center"], r["scale"]) for r in found.collect()}  # one row per outcome
 
     @staticmethod
     def _fold_medians(data: DataFrame, outcomes: Sequence[str], splits: int, rows: int | None) -> dict[int, np.ndarray]:
         """Medians of the rows outside each fold and of all rows; a row is copied to the models it trains."""
         models = F.array(*[F.lit(f) for f in [*range(splits), ALL]])
-        fan = data.withColumn("model", F.explode(F.filter(models, lambda m: m != F.col("fold"))))
+        fan = data.select("fold", *outcomes).withColumn("model", F.explode(F.filter(models, lambda m: m != F.col("fold"))))
         long = fan.select("model", *outcomes).unpivot(["model"], list(outcomes), "feature", "value")
         bound = rows and rows * len(outcomes) * splits
-        mid = {(r["model"], r["feature"]): r["m"] for r in quantiles(long, ["model", "feature"], "value", {"m": 0.5}, rows=bound).collect()}
+        mid = {(r["model"], r["feature"]): r["m"] for r in quantiles(long, ["model", "feature"], "value", {"m": 0.5}, rows=bound, few=True).collect()}
         return {m: np.array([[mid[(m, o)] for o in outcomes]]) for m in [*range(splits), ALL]}
 
     @property
@@ -178,7 +177,7 @@ class ConditionalResidual:
         for i, (z, r) in enumerate(zip(self._z, residuals)):
             s = F.lit(float(self.scale[i]))
             if self.local is not None:
-                s = F.least(F.greatest(F.exp(F.col("_ls")[i]), s * self.clip[0]), s * self.clip[1])
+                s = F.least(F.greatest(F.exp(F.col("_ls")[f"p{i}"]), s * self.clip[0]), s * self.clip[1])
             cells[z] = (F.col(r) - F.lit(float(self.center[i]))) / s
         return out.withColumns(cells)
 
@@ -186,7 +185,7 @@ class ConditionalResidual:
         """Squared distance of the standardized residual; larger is more anomalous."""
         guessed = _predict(df, self.context, self.bases, self.coefs, str(ALL), "_p")
         res = [f"_r{i}" for i in range(len(self.outcomes))]
-        guessed = guessed.withColumns({r: F.col(o) - F.col("_p")[i] for i, (r, o) in enumerate(zip(res, self.outcomes))})
+        guessed = guessed.withColumns({r: F.col(o) - F.col("_p")[f"p{i}"] for i, (r, o) in enumerate(zip(res, self.outcomes))})
         z = self._standardized(guessed, res)
         return z.withColumn(name, F.greatest(covariance.distance(self._z, self.precision, self.location), F.lit(0.0))).select(*df.columns, name)
 

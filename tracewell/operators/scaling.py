@@ -33,24 +33,26 @@ def pick_scale(rule: str) -> Column:
 
 
 def robust_parameters(long: DataFrame, keys: Sequence[str], value: str, *, rule: str,
-                      rows: int | None = None) -> DataFrame:
+                      rows: int | None = None, few: bool = False) -> DataFrame:
     """One row per key with center, mad and scale; medians are exact at any group size.
 
-    Two passes over the rows: the center, then everything that is measured around it.
+    The center comes first, then everything that is measured around it. ``few`` says that there are few keys.
     """
     base = long.select(*keys, F.col(value).cast("double").alias("_x"))
     limit = session.rows_per_chunk(base.sparkSession)
     if rows is None:
         rows = base.count()
     wanted = {"center": 0.5, "_q1": 0.25, "_q3": 0.75} if rule == "spread" else {"center": 0.5}
-    mid = quantiles(base, keys, "_x", wanted, rows=rows)
+    mid = quantiles(base, keys, "_x", wanted, rows=rows, few=few)
+    if few and rows > limit:
+        mid = session.landed(mid, "centers")  # several passes read it
     away = session.join_null_safe(base, mid, list(keys)).withColumn("_d", F.abs(F.col("_x") - F.col("center")))
     peak = F.max("_d") if rule == "centered" else F.max(F.abs("_x"))
     stats = [F.stddev_pop("_x").alias("std"), peak.alias("peak"), *[F.max(c).alias(c) for c in wanted]]
     if rows <= limit:
         wide = away.groupBy(*keys).agg(F.median("_d").alias("_mad"), *stats)
     else:
-        wide = session.join_null_safe(away.groupBy(*keys).agg(*stats), quantiles(away, keys, "_d", {"_mad": 0.5}, rows=rows), list(keys))
+        wide = session.join_null_safe(away.groupBy(*keys).agg(*stats), quantiles(away, keys, "_d", {"_mad": 0.5}, rows=rows, few=few), list(keys))
     wide = wide.withColumn("mad", F.lit(MAD_TO_SIGMA) * F.col("_mad"))
     if rule == "spread":
         wide = wide.withColumn("iqr", F.col("_q3") - F.col("_q1"))
@@ -60,7 +62,7 @@ def robust_parameters(long: DataFrame, keys: Sequence[str], value: str, *, rule:
 def fit_one(df: DataFrame, value: str, *, rule: str, rows: int | None = None) -> tuple[float, float]:
     """Center and scale of a single feature as numbers, for use as constants in later plans."""
     keyed = df.select(F.lit(0).alias("_g"), value)
-    row = robust_parameters(keyed, ["_g"], value, rule=rule, rows=rows).first()
+    row = robust_parameters(keyed, ["_g"], value, rule=rule, rows=rows, few=True).first()
     if row is None:
         raise ValueError("no reference rows to fit on")
     return float(row["center"]), float(row["scale"])
