@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
-from tracewell.llm import near
+from tracewell.llm import near, simhash
 
 SCHEMA = "doc_id long, text string"
 
@@ -86,3 +88,15 @@ def test_near_keep_one_of_odd_rows(spark):
     docs = spark.createDataFrame([(None, text), (None, text), (3, text), (3, text), (5, text + " end"), (6, "other")], SCHEMA)
     assert sorted((r["doc_id"] or -1) for r in near.keep_one(docs).collect()) == [-1, -1, 3, 6]
     assert near.keep_one(docs.limit(0)).count() == 0
+
+
+def test_simhash_links_come_first(spark):
+    """Sets whose fingerprints lie within two bits are paired by the Golay keys, those of one fingerprint with its first."""
+    nodes = spark.createDataFrame([(7, 1), (7, 2), (7, 9), (7 ^ 5 << 40, 3), (7 ^ 7 << 20, 4), (-1, 5)], "fp long, node long")
+    assert sorted((min(r), max(r)) for r in near.fingerprint_pairs(nodes).collect()) == [(1, 2), (1, 3), (1, 9)]
+    words = [f"w{i}" for i in range(400)]
+    other = [*words[:200], "changed", *words[201:]]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, "far away from both")], "doc_id long, text string")
+    prints = {r["doc_id"]: r["fp"] for r in near._sets(docs, near.SHINGLE, near.SIMILARITY).collect()}
+    assert all(prints[d] == int(np.int64(np.uint64(simhash.vote(near.shingle_set(t.encode()))))) for d, t in docs.collect())
+    assert {(r["doc_id"], r["component_id"]) for r in near.near_components(docs).collect()} == {(1, 1), (2, 1), (3, 3)}

@@ -33,7 +33,12 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = SEED) -> int:
     else:
         digest, join = xxhash.xxh64_intdigest, b" ".join
         hashes = [digest(join(t), seed) for t in zip(*(words[i:] for i in range(shingle)))]
-    bits = np.unpackbits(np.array(hashes, "<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
+    return vote(np.array(hashes, "<u8"))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """64-bit majority vote over 64-bit hashes."""
+    bits = np.unpackbits(hashes.astype("<u8").view("u1").reshape(-1, 8), axis=1, bitorder="little")
     ones = bits.sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
