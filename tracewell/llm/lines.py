@@ -16,6 +16,8 @@ EDITS = 2
 CHARS_PER_EDIT = 20
 #: Letters that the sketch of a line counts, four bits each.
 LETTERS = "etaonis "
+#: Letters that are counted for lines that met, before their pairs are compared.
+MORE_LETTERS = "rhldcumfpgwbvkjx"
 #: Lines that make up more than one in HEAVY of all copied lines are compared at their first place alone; the others' copies meet on the keys.
 HEAVY = 1 << 17
 #: So many hashes of lines that met are sent to the tasks to fetch the texts; beyond that lines are shuffled.
@@ -95,19 +97,24 @@ def keyed(long: DataFrame, edits: int, chars_per_edit: int) -> tuple[DataFrame,
     return index, probe.filter("key is not null")
 
 
-def sketch(line: Column) -> Column:
+def sketch(line: Column, letters: str = LETTERS) -> Column:
     """Counts of the letters modulo 16."""
-    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long") for c in LETTERS]
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))).bitwiseAND(F.lit(15)).cast("long") for c in letters]
     return sum((F.shiftleft(n, 4 * k) for k, n in enumerate(counts)), F.lit(0).cast("long"))
 
 
-def sketches_near(a: Column, b: Column, edits: int) -> Column:
-    """False only where more than ``edits`` edits lie between: each changes two counts by one at most."""
+def sketches_apart(a: Column, b: Column, letters: str = LETTERS) -> Column:
+    """By how much the counts of two sketches differ at least."""
     apart = F.lit(0)
-    for k in range(len(LETTERS)):
+    for k in range(len(letters)):
         d = F.abs(F.shiftright(a, 4 * k).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * k).bitwiseAND(F.lit(15)))
         apart = apart + F.least(d, 16 - d)
-    return apart <= 2 * edits
+    return apart
+
+
+def sketches_near(a: Column, b: Column, edits: int) -> Column:
+    """False only where more than ``edits`` edits lie between: each changes two counts by one at most."""
+    return sketches_apart(a, b) <= 2 * edits
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -196,9 +203,12 @@ def classes(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER
     asked = landed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked-lines")
     asked = F.broadcast(asked) if asked.count() <= SENT else asked
     texts = lines.join(asked, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*PLACE)).alias("place"), F.max("line").alias("line"))
-    texts = landed(texts, "line-texts")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("line_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("line_b")), "b")
-    links = landed(both.filter(close(F.col("line_a"), F.col("line_b"), edits, chars_per_edit)).select("a", "b"), "line-links")
+    texts = landed(texts.withColumns({"s": sketch(F.col("line")), "m": sketch(F.col("line"), MORE_LETTERS)}), "line-texts")
+    sides = [texts.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("line", "s", "m")]) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    near = sketches_apart(F.col("s_a"), F.col("s_b")) + sketches_apart(F.col("m_a"), F.col("m_b"), MORE_LETTERS)
+    near = near <= 2 * allowed(F.least(F.length("line_a"), F.length("line_b")), edits, chars_per_edit)
+    links = landed(both.filter(F.when(near, close(F.col("line_a"), F.col("line_b"), edits, chars_per_edit)).otherwise(False)).select("a", "b"), "line-links")
     counts = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     linked = landed(components(links).withColumnRenamed("node", "id").join(counts, "id").join(texts.select("id", "place"), "id"), "linked-lines")
     first = linked.groupBy("root").agg(F.min("place").alias("first"))
