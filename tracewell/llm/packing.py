@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import MAX_BUCKETS, ROWS_PER_BUCKET, landed, prefix_sums, text_bytes
-from tracewell.llm.tokens import encoder
+from tracewell.llm.tokens import TEXTS, encoder
 
 WINDOW = 1024
 PACKET = 256
@@ -26,8 +26,8 @@ def tokenized(docs: DataFrame, tokenizer: str, *, end_id: int = 0, drops_space:
         encode, key = encoder(tokenizer, drops_space), TaskContext.get().partitionId() << 36
         end = end_id.to_bytes(encode.width, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 ids = [x + end for x in encode.encode(text_bytes(part.column(2)))]
                 counts = [len(x) // encode.width for x in ids]
                 yield pa.RecordBatch.from_arrays(
