@@ -107,9 +107,13 @@ def pack(docs: DataFrame, tokenizer: str, *, weights: dict[str, float] | None =
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 out = {k: [] for k in ("doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
-                for doc, n, width, ids, packets in zip(*(part.column(c).to_pylist() for c in range(5))):
+                ends = np.asarray(part.column(4).offsets)
+                whole = part.column(4).flatten()
+                starts, lengths, places = (whole.field(c).to_numpy().tolist() for c in range(3))
+                ends = (ends - ends[0]).tolist()
+                for doc, n, width, ids, low, high in zip(*(part.column(c).to_pylist() for c in range(4)), ends, ends[1:]):
                     wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                    for start, length, place in pieces(*zip(*(p.values() for p in packets))):
+                    for start, length, place in pieces(starts[low:high], lengths[low:high], places[low:high]):
                         own = wide[start:start + length].tobytes()
                         for k, v in zip(out, (doc, start, length, own, zlib.crc32(own), n, place // window, place % window)):
                             out[k].append(v)

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 #: Entries of one worker's memo (about 200 bytes each); beyond it the memo starts anew, which costs time but no result.
 MEMO_WORDS = 1_000_000
 #: Texts, and bytes of them, whose words are told apart at once.
-TEXTS, TEXT_BYTES = 1024, 1 << 23
+TEXTS, TEXT_BYTES = 2560, 1 << 23
 #: Letters of the first two Latin blocks with marks behind them: the rules of both files cut such a word between the two alone.
 PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)\-]*)")
 #: The rules under which that holds, as the library states them.
@@ -87,34 +87,44 @@ class Encoder:
 
     def _part(self, text: str) -> bytes:
         """Ids of a text that the tokenizer's rules leave in one piece."""
-        found = self.parts.get(text)
-        if found is None:
-            if len(self.parts) >= MEMO_WORDS // 2:
-                self.parts.clear()
+        if text.isascii():  # letters, marks, a space or a line end
+            letters = text.replace(" ", BYTE_LETTERS[32]).replace("\n", BYTE_LETTERS[10])
+        else:
             letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
-            found = self.parts[text] = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
-        return found
+        ids = array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
+        if len(self.parts) >= MEMO_WORDS // 2:
+            self.parts.clear()
+        self.parts[text] = ids
+        return ids
 
     def _learn(self, new: list[str]) -> None:
         """Put words into the memo; one with a line end before it starts a line, the others stand behind a space."""
         if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-        other, memo, part, plain = [], self.memo, self._part, PLAIN.fullmatch
+        other, memo, known, plain, caseless = [], self.memo, self.parts.get, PLAIN.fullmatch, self.drops_space
+        if not self.by_merges:
+            new, other = [], new
         for word in new:
-            if not (self.by_merges and (cut := plain(word))):
+            if word.isascii() and word.isalpha():
+                line, letters, marks = "", word, ""
+            elif cut := plain(word):
+                line, letters, marks = cut.groups()
+            else:
                 other.append(word)
                 continue
-            line, letters, marks = cut.groups()
-            ids = part(letters.lower()) if self.drops_space else part("\n") + part(letters) if line else part(" " + letters)
-            memo[word] = ids + part(marks) if marks else ids
+            letters = letters.lower() if caseless else letters if line else " " + letters
+            ids = known(letters) or self._part(letters)
+            if marks:
+                ids += known(marks) or self._part(marks)
+            memo[word] = self._part("\n") + ids if line else ids
         for at in range(0, len(other), 8192):
             some = other[at:at + 8192]
-            memo.update(zip(some, self._whole(some if self.drops_space else [w if w.startswith("\n") else " " + w for w in some])))
+            memo.update(zip(some, self._whole(some if caseless else [w if w.startswith("\n") else " " + w for w in some])))
 
     def _joined(self, words: pa.ListArray, skip: int = 0) -> Iterable[bytes]:
         """Ids of the words of each text one after another, without the first ``skip`` bytes."""
         coded = words.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         for at in range(0, len(distinct), MEMO_WORDS):
             some = distinct[at:at + MEMO_WORDS]
             missing = [w for w in some if w not in self.memo]
