@@ -18,6 +18,8 @@ CHARS_PER_EDIT = 20
 LETTERS = "etaonis "
 #: Letters that are counted for lines that met, before their pairs are compared.
 MORE_LETTERS = "rhldcumfpgwbvkjx"
+#: Letters of the sketch that travels with the keys of a line, four bits each.
+KEY_LETTERS = LETTERS + MORE_LETTERS[:8]
 #: Lines that make up more than one in HEAVY of all copied lines are compared at their first place alone; the others' copies meet on the keys.
 HEAVY = 1 << 17
 #: So many hashes of lines that met are sent to the tasks to fetch the texts; beyond that lines are shuffled.
@@ -117,6 +119,33 @@ def sketches_near(a: Column, b: Column, edits: int) -> Column:
     return sketches_apart(a, b) <= 2 * edits
 
 
+def counts_near(a: Column, b: Column, edits: int) -> Column:
+    """False only where more than ``edits`` edits lie between two lines, by their sketches over KEY_LETTERS.
+
+    An edit adds one to one count at most and takes one from one at most, so neither the counts that are higher in the first
+    line nor those that are lower may differ by more than ``edits`` altogether. Eight counts at once are subtracted modulo 16 inside
+    of a number; a difference stands for -7 to 7, one of eight for none.
+    """
+    top, low, byte = 0x88888888, 0x77777777, 0x0F0F0F0F
+
+    def halves(x: Column) -> list[Column]:
+        return [x.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(x, 32)]
+
+    def added(x: Column) -> Column:
+        """Sum of the eight numbers of four bits."""
+        pairs = x.bitwiseAND(F.lit(byte)) + F.shiftright(x, 4).bitwiseAND(F.lit(byte))
+        return F.shiftright(pairs * F.lit(0x01010101), 24).bitwiseAND(F.lit(0xFF))
+
+    def ahead(x: Column, y: Column) -> Column:
+        """By how much the counts of x that are higher exceed those of y."""
+        apart = (x.bitwiseOR(F.lit(top)) - y.bitwiseAND(F.lit(low))).bitwiseXOR(x.bitwiseXOR(y).bitwiseXOR(F.lit(top)).bitwiseAND(F.lit(top)))
+        higher = F.shiftright(apart.bitwiseAND(F.lit(top)).bitwiseXOR(F.lit(top)), 3) * F.lit(7)
+        return added(apart.bitwiseAND(higher))
+
+    (a0, a1), (b0, b1) = halves(a), halves(b)
+    return (ahead(a0, b0) + ahead(a1, b1) <= edits) & (ahead(b0, a0) + ahead(b1, a1) <= edits)
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of two texts is at most ``edits``, by bit vectors over the band of 2 * edits + 1 diagonals.
 
@@ -196,9 +225,9 @@ def classes(docs: DataFrame, edits: int = EDITS, chars_per_edit: int = CHARS_PER
     places = lines.groupBy("id").agg(F.min(F.struct(*PLACE)).alias("place"), F.count(F.lit(1)).alias("copies"))
     copied = landed(places.filter("copies > 1"), "copied-lines")
     long = lines.withColumn("n", F.length("line")).filter(F.col("n") >= chars_per_edit)
-    long = first_copies(long, copied).select("id", "line", "n", sketch(F.col("line")).alias("s"), (F.octet_length("line") == F.col("n")).alias("plain"))
+    long = first_copies(long, copied).select("id", "line", "n", sketch(F.col("line"), KEY_LETTERS).alias("s"), (F.octet_length("line") == F.col("n")).alias("plain"))
     index, probe = keyed(long, edits, chars_per_edit)
-    pairs = probe.join(index.distinct(), "key").filter((F.col("id") != F.col("other")) & sketches_near(F.col("s"), F.col("t"), edits))
+    pairs = probe.join(index.repartition("key").distinct(), "key").filter((F.col("id") != F.col("other")) & counts_near(F.col("s"), F.col("t"), edits))
     pairs = landed(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "line-pairs")
     asked = landed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked-lines")
     asked = F.broadcast(asked) if asked.count() <= SENT else asked
