@@ -118,7 +118,8 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     keyed = fps.select("fp").mapInArrow(run, "key long, fp long")
     left, right = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return left.join(right, "key").filter(near).select("a", "b").distinct()
+    # a fingerprint has some forty keys, which Spark does not count in the size of either side: neither may be sent to all tasks
+    return left.hint("merge").join(right, "key").filter(near).select("a", "b").distinct()
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
