@@ -203,15 +203,18 @@ def coefficient_rows(models: Mapping[str, np.ndarray]) -> list[tuple[str, str, s
     return [(m, NODES[i], FEATURES[j], float(c[i, j])) for m, c in models.items() for i in range(len(NODES)) for j in range(len(FEATURES))]
 
 
-def horizon_rows(df: DataFrame, key: str, index: str, *, start: int, end: int) -> DataFrame:
+def horizon_rows(df: DataFrame, key: str, index: str, *, start: int, end: int | None = None) -> DataFrame:
     """Inputs of [start, end) and the state before them as one row per profile that is long enough.
 
-    A horizon has a fixed number of rows, so the ordered lists are bounded by end - start.
+    Without an end a horizon is all that a profile has from start on, in profiles with one row there at least. A forecast needs
+    the steps of its profile one after another, so the ordered lists hold one horizon each.
     """
     inputs = F.struct(F.col(index), F.array("coolant", "ambient", *LOSSES).alias("u"), F.array(*NODES).alias("t"))
-    held = df.filter((F.col(index) >= start - 1) & (F.col(index) < end))
-    g = held.groupBy(key).agg(F.array_sort(F.collect_list(inputs)).alias("_r")).filter(F.size("_r") == end - start + 1)
-    rest = F.slice("_r", 2, end - start)
+    held = df.filter(F.col(index) >= start - 1)
+    held = held if end is None else held.filter(F.col(index) < end)
+    g = held.groupBy(key).agg(F.array_sort(F.collect_list(inputs)).alias("_r"))
+    g = g.filter((F.size("_r") > 1) & (F.col("_r")[0][index] == start - 1) if end is None else F.size("_r") == end - start + 1)
+    rest = F.slice("_r", F.lit(2), F.size("_r") - 1)
     return g.select(key, F.col("_r")[0]["t"].alias("state"), F.col("_r")[0]["u"].alias("u0"),
                     F.flatten(F.transform(rest, lambda s: s["u"])).alias("inputs"),
                     F.flatten(F.transform(rest, lambda s: s["t"])).alias("truth"))
@@ -226,7 +229,8 @@ def rollout(horizons: DataFrame, coef: Column | str = "coef", intercept: Column
     """Closed-loop forecast of every row: the batch advances one step at a time for all its profiles.
 
     ``coef`` holds the node-by-feature matrix row by row and ``intercept`` one number per node. Values
-    outside the guard are clipped and counted; non-finite steps keep the previous state.
+    outside the guard are clipped and counted; non-finite steps keep the previous state. Horizons may differ in length:
+    the longest come first, and a step advances those that reach it.
     """
     k, f = len(NODES), len(FEATURES)
     pick = np.array([[o for o in range(k) if o != n] for n in range(k)])
@@ -235,22 +239,31 @@ def rollout(horizons: DataFrame, coef: Column | str = "coef", intercept: Column
     def advance(state: pd.Series, inputs: pd.Series, coefs: pd.Series, shift: pd.Series) -> pd.DataFrame:
         if state.empty:
             return pd.DataFrame({"prediction": [], "clip_count": [], "nonfinite_count": []})
-        s = np.stack(state.to_numpy()).astype(float)
-        u = np.stack(inputs.to_numpy()).astype(float).reshape(len(s), -1, f - 2)
-        c = np.stack(coefs.to_numpy()).astype(float).reshape(len(s), k, f)
-        h = np.stack(shift.to_numpy()).astype(float)
-        out = np.empty((len(s), u.shape[1], k))
-        clips, bad = np.zeros(len(s), dtype=np.int64), np.zeros(len(s), dtype=np.int64)
-        for step in range(u.shape[1]):
-            edge = np.stack([s[:, pick[:, 0]] - s, s[:, pick[:, 1]] - s, u[:, step, 0:1] - s, u[:, step, 1:2] - s], axis=2)
-            ahead = s + np.einsum("rnf,rnf->rn", edge, c[:, :, :4]) + np.einsum("rf,rnf->rn", u[:, step, 2:], c[:, :, 4:]) + h
-            broken = ~np.isfinite(ahead)
-            bad += broken.sum(axis=1)
-            ahead = np.where(broken, s, ahead)
-            clips += ((ahead < guard[0]) | (ahead > guard[1])).sum(axis=1)
-            s = np.clip(ahead, *guard)
-            out[:, step] = s
-        return pd.DataFrame({"prediction": list(out.reshape(len(s), -1)), "clip_count": clips, "nonfinite_count": bad})
+        size = np.array([len(x) for x in inputs]) // (f - 2)
+        order = np.argsort(-size, kind="stable")
+        found, clips, bad = [None] * len(size), np.zeros(len(size), dtype=np.int64), np.zeros(len(size), dtype=np.int64)
+        for rows in (order[at:at + 512] for at in range(0, len(order), 512)):
+            s = np.stack(state.iloc[rows].to_numpy()).astype(float)
+            c = np.stack(coefs.iloc[rows].to_numpy()).astype(float).reshape(len(s), k, f)
+            h = np.stack(shift.iloc[rows].to_numpy()).astype(float)
+            u = np.zeros((len(s), size[rows[0]], f - 2))
+            for i, x in enumerate(inputs.iloc[rows]):
+                u[i, :size[rows[i]]] = np.asarray(x, dtype=float).reshape(-1, f - 2)
+            out = np.empty((len(s), u.shape[1], k))
+            for step in range(u.shape[1]):
+                n = int((size[rows] > step).sum())
+                now, ins = s[:n], u[:n, step]
+                edge = np.stack([now[:, pick[:, 0]] - now, now[:, pick[:, 1]] - now, ins[:, 0:1] - now, ins[:, 1:2] - now], axis=2)
+                ahead = now + np.einsum("rnf,rnf->rn", edge, c[:n, :, :4]) + np.einsum("rf,rnf->rn", ins[:, 2:], c[:n, :, 4:]) + h[:n]
+                broken = ~np.isfinite(ahead)
+                bad[rows[:n]] += broken.sum(axis=1)
+                ahead = np.where(broken, now, ahead)
+                clips[rows[:n]] += ((ahead < guard[0]) | (ahead > guard[1])).sum(axis=1)
+                s = np.clip(ahead, *guard)
+                out[:n, step] = s
+            for i, row in enumerate(rows):
+                found[row] = out[i, :size[row]].ravel()
+        return pd.DataFrame({"prediction": found, "clip_count": clips, "nonfinite_count": bad})
 
     return horizons.withColumn("_f", advance("state", "inputs", coef, intercept)).select("*", "_f.*").drop("_f")
 

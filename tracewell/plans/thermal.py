@@ -180,7 +180,7 @@ def l33(t: Tables) -> DataFrame:
     """Ridge candidates by rollout error on held-out profiles; every candidate comes from one normal-equation table."""
     d = with_losses(t)
     sums = source_sums(t)
-    h = thermal.horizon_rows(d.filter("not is_healthy"), "profile_id", "idx", start=START, end=END)
+    h = thermal.horizon_rows(d.filter("not is_healthy"), "profile_id", "idx", start=START)
     cells = []
     for alpha in ALPHAS:
         coef, shift = thermal.constant_model(*thermal.ridge_from(sums, alpha))
@@ -202,7 +202,7 @@ def l33b(t: Tables) -> DataFrame:
     fits = thermal.nonnegative_grid(equations, source, RIDGES, PENALTIES)
     wide = fits.groupBy("profile_id", "ridge", "penalty").pivot("node", list(thermal.NODES)).agg(F.first("coef"))
     model = wide.select("profile_id", "ridge", "penalty", F.concat(*thermal.NODES).alias("coef"), F.array(*[F.lit(0.0)] * 3).alias("intercept"))
-    h = thermal.horizon_rows(d, "profile_id", "idx", start=START, end=END)
+    h = thermal.horizon_rows(d, "profile_id", "idx", start=START)
     per = thermal.rollout_errors(thermal.rollout(h.join(model, "profile_id")), ["profile_id", "ridge", "penalty"]).filter("node = 'macro'")
     table = per.groupBy("ridge", "penalty").agg(F.count(F.lit(1)).alias("profiles"), F.avg("rmse").alias("mean_rmse"))
     best = F.min(F.struct("mean_rmse", "ridge", "penalty")).over(Window.partitionBy(F.lit(0)))  # one row per cell of the grid
@@ -215,7 +215,7 @@ def l34(t: Tables) -> DataFrame:
     """Prefix fits under growing commissioning budgets, forecast over one shared segment."""
     d = with_losses(t)
     source, out = thermal.nonnegative_from(source_sums(t)), None
-    h = thermal.horizon_rows(d, "profile_id", "idx", start=20, end=34)
+    h = thermal.horizon_rows(d, "profile_id", "idx", start=20)
     steps = thermal.transitions(d.filter("idx < 20"), "profile_id", "idx", rows=t.rows("events"), largest=t.largest("events", "user_id"))
     budgets = steps.withColumn("budget", F.explode(F.filter(F.array(*[F.lit(b) for b in (8, 12, 20)]), lambda b: F.col("idx") < b)))
     fits = thermal.nonnegative_per_profile(thermal.normal_equations(budgets, ["profile_id", "budget", "node"]), source, 0.1)
