@@ -1,9 +1,12 @@
-"""Forecasts to the end of every profile."""
+"""Forecasts to the end of every profile and fits that read rows of equal features once."""
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import functions as F
 
-from tracewell.operators import thermal
+from tracewell.operators import models, thermal
 
 
 def profile(spark, lengths):
@@ -30,3 +33,24 @@ def test_horizons_reach_the_end_of_each_profile(spark):
             s = np.array(moved)
             want.append(s)
         assert np.allclose(np.array(r["prediction"]).reshape(-1, 3), want) and np.allclose(np.array(r["truth"]).reshape(-1, 3), t[4:])
+
+
+def test_cells_fit_what_all_rows_fit(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 9, 3000), rng.integers(0, 5, 3000)
+    pdf = pd.DataFrame({"a": a.astype(float), "b": b.astype(float), "y": a * b + rng.normal(0, 4, 3000)})
+    df = spark.createDataFrame(pdf)
+    read = []
+    for kind in (GBTRegressor, LinearRegression):
+        fit = kind.fit
+        monkeypatch.setattr(kind, "fit", lambda self, d, *more, fit=fit: read.append(d.count()) or fit(self, d, *more))
+    z = [((F.col(c) - F.lit(pdf[c].mean())) / F.lit(pdf[c].std())).alias(f"z{c}") for c in "ab"]
+    ready = VectorAssembler(inputCols=["za", "zb"], outputCol="_features").transform(df.select("*", *z))
+    plain = {"ridge": LinearRegression(featuresCol="_features", labelCol="y", regParam=1 / 3000, elasticNetParam=0.0, standardization=False),
+             "boosted": GBTRegressor(featuresCol="_features", labelCol="y", maxIter=5, maxDepth=5, stepSize=0.08, seed=42)}
+    for kind, est in plain.items():
+        want = [r["prediction"] for r in est.fit(ready).transform(ready).orderBy("a", "b", "y").collect()]
+        read.clear()
+        got = [r["p_y"] for r in models.multi_target(kind, df, ["a", "b"], ["y"], size=5)(df).orderBy("a", "b", "y").collect()]
+        assert np.allclose(got, want, rtol=0, atol=1e-9)
+        assert read == [45]

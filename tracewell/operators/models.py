@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell import session
 from tracewell.functions.basis import Basis, fit_basis
 from tracewell.functions.scalars import clip, hash_draw
 from tracewell.functions.spectral import fourier_decode
@@ -69,23 +70,27 @@ def multi_target(kind: str, train: DataFrame, features: Sequence[str], targets:
         long = train.select(F.lit(0).alias("_k"), *[F.col(x).cast("double").alias(x) for x in targets]).unpivot(["_k"], list(targets), "t", "v")
         mid = {r["t"]: r["m"] for r in quantiles(long, ["t"], "v", {"m": 0.5}, rows=rows, few=True).collect()}  # one row per target
         return lambda df: df.withColumns({f"p_{x}": F.lit(float(mid[x])) for x in targets})
-    prepare = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_raw"),
-                               StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)]).fit(train)
-    ready, fitted = prepare.transform(train).select("_features", *targets).persist(), {}
-    n = ready.count() if kind == "ridge" else 0
+    cells, center, spread = _cells(train, features, targets)
+    scaled = [((F.col(f).cast("double") - F.lit(center[f])) * F.lit(1.0 / spread[f] if spread[f] > 0 else 0.0)).alias(f"_z{i}") for i, f in enumerate(features)]
+    assemble = VectorAssembler(inputCols=[f"_z{i}" for i in range(len(features))], outputCol="_features")
+    ready, fitted = assemble.transform(cells.select("*", *scaled)).persist(), {}
     for x in targets:
+        own = ready.filter(F.col(f"_n_{x}") > 0).select("_features", F.col(f"_n_{x}").cast("double").alias("_w"), F.col(f"_m_{x}").alias(x), f"_q_{x}")
         if kind == "ridge":
-            est = LinearRegression(featuresCol="_features", labelCol=x, predictionCol=f"p_{x}", regParam=1.0 / n,
-                                   elasticNetParam=0.0, standardization=False)
+            n, q, m, mm = own.agg(F.sum("_w"), F.sum(f"_q_{x}"), F.sum(F.col("_w") * F.col(x)), F.sum(F.col("_w") * F.col(x) * F.col(x))).first()
+            # the penalty is divided by the deviation of the labels, which is smaller among means than among rows
+            among, all_rows = math.sqrt(max(mm / n - (m / n) ** 2, 0.0)), math.sqrt(max(q / n - (m / n) ** 2, 0.0))
+            est = LinearRegression(featuresCol="_features", labelCol=x, weightCol="_w", predictionCol=f"p_{x}", elasticNetParam=0.0,
+                                   regParam=(among / all_rows if among > 0 and all_rows > 0 else 1.0) / n, standardization=False)
         elif kind == "boosted":
-            est = GBTRegressor(featuresCol="_features", labelCol=x, predictionCol=f"p_{x}", maxIter=size, maxDepth=5, stepSize=0.08, seed=seed)
+            est = GBTRegressor(featuresCol="_features", labelCol=x, weightCol="_w", predictionCol=f"p_{x}", maxIter=size, maxDepth=5, stepSize=0.08, seed=seed)
         else:
             raise ValueError(f"unknown regressor: {kind}")
-        fitted[x] = est.fit(ready)
+        fitted[x] = est.fit(own)
     ready.unpersist()
 
     def apply(df: DataFrame) -> DataFrame:
-        out = prepare.transform(df)
+        out = assemble.transform(df.select("*", *scaled))
         for x in targets:
             out = fitted[x].transform(out)
         return out.select(*df.columns, *[f"p_{x}" for x in targets])
@@ -93,6 +98,23 @@ def multi_target(kind: str, train: DataFrame, features: Sequence[str], targets:
     return apply
 
 
+def _cells(train: DataFrame, features: Sequence[str], targets: Sequence[str]) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """Rows of equal features as one, with count ``_n_``, mean ``_m_`` and sum of squares ``_q_`` of each target; means and sample deviations of the features.
+
+    Squared errors of a function of the features depend on nothing else, so weighted fits of the cells are those of all rows.
+    Rows without a value of a target don't count for it.
+    """
+    y = {x: F.col(x).cast("double") for x in targets}
+    cells = train.groupBy(*[F.col(f).cast("double").alias(f) for f in features]).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count(v).alias(f"_n_{x}") for x, v in y.items()], *[F.avg(v).alias(f"_m_{x}") for x, v in y.items()],
+        *[F.sum(v * v).alias(f"_q_{x}") for x, v in y.items()])
+    cells = session.landed(cells, "cells")
+    total = cells.agg(F.sum("_n"), *[F.sum(F.col("_n") * F.col(f)) for f in features]).first()
+    center = {f: v / total[0] for f, v in zip(features, total[1:])}
+    squares = cells.agg(*[F.sum(F.col("_n") * F.pow(F.col(f) - F.lit(center[f]), F.lit(2))) for f in features]).first()
+    return cells, center, {f: math.sqrt(v / max(total[0] - 1, 1)) for f, v in zip(features, squares)}
+
+
 def residual_boosters(train: DataFrame, features: Sequence[str], residual: str, weight: str, *, rounds: int = 200, seed: int = 711):
     """Boosted trees on the residual of another model."""
     assemble = VectorAssembler(inputCols=list(features), outputCol="_features")
