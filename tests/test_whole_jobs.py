@@ -1,4 +1,4 @@
-"""Forecasts to the end of every profile and fits that read rows of equal features once."""
+"""Forecasts to the end of every profile, fits that read rows of equal features once, and boosting of all rounds."""
 
 import numpy as np
 import pandas as pd
@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import functions as F
 
+from tracewell import plans
 from tracewell.operators import models, thermal
 
 
@@ -54,3 +55,17 @@ def test_cells_fit_what_all_rows_fit(spark, monkeypatch):
         got = [r["p_y"] for r in models.multi_target(kind, df, ["a", "b"], ["y"], size=5)(df).orderBy("a", "b", "y").collect()]
         assert np.allclose(got, want, rtol=0, atol=1e-9)
         assert read == [45]
+
+
+def test_residual_boosting_runs_all_rounds(spark, sf, monkeypatch):
+    """The query asks for as many rounds as the operator's default, of which the test lets two run."""
+    asked = []
+
+    class Short(GBTRegressor):
+        def _fit(self, dataset):
+            asked.append(self.getMaxIter())
+            return super()._fit(dataset) if self.getMaxIter() <= 2 else self.copy({self.maxIter: 2})._fit(dataset)
+
+    monkeypatch.setattr(models, "GBTRegressor", Short)
+    rows = plans.QUERIES["l31_residual_boosting"](spark, sf).collect()
+    assert [n for n in asked if n != 2] == [200] * 3 and {r["node"] for r in rows} == set(thermal.NODES)
